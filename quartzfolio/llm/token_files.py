@@ -60,7 +60,8 @@ def compress(x: np.ndarray, last: np.ndarray, first_rule: int) -> tuple[np.ndarr
         place = np.where(chosen[by][at] == key, by[at], PAIRS)  # 0: most frequent
         before = np.concatenate(([PAIRS], place[:-1]))
         after = np.concatenate((place[1:], [PAIRS]))
-        take = (place < PAIRS) & (place < before) & (place <= after)
+        start = np.maximum.accumulate(np.where(place != before, np.arange(len(place)), 0))  # of a run of one pair
+        take = (place < PAIRS) & ((np.arange(len(place)) - start) % 2 == 0) & (place < before[start]) & (place <= after)
         x[:-1][take] = first_rule + len(rules) + place[take]
         last[:-1][take] = last[1:][take]
         keep = np.concatenate(([True], ~take))
