@@ -59,16 +59,17 @@ def tail_events(pairs: DataFrame, share: float = 0.05) -> DataFrame:
     return d.select(*PAIR, "left_tail", "right_tail", "joint_tail", ratio0(F.col("joint_tail"), F.least("left_tail", "right_tail")).alias("tail_dependence"), ratio0(F.col("joint_tail"), F.col("n")).alias("co_exceedance"))
 
 
-def rolling_stability(pairs: DataFrame, window: int = WINDOW) -> DataFrame:
+def rolling_stability(pairs: DataFrame, window: int = WINDOW, downside: bool = False) -> DataFrame:
     """Deviation of the correlations of rolling windows, a third apart, the last one forced.
 
-    A row is dealt to the few windows that hold it, so that no join of windows is needed.
+    With `downside` a window's correlation is that of its rows with both returns below 0. A row is dealt to the few windows that hold it, so that no join of windows is needed.
     """
     w = Window.partitionBy(*PAIR)
     d = pairs.withColumns({"i": F.row_number().over(w.orderBy("date")) - 1, "n": F.count("*").over(w)}).filter(F.col("n") >= MIN_ROWS)
     d = d.withColumn("size", F.least(F.lit(window), F.col("n"))).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("size") / 3)))
     starts = "array_distinct(filter(array_append(transform(sequence(greatest(0L, i - size) div step, i div step), k -> k * step), n - size), s -> s <= i AND i < s + size AND s <= n - size))"
-    per = d.select(*PAIR, "x", "y", F.explode(F.expr(starts)).alias("s")).groupBy(*PAIR, "s").agg(pearson(F.col("x"), F.col("y")).alias("c"))
+    both = (F.col("x") < 0) & (F.col("y") < 0) if downside else F.lit(True)
+    per = d.select(*PAIR, "x", "y", F.explode(F.expr(starts)).alias("s")).groupBy(*PAIR, "s").agg(pearson(F.when(both, F.col("x")), F.when(both, F.col("y"))).alias("c"))
     return per.groupBy(*PAIR).agg(F.count("*").alias("windows"), zero(F.stddev_samp("c")).alias("stability"))
 
 
@@ -122,3 +123,15 @@ def clusters(stats: DataFrame, least: float = 0.7) -> DataFrame:
         if new.filter("cluster <> old").isEmpty():
             return new.select("listing", "cluster")
         nodes = new.select("listing", "cluster")
+
+
+def extremes(stats: DataFrame) -> DataFrame:
+    """The listings with the highest and the lowest average correlation to all others."""
+    a = mirrored(stats.select(*PAIR, "pearson")).groupBy("left").agg(F.avg("pearson").alias("a"))
+    return a.agg(F.max_by("left", "a").alias("most_correlated"), F.max("a").alias("most_correlated_average"), F.min_by("left", "a").alias("best_diversifier"), F.min("a").alias("best_diversifier_average"))
+
+
+def downside_diagnostics(pairs: DataFrame) -> DataFrame:
+    """One row: how correlations on joint losses differ from plain ones, on how many days."""
+    d = downside(pairs).join(moments(pairs).select(*PAIR, "pearson"), PAIR).withColumn("gap", F.col("downside_correlation") - F.col("pearson"))
+    return d.agg(F.count("*").alias("n"), F.avg("gap").alias("average_gap"), F.count_if(F.abs("gap") >= 0.15).alias("large_gaps"), F.max("downside_correlation").alias("worst"), F.median("n_downside").alias("median_days"), F.min("n_downside").alias("min_days"))

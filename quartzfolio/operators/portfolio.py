@@ -34,6 +34,11 @@ def _tail(losses: DataFrame, keys: list[str], confidence: float) -> DataFrame:
     return d.filter("loss >= var").groupBy(*keys).agg(F.first("var").alias("value_at_risk"), F.avg("loss").alias("cvar"), F.count("*").alias("tail_count"))
 
 
+def tail_risk(r: DataFrame, confidence: float = 0.95) -> DataFrame:
+    """value_at_risk, cvar and tail_count of one portfolio's returns (date, r)."""
+    return _tail(r.select(F.lit("all").alias("portfolio"), "date", (-F.col("r")).alias("loss")), ["portfolio"], confidence)
+
+
 def equal_weights(m: DataFrame) -> DataFrame:
     names = m.select("listing").distinct()
     return names.join(F.broadcast(names.agg(F.count("*").alias("n")))).select("listing", (F.lit(1.0) / F.col("n")).alias("weight"))
@@ -201,6 +206,27 @@ def converged(cov: DataFrame, factor: float) -> DataFrame:
     return d.select("left", "right", ((rho + (1 - rho) * factor) * F.col("sl") * F.col("sr")).alias("covariance"))
 
 
+def parametric_tail(variances: DataFrame, confidence: float = 0.95) -> DataFrame:
+    """scenario, volatility, value_at_risk, cvar of zero-mean normal returns with these variances."""
+    from statistics import NormalDist
+
+    z = NormalDist().inv_cdf(confidence)
+    sd = F.sqrt(F.greatest("variance", F.lit(0.0)))
+    return variances.select("scenario", sd.alias("volatility"), (sd * z).alias("value_at_risk"), (sd * (NormalDist().pdf(z) / (1 - confidence))).alias("cvar"))
+
+
+def covariance_scenarios(cov: DataFrame, weights: DataFrame, convergence: float, perturbation: float) -> DataFrame:
+    """scenario, variance: correlations moved toward 1, and the whole matrix scaled."""
+    a = variance(converged(cov, convergence), weights).select(F.lit("correlation_convergence").alias("scenario"), "variance")
+    b = variance(cov, weights).select(F.lit("covariance_perturbation").alias("scenario"), (F.col("variance") * (1 + perturbation)).alias("variance"))
+    return a.unionByName(b)
+
+
+def sensitivity(scenarios: DataFrame) -> DataFrame:
+    """scenarios, median_cvar and worst_cvar over a candidate's scenarios."""
+    return scenarios.agg(F.count("*").alias("scenarios"), F.median("cvar").alias("median_cvar"), F.max("cvar").alias("worst_cvar"))
+
+
 def rebalance(m: DataFrame, weights: DataFrame, unit: str = "month", cost: float = 0.0) -> DataFrame:
     """date, rebalanced, value, turnover: drift inside a period, weights restored on its first date.
 

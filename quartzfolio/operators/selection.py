@@ -83,3 +83,11 @@ def validated_universe(df: DataFrame, required: list[str]) -> DataFrame:
     if not df.groupBy("isin").count().filter("count > 1").isEmpty():
         raise ValueError("an ISIN repeats")
     return df
+
+
+def in_ranges(df: DataFrame, ranges: dict[str, list[tuple[float, float]]]) -> DataFrame:
+    """Rows that lie, for each metric with ranges, in any of its closed ranges; a missing value never does."""
+    for metric, some in ranges.items():
+        if some:
+            df = df.filter(F.coalesce(reduce(lambda a, b: a | b, (F.col(metric).between(lo, hi) for lo, hi in some)), F.lit(False)))
+    return df

@@ -11,12 +11,12 @@ STALE_RUN, GAP_DAYS, HISTORY = 5, 10, (252, 504, 756)
 
 
 def judged(quotes: DataFrame) -> DataFrame:
-    """quotes (listing, date, px, seq) with `reason`: null, non_positive_price or duplicate_date.
+    """quotes (listing, date, px, seq) with `reason`: null, duplicate_date or non_positive_price.
 
-    A date that was seen before is a duplicate, even if the row before was rejected itself.
+    A date that was seen before is a duplicate whatever its price, even if the row before was rejected itself.
     """
     w = Window.partitionBy("listing", "date").orderBy("seq")
-    reason = F.when(F.col("px").isNull() | (F.col("px") <= 0), "non_positive_price").when(F.row_number().over(w) > 1, "duplicate_date")
+    reason = F.when(F.row_number().over(w) > 1, "duplicate_date").when(F.col("px").isNull() | (F.col("px") <= 0), "non_positive_price")
     return quotes.withColumn("reason", reason)
 
 
@@ -108,7 +108,7 @@ def trend(quotes: DataFrame) -> DataFrame:
 
 
 #: Fixed: bands of days between payouts.
-BANDS = (("monthly", 20, 45), ("quarterly", 70, 110), ("semiannual", 150, 215), ("annual", 300, 430))
+BANDS = (("monthly", 20, 45), ("quarterly", 70, 110), ("semiannual", 150, 220), ("annual", 300, 430))
 
 
 def payout_frequency(payouts: DataFrame) -> DataFrame:
@@ -127,3 +127,43 @@ def trailing_payout(payouts: DataFrame) -> DataFrame:
     last = payouts.groupBy(F.col("listing").alias("l")).agg(F.max("date").alias("last"))
     d = payouts.filter("value > 0").join(last, (F.col("listing") == F.col("l")) & (F.col("date") > F.date_sub("last", 365)) & (F.col("date") <= F.col("last")))
     return d.groupBy("listing").agg(F.sum("value").alias("annual_amount"), F.count("*").alias("payouts"))
+
+
+def quality_gate(quotes: DataFrame) -> DataFrame:
+    """A row for each listing: counts, the four flags and the first issue in their order, else `ok`."""
+    j = judged(quotes)
+    ok = j.filter("reason IS NULL").select("listing", "date", "px")
+    has = lambda r: F.coalesce(F.bool_or(F.col("reason") == r), F.lit(False))
+    d = j.groupBy("listing").agg(F.count("*").alias("quotes"), F.count("reason").alias("quarantined"), has("non_positive_price").alias("bad"), has("duplicate_date").alias("dup"))
+    w = Window.partitionBy("listing").orderBy("date")
+    steps = ok.withColumn("days", F.datediff("date", F.lag("date").over(w)))
+    g = steps.groupBy("listing").agg((F.count("*") - 1).alias("observations"), F.coalesce(F.bool_or(F.col("days") > GAP_DAYS), F.lit(False)).alias("gap"))
+    d = d.join(stale_runs(ok).select("listing", "stale"), "listing", "left").join(g, "listing", "left")
+    d = d.withColumns({"stale": F.coalesce("stale", F.lit(False)), "gap": F.coalesce("gap", F.lit(False)), "observations": F.coalesce("observations", F.lit(0))})
+    reason = F.when(F.col("bad"), "non_positive_price").when(F.col("dup"), "duplicate_date").when(F.col("stale"), "stale_price").when(F.col("gap"), "unexplained_gap").when(F.col("observations") < HISTORY[0], "insufficient_history").otherwise("ok")
+    return d.withColumn("data_quality_reason", reason)
+
+
+def asset_features(quotes: DataFrame) -> DataFrame:
+    """First and last quote, growth (total, by year, from mean log returns), mean, spread and drawdown of each listing."""
+    q = quotes.groupBy("listing").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("quotes"), (ratio0(F.max_by("px", "date"), F.min_by("px", "date")) - 1).alias("total_return"))
+    r = returns(quotes).groupBy("listing").agg(F.count("*").alias("returns"), F.avg("ret").alias("mean_return"), zero(F.stddev_samp("ret")).alias("volatility"))
+    d = q.join(r, "listing", "left").join(max_drawdown(quotes), "listing", "left")
+    days = F.datediff("last_date", "first_date")
+    cagr = F.when((days > 0) & (F.col("total_return") > -1), F.pow(1 + F.col("total_return"), F.lit(365.25) / F.nullif(days, F.lit(0))) - 1).otherwise(0.0)
+    return d.select("listing", "first_date", "last_date", "quotes", F.coalesce("returns", F.lit(0)).alias("returns"), "total_return", zero(cagr).alias("cagr"), zero(F.exp(F.col("mean_return") * TRADING_DAYS) - 1).alias("geometric_return"), zero(F.col("mean_return")).alias("mean_return"), zero(F.col("volatility")).alias("volatility"), "max_drawdown")
+
+
+def payout_rate(payouts: DataFrame) -> DataFrame:
+    """listing, events and events_per_year between the first and last payout date; 1 for a single event."""
+    d = payouts.filter("value > 0").groupBy("listing").agg(F.countDistinct("date").alias("events"), F.datediff(F.max("date"), F.min("date")).alias("days"))
+    return d.select("listing", "events", F.when(F.col("events") == 1, 1.0).otherwise((F.col("events") - 1) / F.greatest("days", F.lit(1)) * 365.25).alias("events_per_year"))
+
+
+def gap_plan(quotes: DataFrame, as_of: str) -> DataFrame:
+    """listing, start_date, end_date, window_reason: what to fetch again; complete listings have no row."""
+    last = quotes.groupBy("listing").agg(F.max("date").alias("b"))
+    following = F.date_add("b", F.when(F.weekday("b") == 4, 3).when(F.weekday("b") == 5, 2).otherwise(1))
+    old = missing_ranges(quotes).filter(F.col("gap_start") <= F.lit(as_of).cast("date")).groupBy("listing").agg(F.min("gap_start").alias("s"))
+    d = last.select("listing", following.alias("t")).join(old, "listing", "left").filter(F.col("s").isNotNull() | (F.col("t") <= F.lit(as_of).cast("date")))
+    return d.select("listing", F.coalesce("s", "t").alias("start_date"), F.lit(as_of).cast("date").alias("end_date"), F.when(F.col("s").isNull(), "tail").otherwise("gap_backfill").alias("window_reason"))

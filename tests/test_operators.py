@@ -28,7 +28,7 @@ def test_returns_and_drawdown(spark):
 def test_quarantine(spark):
     d = [("A", DAY(2026, 1, 1), 100.0, 0), ("A", DAY(2026, 1, 2), 0.0, 1), ("A", DAY(2026, 1, 2), -5.0, 2), ("A", DAY(2026, 1, 3), 110.0, 3)]
     q = spark.createDataFrame(d, "listing string, date date, px double, seq long")
-    assert [r.reason for r in series.judged(q).orderBy("seq").collect()] == [None, "non_positive_price", "non_positive_price", None]
+    assert [r.reason for r in series.judged(q).orderBy("seq").collect()] == [None, "non_positive_price", "duplicate_date", None]
     r = series.returns(series.valid(q)).collect()
     assert len(r) == 1 and r[0].date == DAY(2026, 1, 3)
 
