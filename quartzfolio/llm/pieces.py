@@ -111,7 +111,9 @@ class Memo:
     def __call__(self, texts: list[str]) -> list[list[np.ndarray]]:
         """For each kind of value, an array for each text: its pieces' values one after the other."""
         joined, first, last, h, count = self.pieces(texts)
-        distinct, sample, which = np.unique(h, return_index=True, return_inverse=True)
+        which, distinct = pd.factorize(h)
+        sample = np.zeros(len(distinct), np.int64)
+        sample[which[::-1]] = np.arange(len(h))[::-1]
         if len(self.hash) + len(distinct) > self.most:
             self.forget()
         near = np.minimum(np.searchsorted(self.hash, distinct), max(len(self.hash) - 1, 0))

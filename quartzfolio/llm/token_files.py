@@ -34,37 +34,53 @@ from .pieces import Memo, batches
 BATCH_CHARS, SHARD, CACHE = 4_000_000, 1_000_000, 1_500_000
 ROUNDS, PAIRS, LEAST = 5, 512, 16
 END_ID = 2
+BLANK = "\u0120"  # fixed: how a byte-level vocabulary writes the byte 0x20
 SHARD_SCHEMA = "part int, shard int, n_tokens long, first_rule int, sequence binary, rules binary, lengths binary, doc_ids array<long>, doc_at array<int>, doc_start array<long>"
 DOC_SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
 
+def _occurrences(x: np.ndarray, last: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a pair (left, right) occurs inside a document, and which; 0 is the most frequent."""
+    row, column = np.zeros(1 << 16, np.uint16), np.zeros(1 << 16, np.uint16)
+    lefts, r = np.unique(left, return_inverse=True)
+    rights, c = np.unique(right, return_inverse=True)
+    row[lefts], column[rights] = np.arange(1, len(lefts) + 1), np.arange(1, len(rights) + 1)
+    which = np.full((len(lefts) + 1, len(rights) + 1), PAIRS, np.int32)
+    which[r + 1, c + 1] = np.arange(len(left))
+    found = which[row[x[:-1]], column[x[1:]]]
+    found[last[:-1]] = PAIRS
+    at = np.flatnonzero(found < PAIRS)
+    return at, found[at]
+
+
 def compress(x: np.ndarray, last: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, whether each ends a document, and the rules (two symbols each) of Re-Pair."""
-    x = x.astype(np.int64)
+    x = x.astype(np.uint32)
     rules = np.zeros((0, 2), np.int64)
     for _ in range(ROUNDS):
         if len(x) < 2 or first_rule + len(rules) + PAIRS > 1 << 16:
             break
-        key = np.where(last[:-1], -1, x[:-1] << 16 | x[1:])
-        ordered = np.sort(key)
-        head = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        ordered = np.sort((x[:-1] << np.uint32(16) | x[1:])[~last[:-1]])
+        head = np.flatnonzero(np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1])))
         count = np.diff(np.append(head, len(ordered)))
-        often = (count >= LEAST) & (ordered[head] >= 0)
-        pair, count = ordered[head][often], count[often]
+        often = count >= LEAST
+        pair, count = ordered[head[often]].astype(np.int64), count[often]
         if not len(pair):
             break
-        best = np.lexsort((pair, -count))[:PAIRS]
-        chosen = pair[best]
-        by = np.argsort(chosen)
-        at = np.minimum(np.searchsorted(chosen[by], key), len(chosen) - 1)
-        place = np.where(chosen[by][at] == key, by[at], PAIRS)  # 0: most frequent
-        before = np.concatenate(([PAIRS], place[:-1]))
-        after = np.concatenate((place[1:], [PAIRS]))
-        start = np.maximum.accumulate(np.where(place != before, np.arange(len(place)), 0))  # of a run of one pair
-        take = (place < PAIRS) & ((np.arange(len(place)) - start) % 2 == 0) & (place < before[start]) & (place <= after)
-        x[:-1][take] = first_rule + len(rules) + place[take]
-        last[:-1][take] = last[1:][take]
-        keep = np.concatenate(([True], ~take))
+        chosen = pair[np.lexsort((pair, -count))[:PAIRS]]
+        at, place = _occurrences(x, last, chosen >> 16, chosen & 0xFFFF)
+        joined = np.diff(at) == 1  # with the occurrence before
+        run = np.concatenate(([True], ~joined | (place[1:] != place[:-1])))
+        before = np.concatenate(([PAIRS], np.where(joined, place[:-1], PAIRS)))
+        after = np.concatenate((np.where(joined, place[1:], PAIRS), [PAIRS]))
+        number = np.arange(len(at))
+        start = np.maximum.accumulate(np.where(run, number, 0))  # of a run of one pair
+        take = ((number - start) % 2 == 0) & (place < before[start]) & (place <= after)
+        at, place = at[take], place[take]
+        x[at] = first_rule + len(rules) + place
+        last[at] = last[at + 1]
+        keep = np.ones(len(x), bool)
+        keep[at + 1] = False
         x, last = x[keep], last[keep]
         rules = np.concatenate((rules, np.stack((chosen >> 16, chosen & 0xFFFF), axis=1)))
     return x, last, rules
@@ -92,7 +108,14 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarra
 
 
 class _Learner:
-    """Ids of distinct pieces by the tokenizers library."""
+    """Ids of distinct pieces by the tokenizers library.
+
+    Most pieces are a blank and letters. A byte-level tokenizer splits a text of such pieces at
+    their blanks again, so they are encoded `JOINED` at once, and a token that starts
+    with the blank begins the next piece. All other pieces are encoded one by one.
+    """
+
+    JOINED = 50
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -100,14 +123,42 @@ class _Learner:
 
         self.of = Tokenizer.from_file(path)
         self.of.encode_special_tokens = True
+        self.begins = np.zeros(self.of.get_vocab_size(), bool)
+        for token, i in self.of.get_vocab().items():
+            self.begins[i] = token.startswith(BLANK)
+        self.byte_level = self.of.token_to_id(BLANK) is not None and self.single([" a", " ab"])[0].sum() == len(self.of.encode(" a ab", add_special_tokens=False).ids)
+
+    def single(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.of.encode_batch_fast(pieces, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return sizes, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
+
+    def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lots = [words[at : at + self.JOINED] for at in range(0, len(words), self.JOINED)]
+        sizes, ids = [], []
+        for some, found in zip(lots, self.of.encode_batch_fast(["".join(some) for some in lots], add_special_tokens=False), strict=True):
+            code = np.array(found.ids, np.uint32)
+            first = np.flatnonzero(self.begins[code])
+            if len(first) == len(some) and first[0] == 0:
+                sizes.append(np.diff(np.append(first, len(code))))
+                ids.append(code)
+            else:
+                for part, held in zip(self.single(some), (sizes, ids), strict=True):
+                    held.append(part)
+        return np.concatenate(sizes), np.concatenate(ids)
 
     def __call__(self, pieces: list[str]) -> tuple[np.ndarray, ...]:
-        sizes, ids = [], []
-        for at in range(0, len(pieces), 20_000):
-            found = [e.ids for e in self.of.encode_batch_fast(pieces[at : at + 20_000], add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-            ids.append(np.fromiter((i for x in found for i in x), np.uint32, int(sizes[-1].sum())))
-        return np.concatenate([*sizes, np.zeros(0, np.int64)]), np.concatenate([*ids, np.zeros(0, np.uint32)])
+        word = np.fromiter((self.byte_level and p[0] == " " and p[1:].isalpha() for p in pieces), bool, len(pieces))
+        sizes, flat, begin, known = np.zeros(len(pieces), np.int64), [], np.zeros(len(pieces), np.int64), 0
+        for learn, mine in ((self.joined, word), (self.single, ~word)):
+            if mine.any():
+                n, ids = learn([pieces[i] for i in np.flatnonzero(mine)])
+                sizes[mine], begin[mine] = n, known + np.cumsum(n) - n
+                flat.append(ids)
+                known += len(ids)
+        upto = np.cumsum(sizes)
+        ids = np.concatenate([*flat, np.zeros(0, np.uint32)])
+        return sizes, ids[np.repeat(begin - (upto - sizes), sizes) + np.arange(known)]
 
 
 _MEMOS: dict[tuple[str, str], tuple[Memo, int]] = {}
