@@ -66,6 +66,10 @@ def counts(docs: DataFrame) -> DataFrame:
     A 3-word window that is found twice or more covers its words. Windows are sorted inside
     their document, equal neighbours are the repeated ones, and the words they cover are
     summed over their ascending starts. No row leaves its partition.
+
+    The count of repeated words names the partition's number, which is not deterministic to the
+    optimizer: so a filter on the counts stays above them. Pushed below, it would hold a copy
+    of every step for every place that names it, and planning would not end.
     """
     d = id_and_text(docs).withColumn("w", words_of(F.col("text")))
     d = d.withColumns({"n": F.size("w").cast("long"), "windows": F.expr("CASE WHEN size(w) < 3 THEN array() ELSE transform(sequence(0, size(w) - 3), i -> concat_ws(' ', w[i], w[i + 1], w[i + 2])) END")})
@@ -81,7 +85,7 @@ def counts(docs: DataFrame) -> DataFrame:
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         n_symbols(F.col("text")).alias("n_symbols"),
         n_dup_lines(F.col("text")).alias("n_dup_lines"),
-        F.expr(f"CASE WHEN starts IS NULL THEN 0L ELSE {covered} END").alias("n_repeat_words"),
+        F.expr(f"CASE WHEN spark_partition_id() < 0 THEN NULL WHEN starts IS NULL THEN 0L ELSE {covered} END").alias("n_repeat_words"),
     )
 
 
@@ -124,16 +128,10 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs, with all their columns, that no rule rejects.
-
-    The partition's number, which is not deterministic to the optimizer, stands beside the verdict
-    so that the filter stays above the counts: pushed below them it would hold a copy of
-    every count for every place that names it.
-    """
+    """The rows of docs, with all their columns, that no rule rejects."""
     row = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
     d = _counts_of_rows(row)
-    verdict = d.select("row", first_failure(cascade(d, rules)).alias("failed_rule"), F.spark_partition_id().alias("part"))
-    return verdict.filter("failed_rule IS NULL AND part >= 0").select("row.*")
+    return d.filter(first_failure(cascade(d, rules)).isNull()).select("row.*")
 
 
 def _counts_of_rows(rows: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quartzfolio.llm import bpe, chat_format, minhash_forest, pieces, quality_classifier, quality_rules, token_files, url_filter
+from quartzfolio.llm.common import written
 
 from .conftest import SF
 
@@ -169,7 +170,7 @@ def test_pipeline(spark, docs, encoding):
     names = docs.columns
     step, sizes = docs, [docs.count()]
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        step = stage(spark, step, SF)
+        step = written(stage(spark, step, SF), "step")
         assert step.columns == names
         sizes.append(step.count())
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
