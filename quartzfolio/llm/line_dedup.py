@@ -1,21 +1,25 @@
 """Line dedup by content-defined chunks of lines (DataFrame and SQL functions only).
 
-A rolling hash over the hashes of `WINDOW` neighbouring lines ends a chunk where it is 0
-modulo `DIVISOR`, so an inserted line moves the boundaries next to it only. A line of
-`LONG_LINE` words or more is a chunk of its own. A chunk is eligible if it has `MIN_WORDS`
-words (parted by blanks) and either two lines or `LONG_LINE` words. Eligible chunks whose hash occurs more than
-once are compared byte for byte with the first occurrence (lowest doc_id, then position);
-those that equal it are removed with their lines, and the first stays.
-
-The hashes are counted first; then documents meet the numbers of their repeated chunks in one
-shuffle of the texts, and the bodies of these chunks alone are shuffled to be compared. A hot
-chunk is pre-aggregated to a count and a first occurrence; the joins back are plain shuffled
+A rolling hash over `WINDOW` neighbouring lines (empty ones between them only counted) is taken
+at every line and looked up in all documents. A chunk begins and ends where these windows begin
+and cease to repeat, whatever stands around it: a run of windows, each of which has occurred
+before (by doc_id, then position), with `MIN_WORDS` words in all, so that a repeated passage of
+two lines or more is found from its first line to its last. A line of `LONG_LINE` words or more
+that has occurred before is cut by itself. The first occurrence of every line stays.
+
+Words are parted by white space; in lines with more than `WIDE` characters to a word each
+character of a script without blanks (Chinese, Japanese, Thai, Lao, Khmer, Burmese) is a word.
+
+The hashes are counted first; then documents meet the numbers of their repeated windows in one
+shuffle of the texts, and the lines of these windows alone are shuffled to be compared byte for
+byte: should two different ones share a 64-bit hash, all is done again under another seed. A hot
+window is pre-aggregated to a count and a first occurrence; the joins back are plain shuffled
 equi-joins, which adaptive execution splits where a key is skewed.
 
 Edge cases: a null text has no lines and stays null, an empty one has one empty line; a text
-whose chunks are all removed becomes empty; equal rows (same doc_id and text) count as one
-occurrence and stay alike; a null doc_id sorts first; an empty table gives no rows; other
-columns are kept as they are.
+whose chunks are all removed becomes empty; empty lines go where both neighbours go; equal rows
+(same doc_id and text) count as one occurrence and stay alike; a null doc_id sorts first; an
+empty table gives no rows; other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -23,69 +27,92 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import SPACE, written
 
-WINDOW, DIVISOR, LONG_LINE, MIN_WORDS = 2, 3, 30, 20
+WINDOW, LONG_LINE, MIN_WORDS, WIDE = 2, 30, 20, 20
 NO_ID = -(2**63)
+#: The hash of a line x under a seed.
+HASH = "xxhash64({x}, {seed})"
+_WORD = SPACE.replace("[", "[^").replace("\\", "\\\\") + "+"
+_UNPARTED = "[" + "".join(f"\\\\p{{Is{s}}}" for s in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")) + "]"
 
 
-def _chunked(docs: DataFrame, where: str = "true") -> DataFrame:
-    """Adds lines and chunks, an array of (start, end, words), to a doc_id, its key and text, where asked for."""
-    d = docs.select(
+def _words(x: str) -> str:
+    """SQL for the number of words of a line that isn't empty; the pattern only where blanks aren't single ones."""
+    odd = f"contains({x}, '  ') OR contains({x}, '\\t') OR contains({x}, '\\r') OR startswith({x}, ' ') OR endswith({x}, ' ')"
+    parted = f"CASE WHEN {odd} THEN regexp_count({x}, '{_WORD}') ELSE 1 + length({x}) - length(replace({x}, ' ', '')) END"
+    unparted = f"length({x}) - length(regexp_replace({x}, '{_UNPARTED}', ''))"
+    wide = f"length({x}) > {WIDE} * (1 + length({x}) - length(replace({x}, ' ', '')))"
+    return f"CASE WHEN {wide} THEN greatest({parted}, {unparted}) ELSE {parted} END"
+
+
+def _lined(docs: DataFrame, seed: int, where: str = "true") -> DataFrame:
+    """Adds to a doc_id its key and, where asked for, _lines: (x, i, h, n) of the lines that aren't empty."""
+    filled = "filter(transform(split(text, '\\n'), (x, i) -> struct(x AS x, i AS i)), u -> u.x != '')"
+    return docs.select(
         "*",
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"),
         F.xxhash64("doc_id", "text").alias("_key"),
-        F.expr(f"CASE WHEN {where} THEN transform(split(text, '\\n'), x -> struct(x AS x, xxhash64(x) AS h, 1 + length(x) - length(replace(x, ' ', '')) AS n)) END").alias("_lines"),
+        F.expr(f"CASE WHEN {where} THEN transform({filled}, u -> struct(u.x AS x, u.i AS i, {HASH.format(x='u.x', seed=seed)} AS h, {_words('u.x')} AS n)) END").alias("_lines"),
     )
-    rolling = " + ".join(f"coalesce(shiftleft(shiftright(_lines[greatest(i - {k}, 0)].h, 8), {k}), 0L)" for k in range(WINDOW))
-    ends = f"i = size(_lines) - 1 OR _lines[i].n >= {LONG_LINE} OR _lines[i + 1].n >= {LONG_LINE} OR pmod(xxhash64({rolling}), {DIVISOR}) = 0"
-    d = d.withColumn("_ends", F.expr(f"filter(transform(_lines, (x, i) -> IF({ends}, i, -1)), i -> i >= 0)"))
-    start = "IF(k = 0, 0, _ends[k - 1] + 1)"
-    return d.withColumn("_chunks", F.expr(f"transform(_ends, (e, k) -> struct({start} AS s, e AS e, aggregate(slice(_lines, {start} + 1, e - {start} + 1), 0, (a, x) -> a + x.n) AS n))"))
 
 
-def _eligible(chunked: DataFrame) -> DataFrame:
-    """A row for each eligible chunk: _id, _key, k and h, the hash of its lines' hashes."""
-    chosen = f"filter(transform(_chunks, (c, k) -> struct(c.s AS s, c.e AS e, c.n AS n, k AS k)), c -> c.n >= {MIN_WORDS} AND (c.e > c.s OR c.n >= {LONG_LINE}))"
-    hashes = "xxhash64(transform(slice(_lines, c.s + 1, c.e - c.s + 1), x -> x.h))"
-    return chunked.select("_id", "_key", F.explode(F.expr(f"transform({chosen}, c -> struct(c.k AS k, {hashes} AS h))")).alias("c")).select("_id", "_key", "c.*")
+def _window(u: str, v: str, seed: int) -> str:
+    return HASH.format(x=f"{u}.h, {v}.i - {u}.i, {v}.h", seed=seed)
+
 
+def _windows(lined: DataFrame, seed: int) -> DataFrame:
+    """_id, _key, k and h: k = 2p is the window from line p on, k = 2p + 1 the long line p. Two long lines need no window."""
+    pair = f"IF(u.n >= {LONG_LINE} AND get(_lines, p + 1).n >= {LONG_LINE} OR p = size(_lines) - 1, NULL, {_window('u', 'get(_lines, p + 1)', seed)})"
+    both = f"flatten(transform(_lines, (u, p) -> array(struct(2 * p AS k, {pair} AS h), struct(2 * p + 1 AS k, IF(u.n >= {LONG_LINE}, u.h, NULL) AS h))))"
+    return lined.select("_id", "_key", F.explode(F.expr(f"filter({both}, w -> w.h IS NOT NULL)")).alias("w")).select("_id", "_key", "w.*")
 
-def _hits(docs: DataFrame) -> DataFrame:
-    """_hid, _hkey and hits, (k, h, first) of the chunks of a document whose hash repeats."""
-    eligible = written(_eligible(_chunked(docs.select("doc_id", "text"))), "line_chunks")
-    repeated = eligible.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_key", "k")).alias("first")).filter("n > 1").select("h", "first")
-    hit = eligible.join(repeated, "h").select(F.col("_id").alias("_hid"), F.col("_key").alias("_hkey"), F.expr("struct(k, h, first = struct(_id, _key, k) AS first)").alias("hit"))
+
+def _hits(docs: DataFrame, seed: int) -> DataFrame:
+    """_hid, _hkey and hits, (k, first) of the windows of a document whose hash repeats."""
+    every = written(_windows(_lined(docs.select("doc_id", "text"), seed), seed), "line_windows")
+    repeated = every.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_key", "k")).alias("first")).filter("n > 1").select("h", "first")
+    hit = every.join(repeated, "h").select(F.col("_id").alias("_hid"), F.col("_key").alias("_hkey"), F.expr("struct(k, first = struct(_id, _key, k) AS first)").alias("hit"))
     return hit.groupBy("_hid", "_hkey").agg(F.collect_set("hit").alias("hits"))
 
 
-def _false_hits(marked: DataFrame) -> DataFrame:
-    """Byte comparison: _fid, _fkey, ks of hits whose chunk differs from the first of that hash."""
-    body = "array_join(transform(slice(_lines, _chunks[x.k].s + 1, _chunks[x.k].e - _chunks[x.k].s + 1), y -> y.x), '\\n')"
-    found = _chunked(marked.filter("hits IS NOT NULL")).select(F.col("_id").alias("_fid"), F.col("_key").alias("_fkey"), F.explode(F.expr(f"transform(hits, x -> struct(x.k, x.h, x.first, {body} AS body))")).alias("c")).select("_fid", "_fkey", "c.*")
-    originals = found.filter("first").groupBy("h").agg(F.first("body").alias("original"))
-    return found.filter("NOT first").join(originals, "h").filter("body != original").groupBy("_fid", "_fkey").agg(F.collect_set("k").alias("ks"))
+def _collide(marked: DataFrame, seed: int) -> bool:
+    """Byte comparison: whether lines or windows that repeat share a hash and differ."""
+    line = "struct(_lines[p].h AS h, _lines[p].x AS x)"
+    pair = f"struct({_window('_lines[p]', '_lines[p + 1]', seed)} AS h, concat_ws(' ', _lines[p].h, _lines[p + 1].i - _lines[p].i, _lines[p + 1].h) AS x)"
+    lined = _lined(marked.filter("hits IS NOT NULL"), seed)
+    lined = lined.withColumns({"_pairs": F.expr("transform(filter(hits, x -> x.k % 2 = 0), x -> CAST(x.k / 2 AS INT))"), "_long": F.expr("transform(filter(hits, x -> x.k % 2 = 1), x -> CAST((x.k - 1) / 2 AS INT))")})
+    lined = lined.withColumn("_used", F.expr("array_distinct(concat(_pairs, transform(_pairs, p -> p + 1), _long))"))
+    found = lined.select(F.explode(F.expr(f"concat(transform(_used, p -> {line}), transform(_pairs, p -> {pair}))")).alias("c")).select("c.*")
+    return not found.groupBy("h").agg(F.min("x").alias("low"), F.max("x").alias("high")).filter("low != high").isEmpty()
+
+
+def _blocks(ks: str) -> str:
+    """SQL for the (s, e) of neighbouring numbers in an ascending array."""
+    first = f"filter({ks}, (p, j) -> j = 0 OR get({ks}, j - 1) != p - 1)"
+    last = f"filter({ks}, (p, j) -> j = size({ks}) - 1 OR get({ks}, j + 1) != p + 1)"
+    return f"zip_with({first}, {last}, (s, e) -> struct(s AS s, e AS e))"
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The rows of docs with repeated chunks cut from text, and _n_lines, _n_removed_lines, _n_removed_chunks."""
     names = [c for c in docs.columns if c != "text"]
     rows = docs.select("doc_id", "text", F.struct(*(F.col(c) for c in names)).alias("_row")).withColumns({"_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_k": F.xxhash64("doc_id", "text")})
-    marked = written(rows.join(_hits(docs), F.expr("_i = _hid AND _k = _hkey"), "left").select("doc_id", "text", "_row", "hits"), "line_dedup")
-    d, cut = _chunked(marked, "hits IS NOT NULL"), "transform(filter(hits, x -> NOT x.first), x -> x.k)"
-    false = _false_hits(marked).persist()
-    if false.isEmpty():
-        d = d.withColumn("ks", F.expr(cut))
-    else:  # different chunks with one 64-bit hash
-        d = d.join(false, F.expr("_id = _fid AND _key = _fkey"), "left").withColumn("ks", F.expr(f"array_except({cut}, coalesce(ks, array()))"))
-    gone = "filter(transform(_chunks, (c, k) -> IF(array_contains(ks, k), c, NULL)), c -> c IS NOT NULL)"
-    kept = "filter(transform(_chunks, (c, k) -> IF(array_contains(ks, k), NULL, c)), c -> c IS NOT NULL)"
-    text = f"array_join(transform({kept}, c -> array_join(transform(slice(_lines, c.s + 1, c.e - c.s + 1), x -> x.x), '\\n')), '\\n')"
-    any_cut = "coalesce(size(ks), 0) > 0"
+    marked = written(rows.join(_hits(docs, seed), F.expr("_i = _hid AND _k = _hkey"), "left").select("doc_id", "text", "_row", "hits"), "line_dedup")
+    if _collide(marked, seed):
+        return deduplicated(docs, seed + 1)
+    d = _lined(marked, seed, "exists(hits, x -> NOT x.first)")
+    d = d.withColumn("_pairs", F.expr("IF(_lines IS NULL, NULL, sort_array(transform(filter(hits, x -> NOT x.first AND x.k % 2 = 0), x -> CAST(x.k / 2 AS INT))))"))
+    d = d.withColumn("_runs", F.expr(f"filter({_blocks('_pairs')}, r -> aggregate(slice(_lines, r.s + 1, r.e - r.s + {WINDOW}), 0, (a, x) -> a + x.n) >= {MIN_WORDS})"))
+    long = "transform(filter(hits, x -> NOT x.first AND x.k % 2 = 1), x -> CAST((x.k - 1) / 2 AS INT))"
+    d = d.withColumn("_gone", F.expr(f"sort_array(array_union(flatten(transform(_runs, r -> sequence(r.s, r.e + {WINDOW - 1}))), IF(_lines IS NULL, NULL, {long})))"))
+    d = d.withColumn("_cuts", F.expr(f"transform({_blocks('_gone')}, b -> struct(_lines[b.s].i AS s, _lines[b.e].i AS e))"))
+    d = d.withColumn("_all", F.expr("IF(size(_cuts) > 0, split(text, '\\n'), NULL)"))
+    between = "transform(concat(_cuts, array(struct(size(_all) AS s, size(_all) AS e))), (c, k) -> slice(_all, IF(k = 0, 0, get(_cuts, k - 1).e + 1) + 1, c.s - IF(k = 0, 0, get(_cuts, k - 1).e + 1)))"
     return d.select(
         "_row.*",
-        F.expr(f"CASE WHEN {any_cut} THEN {text} ELSE text END").alias("text"),
+        F.expr(f"CASE WHEN _all IS NOT NULL THEN array_join(flatten({between}), '\\n') ELSE text END").alias("text"),
         F.expr("1L + length(text) - length(replace(text, '\n', ''))").alias("_n_lines"),
-        F.expr(f"CASE WHEN {any_cut} THEN aggregate({gone}, 0L, (a, c) -> a + c.e - c.s + 1) ELSE 0L END").alias("_n_removed_lines"),
-        F.expr("coalesce(CAST(size(ks) AS BIGINT), 0L)").alias("_n_removed_chunks"),
+        F.expr("CASE WHEN _all IS NOT NULL THEN aggregate(_cuts, 0L, (a, c) -> a + c.e - c.s + 1) ELSE 0L END").alias("_n_removed_lines"),
+        F.expr("CASE WHEN _all IS NOT NULL THEN CAST(size(_cuts) AS BIGINT) ELSE 0L END").alias("_n_removed_chunks"),
     )

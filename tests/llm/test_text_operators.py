@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import duckdb
@@ -65,6 +66,36 @@ def test_line_dedup_keeps_what_occurs_once(docs, texts):
     assert not [x for x, n in after.items() if n > 1 and len(x.split()) >= line_dedup.LONG_LINE]
 
 
+def passages(rng):
+    """Passages of 50 to 200 words in 2 to 20 lines, some without blanks or with empty lines, each as (sep, lines)."""
+    for k in range(120):
+        n_words, n_lines = rng.choice([50, 52, 60, 80, 100, 200]), rng.choice([2, 3, 4, 6, 8, 10, 15, 20])
+        cuts = sorted(rng.sample(range(1, n_words), n_lines - 1))
+        w = [chr(rng.randrange(0x4E00, 0x9000)) if k % 10 == 9 else f"p{k}x{i}" for i in range(n_words)]
+        yield "\n\n" if k % 5 == 3 else "\n", [("" if k % 10 == 9 else " ").join(w[a:b]) for a, b in zip([0, *cuts], [*cuts, n_words])]
+
+
+def test_line_dedup_cuts_planted_passages(spark):
+    rng, rows, want = random.Random(7), [], {}
+    own = lambda: "\n".join(" ".join(f"o{rng.randrange(10**9)}" for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 6)))
+    for k, (sep, lines) in enumerate(passages(rng)):
+        for copy in range(3):
+            before, after = own(), own()
+            rows.append((10 * k + copy, f"{before}\n{sep.join(lines)}\n{after}"))
+            want[10 * k + copy] = rows[-1][1] if copy == 0 else f"{before}\n{after}"
+    few = [(10**6, "own a\nHome of it\nAbout us\nown b"), (10**6 + 1, "own c\nHome of it\nAbout us\nown d"), (10**6 + 2, "x    y\nu" + 30 * " " + "v\nown e"), (10**6 + 3, "x    y\nu" + 30 * " " + "v\nown f")]
+    got = {r.doc_id: r for r in line_dedup.deduplicated(spark.createDataFrame(rows + few, SCHEMA)).collect()}
+    assert {i: r.text for i, r in got.items()} == want | dict(few)
+    assert all(got[i]._n_removed_chunks == (i % 10 > 0) and got[i]._n_lines - got[i]._n_removed_lines == t.count("\n") + 1 for i, t in want.items())
+
+
+def test_line_dedup_hashes_that_collide(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HASH", "IF({seed} = 0, xxhash64({x}) & 3L, xxhash64({x}, {seed}))")
+    rows = [(k, "\n".join(" ".join(f"w{k if line != 1 else 0}_{line}_{i}" for i in range(40)) for line in range(3))) for k in range(4)]
+    got = {r.doc_id: r.text for r in line_dedup.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {k: t if k == 0 else "\n".join(t.split("\n")[::2]) for k, t in rows}
+
+
 def words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m.group().lower(), t or ""))
 
