@@ -14,6 +14,9 @@ from quartzfolio.llm import bpe, decontaminate, line_dedup, minhash_forest, qual
 from quartzfolio.llm.common import table, written
 from quartzfolio.llm.queries import RANKS
 
+#: The similarity of word shingles from which the pipeline links documents (op6's contract has 85).
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
@@ -28,8 +31,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group."""
-    return minhash_forest.representatives(docs)
+    """One document of each group of links at a similarity of NEAR_PERCENT or more."""
+    return minhash_forest.representatives(docs, NEAR_PERCENT)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

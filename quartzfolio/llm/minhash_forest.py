@@ -1,8 +1,8 @@
 """Near-duplicates by an LSH forest over MinHash signatures, confirmed on full shingle sets.
 
 1. Every text becomes its set of 5-word shingles (64-bit hashes), a 128-bit fingerprint of the set
-   and `TREES` x `LENGTH` minima. Equal sets are one class, so exact copies never meet in pairs.
-2. Each tree is a sorted order of the classes by its own `LENGTH` minima. Classes that share the first
+   and trees x `LENGTH` minima. Equal sets are one class, so exact copies never meet in pairs.
+2. The threshold gives the number of trees (16 at 85 per cent, 23 at 80). Each tree is a sorted order of the classes by its own `LENGTH` minima. Classes that share the first
    `DEPTH` minima are a region. Candidates are the neighbours in the order by longest common prefix
    (its depth adapts: the sort goes on below a crowded prefix), the region's lowest id and the hub,
    the lowest id below its most frequent longer prefix. They grow in proportion to the members.
@@ -16,7 +16,7 @@
 
 After that no pair of a region is left untested but those already connected, whatever the
 region's size. A pair at the threshold misses all regions with a probability of
-(1 - 0.85 ** DEPTH) ** TREES = 8e-6. Links, components and sets stay in tables in the shared folder.
+(1 - similarity ** DEPTH) ** trees, `MISS` = 8e-6 at most. Links, components and sets stay in tables in the shared folder.
 
 Edge cases: a null or empty text, or one without words, has no shingles and is linked with nothing; fewer
 words than 5 are one shingle; rows of one doc_id are one document in the components (and kept
@@ -26,7 +26,10 @@ columns are kept by `representatives` and ignored otherwise.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -37,19 +40,48 @@ from .common import written
 from .decontaminate import Words
 from .pieces import batches
 
-SHINGLE, PERCENT = 5, 85
-TREES, DEPTH, LENGTH = 16, 4, 6
+SHINGLE, DEPTH, LENGTH = 5, 4, 6
+#: The most that a pair at the threshold may miss all regions.
+MISS = 8e-6
 BATCH_CHARS, BLOCK, MINI = 4_000_000, 512, 512
-#: Share of equal minima below which a pair is ruled out: nearly five deviations below the threshold.
-SURE = 0.68
+#: Deviations that a share of the shingles may lie below the threshold.
+SLACK = 5
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
-_R = np.random.default_rng(20240601)
-_A = _R.integers(0, 1 << 63, TREES * LENGTH, dtype=np.uint64) | np.uint64(1)
-_B = _R.integers(0, 1 << 63, TREES * LENGTH, dtype=np.uint64)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+@dataclass(frozen=True)
+class Forest:
+    """The threshold in per cent, and what follows from it."""
+
+    percent: int
+
+    @property
+    def similarity(self) -> float:
+        return self.percent / 100
+
+    @property
+    def trees(self) -> int:
+        return math.ceil(math.log(MISS) / math.log(1 - self.similarity**DEPTH))
+
+    @property
+    def sure(self) -> float:
+        """Share of equal minima below which a pair is ruled out: 4.66 deviations below the threshold."""
+        return self.similarity - 4.66 * math.sqrt(self.variance / (self.trees * LENGTH))
+
+    @property
+    def variance(self) -> float:
+        """Of one shingle of the union at the threshold."""
+        return self.similarity * (1 - self.similarity)
+
+
+@cache
+def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    r = np.random.default_rng(20240601)
+    return r.integers(0, 1 << 63, n, dtype=np.uint64) | np.uint64(1), r.integers(0, 1 << 63, n, dtype=np.uint64)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return x ^ (x >> np.uint64(29))
@@ -85,8 +117,9 @@ def _fingerprint(s: np.ndarray) -> bytes:
     return len(s).to_bytes(4, "little") + int(np.bitwise_xor.reduce(s * _M2)).to_bytes(8, "little") + int(np.add.reduce(_mixed(s ^ _M1))).to_bytes(8, "little")
 
 
-def _sketches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    words = Words(_WORD)
+def _sketches(frames: Iterator[pd.DataFrame], forest: Forest) -> Iterator[pd.DataFrame]:
+    words, trees = Words(_WORD), forest.trees
+    by, plus = _multipliers(trees * LENGTH)
     for ids, texts in batches(frames, BATCH_CHARS):
         sets = shingle_sets(texts, words)
         full = [k for k, s in enumerate(sets) if len(s)]
@@ -95,11 +128,11 @@ def _sketches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             flat = np.concatenate([sets[k] for k in full])
             size = np.array([len(sets[k]) for k in full])
             first = np.cumsum(size) - size
-            least = np.empty((len(full), TREES * LENGTH), np.uint64)
-            for j in range(TREES * LENGTH):
-                least[:, j] = np.minimum.reduceat(_mixed(flat * _A[j] + _B[j]), first)
-            tree = _mixed(least).reshape(len(full), TREES, LENGTH)
-            key, deep = np.zeros((2, len(full), TREES), np.uint64)
+            least = np.empty((len(full), trees * LENGTH), np.uint64)
+            for j in range(trees * LENGTH):
+                least[:, j] = np.minimum.reduceat(_mixed(flat * by[j] + plus[j]), first)
+            tree = _mixed(least).reshape(len(full), trees, LENGTH)
+            key, deep = np.zeros((2, len(full), trees), np.uint64)
             key, deep = key.astype(np.uint64), deep.astype(np.uint64)
             for j in range(LENGTH):
                 if j < DEPTH:
@@ -112,10 +145,10 @@ def _sketches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows)
 
 
-def sketched(docs: DataFrame) -> DataFrame:
+def sketched(docs: DataFrame, forest: Forest) -> DataFrame:
     """doc_id, n (shingles), cls (fingerprint), sig, and for each tree its region key and deeper order."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return d.mapInPandas(_sketches, "doc_id long, n long, cls binary, sig binary, keys array<long>, deep array<long>")
+    return d.mapInPandas(lambda frames: _sketches(frames, forest), "doc_id long, n long, cls binary, sig binary, keys array<long>, deep array<long>")
 
 
 def _neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,17 +162,17 @@ def _neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _likely(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _likely(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray, forest: Forest) -> np.ndarray:
     """What sizes and signatures leave open; a and b broadcast against one another."""
-    sizes = 100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)
-    return sizes & ((a == b).mean(-1) >= SURE)
+    sizes = 100 * np.minimum(na, nb) >= forest.percent * np.maximum(na, nb)
+    return sizes & ((a == b).mean(-1) >= forest.sure)
 
 
-def _open_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _open_pairs(frames: Iterator[pd.DataFrame], forest: Forest) -> Iterator[pd.DataFrame]:
     for f in frames:
         if len(f):
             a, b = (np.frombuffer(b"".join(f[c]), "<u2").reshape(len(f), -1) for c in ("sig_a", "sig_b"))
-            f = f[_likely(f["n_a"].values, f["n_b"].values, a, b)]
+            f = f[_likely(f["n_a"].values, f["n_b"].values, a, b, forest)]
         yield f[["a", "b", "cls_a", "cls_b"]]
 
 
@@ -150,7 +183,7 @@ def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"cls": [_fingerprint(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
 
 
-def _confirmed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _confirmed(frames: Iterator[pd.DataFrame], forest: Forest) -> Iterator[pd.DataFrame]:
     for f in frames:
         keep = []
         for x, y in zip(f["set_a"], f["set_b"], strict=True):
@@ -158,22 +191,22 @@ def _confirmed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             both = np.concatenate((x, y))
             both.sort()
             common = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
+            keep.append(100 * common >= forest.percent * (len(x) + len(y) - common))
         yield f.loc[keep, ["a", "b"]]
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
     """Of candidate pairs (a < b, ids of classes) those whose full sets reach the threshold."""
     of = classes.select("id", "cls", "n", "sig")
     for side in "ab":
         pairs = pairs.join(of.withColumnsRenamed({"id": side, "cls": f"cls_{side}", "n": f"n_{side}", "sig": f"sig_{side}"}), side)
-    likely = written(pairs.mapInPandas(_open_pairs, "a long, b long, cls_a binary, cls_b binary"), "likely_pairs")
+    likely = written(pairs.mapInPandas(lambda frames: _open_pairs(frames, forest), "a long, b long, cls_a binary, cls_b binary"), "likely_pairs")
     ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(ids, F.col("doc_id") == F.col("id"), "left_semi")
     sets = written(texts.mapInPandas(_sets, "cls binary, shingles binary"), "shingle_sets")
     for side in "ab":
         likely = likely.join(sets.withColumnsRenamed({"cls": f"cls_{side}", "shingles": f"set_{side}"}), f"cls_{side}")
-    return likely.mapInPandas(_confirmed, "a long, b long").distinct()
+    return likely.mapInPandas(lambda frames: _confirmed(frames, forest), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -200,7 +233,7 @@ def _minis(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"cls": [_fingerprint(s) for s in sets], "bits": bits, "mini": [np.sort(x[(x & np.uint32((1 << k) - 1)) == 0]).tobytes() for x, k in zip(low, bits, strict=True)]})
 
 
-def _alike(mine: np.ndarray, my_bits: int, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, bits: np.ndarray, some: np.ndarray) -> np.ndarray:
+def _alike(mine: np.ndarray, my_bits: int, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, bits: np.ndarray, some: np.ndarray, forest: Forest) -> np.ndarray:
     """Of the places `some` in a block those whose shingles leave a link with mine open."""
     if not len(some) or not len(mine):
         return some
@@ -215,11 +248,11 @@ def _alike(mine: np.ndarray, my_bits: int, flat: np.ndarray, begin: np.ndarray,
     common = np.bincount(of, hit, len(some))
     of_mine = np.array([int(((mine & m) == 0).sum()) for m in np.unique(mask)])[np.searchsorted(np.unique(mask), mask)]
     union = np.maximum(np.bincount(of, used, len(some)) + of_mine - common, 1)
-    slack = np.where(share == 0, 0.0, 5 * np.sqrt(0.1275 / union))
-    return some[100 * common >= (PERCENT - 100 * slack) * union]
+    slack = np.where(share == 0, 0.0, SLACK * np.sqrt(forest.variance / union))
+    return some[100 * common >= (forest.percent - 100 * slack) * union]
 
 
-def _crossed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _crossed(frames: Iterator[pd.DataFrame], forest: Forest) -> Iterator[pd.DataFrame]:
     """Pairs of a block of the rest and a block of its region that aren't connected nor ruled out."""
     for f in frames:
         for r in f.itertuples():
@@ -228,12 +261,12 @@ def _crossed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             flat, begin = np.frombuffer(b"".join(r.mini_2), np.uint32), np.cumsum(size) - size
             for k, (me, n, comp) in enumerate(zip(r.id_1, r.n_1, r.comp_1, strict=True)):
                 some = np.flatnonzero(r.comp_2 != comp)
-                some = some[_likely(r.n_2[some], n, b[some], a[k])]
-                some = _alike(np.frombuffer(r.mini_1[k], np.uint32), r.bits_1[k], flat, begin, size, r.bits_2, some)
+                some = some[_likely(r.n_2[some], n, b[some], a[k], forest)]
+                some = _alike(np.frombuffer(r.mini_1[k], np.uint32), r.bits_1[k], flat, begin, size, r.bits_2, some, forest)
                 yield pd.DataFrame({"a": np.minimum(r.id_2[some], me), "b": np.maximum(r.id_2[some], me)})
 
 
-def _rest(members: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFrame:
+def _rest(members: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
     """Candidate pairs of regions with several components."""
     placed = members.select("t", "key", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     sizes = placed.groupBy("t", "key", "comp").agg(F.count("*").alias("c"))
@@ -248,22 +281,23 @@ def _rest(members: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFr
     columns = lambda side: [F.col(f"x.{c}").alias(f"{c}_{side}") for c in ("id", "comp", "n", "sig", "bits", "mini")]
     every = blocks.groupBy("t", "key", "block").agg(F.collect_list("x").alias("x")).select("t", "key", *columns(2))
     rest = blocks.filter("x.comp != big").groupBy("t", "key", "block").agg(F.collect_list("x").alias("x")).select("t", "key", *columns(1))
-    return rest.join(every, ["t", "key"]).drop("t", "key").mapInPandas(_crossed, "a long, b long").distinct()
+    return rest.join(every, ["t", "key"]).drop("t", "key").mapInPandas(lambda frames: _crossed(frames, forest), "a long, b long").distinct()
 
 
-def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The sketches of all documents; the components (id, comp) of classes that have links."""
-    sketches = written(sketched(docs), "sketches")
+    forest = Forest(percent)
+    sketches = written(sketched(docs, forest), "sketches")
     classes = written(sketches.filter("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "sig", "keys", "deep"))), "classes")
-    forest = classes.select("id", F.posexplode(F.arrays_zip("keys", "deep")).alias("t", "x")).select("t", F.col("x.keys").alias("key"), F.col("x.deep").alias("deep"), "id")
-    below = forest.groupBy("t", "key", "deep").agg(F.count("*").alias("c"), F.min("id").alias("low"))
+    trees = classes.select("id", F.posexplode(F.arrays_zip("keys", "deep")).alias("t", "x")).select("t", F.col("x.keys").alias("key"), F.col("x.deep").alias("deep"), "id")
+    below = trees.groupBy("t", "key", "deep").agg(F.count("*").alias("c"), F.min("id").alias("low"))
     regions = below.groupBy("t", "key").agg(F.sum("c").alias("c"), F.min("low").alias("pivot"), F.max_by("low", F.struct("c", F.expr("-low"))).alias("hub")).filter("c > 1").drop("c")
-    members = written(forest.join(regions, ["t", "key"]), "members")
+    members = written(trees.join(regions, ["t", "key"]), "members")
     order = members.select("t", "key", "deep", "id").repartitionByRange("t", "key", "deep", "id").sortWithinPartitions("t", "key", "deep", "id")
     stars = members.select(F.col("id").alias("me"), F.explode(F.array_distinct(F.array("pivot", "hub"))).alias("you")).filter("me != you").select(F.least("me", "you").alias("a"), F.greatest("me", "you").alias("b"))
-    edges = confirmed(order.mapInPandas(_neighbours, "a long, b long").filter("a != b").unionByName(stars).distinct(), classes, docs)
+    edges = confirmed(order.mapInPandas(_neighbours, "a long, b long").filter("a != b").unionByName(stars).distinct(), classes, docs, forest)
     comps = components(edges)
-    more = confirmed(_rest(members, classes, comps, docs), classes, docs)
+    more = confirmed(_rest(members, classes, comps, docs, forest), classes, docs, forest)
     label = lambda side: comps.withColumnsRenamed({"id": side, "comp": f"c_{side}"})
     across = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("c_a", "a").alias("x"), F.coalesce("c_b", "b").alias("y"))
     joined = components(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()).withColumnsRenamed({"id": "was", "comp": "now"})
@@ -284,15 +318,15 @@ def _repeated_ids(sketches: DataFrame, classes: DataFrame, comps: DataFrame) ->
     return of.join(joined, F.col("comp") == F.col("was"), "left").select("cls", F.coalesce("now", "comp").alias("comp"))
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    sketches, comps = linked(docs)
+    sketches, comps = linked(docs, percent)
     of = sketches.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("cls")).join(comps, "cls", "left")
     component = F.coalesce("comp", "doc_id")
     return of.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of docs, with all their columns, that `groups` keeps."""
-    gone = groups(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("any")).filter("NOT any").select(F.col("doc_id").alias("_gone"))
+    gone = groups(docs, percent).groupBy("doc_id").agg(F.bool_or("kept").alias("any")).filter("NOT any").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

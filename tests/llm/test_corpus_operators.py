@@ -166,6 +166,33 @@ def test_urls(spark):
     assert (got[10].host, got[10].path) == ("a.org", "/path://b")
 
 
+def test_near_duplicates_of_the_pipeline(spark, texts):
+    rng = random.Random(3)
+    rows, between = list(texts.items()), 0
+    for k in range(300):
+        one = [f"v{rng.randrange(10**6)}" for _ in range(rng.randint(60, 900))]
+        other, n = list(one), round(len(one) * rng.uniform(0.1, 0.26) / 5 / 1.4)
+        for at in rng.sample(range(len(one)), max(n, 1)):
+            other[at] = "other"
+        rows += [(10**6 + 2 * k, " ".join(one)), (10**6 + 2 * k + 1, " ".join(other))]
+    sets, where, common = {i: shingles(t) for i, t in rows}, collections.defaultdict(list), collections.Counter()
+    for i, s in sorted(sets.items()):
+        for x in s:
+            where[x].append(i)
+    for ids in where.values():
+        common.update((a, b) for k, b in enumerate(ids) for a in ids[:k])
+    of = {i: i for i in sets}
+    for (a, b), n in common.items():
+        union = len(sets[a]) + len(sets[b]) - n
+        between += 80 * union <= 100 * n < 85 * union
+        if 100 * n >= 80 * union and of[a] != of[b]:
+            low, high = sorted((of[a], of[b]))
+            of = {i: low if c == high else c for i, c in of.items()}
+    assert between > 30
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, c in of.items() if i == c)
+
+
 def test_pipeline(spark, docs, encoding):
     names = docs.columns
     step, sizes = docs, [docs.count()]
