@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -166,6 +167,19 @@ def test_urls(spark):
     assert (got[10].host, got[10].path) == ("a.org", "/path://b")
 
 
+@pytest.mark.parametrize(("percent", "trees"), [(85, 16), (80, 23)])
+def test_minhash_losses(percent, trees):
+    forest, n = minhash_forest.Forest(percent), trees * minhash_forest.LENGTH
+    below = lambda n, least: sum(math.comb(n, k) * (percent / 100) ** k * (1 - percent / 100) ** (n - k) for k in range(least))
+    a = np.arange(n)
+    kept = [k for k in range(n + 1) if minhash_forest._likely(np.array([100]), 100, np.where(a < k, a, -1)[None], a, forest)[0]]
+    assert forest.trees == trees and kept == list(range(kept[0], n + 1))
+    miss = (1 - (percent / 100) ** minhash_forest.DEPTH) ** trees
+    assert below(n, kept[0]) < miss / 50
+    share = math.ceil(256 * (percent / 100 - minhash_forest.SLACK * math.sqrt(forest.variance / 256)))
+    assert miss + below(n, kept[0]) + below(256, share) < 8e-6
+
+
 def test_near_duplicates_of_the_pipeline(spark, texts):
     rng = random.Random(3)
     rows, between = list(texts.items()), 0
