@@ -21,6 +21,11 @@ def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """row, a struct of all columns whatever their names, and its text ("" for null); `select("row.*")` gives docs back."""
+    return docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 

@@ -2,32 +2,45 @@
 
 Each task gathers documents into shards of about `SHARD_CHARS` (a longer document is a shard of
 its own), builds a suffix array over the shard's words to a depth of at least `DEPTH` words,
-and binary-searches every suffix of every benchmark item in it. A suffix's neighbours there
-give its longest verbatim match, the range that shares its window gives all locations. Words
-are compared as 32-bit ids in the array; each hit is confirmed on 64-bit hashes of its words.
+and binary-searches the window at the head of every suffix of every benchmark item in it. The
+range of the array that shares the window gives all its locations. Words are compared as 32-bit
+ids in the array; each hit is confirmed on 64-bit hashes of its words. Equal windows of the
+benchmark are one class that is searched once and knows its items, so that a window repeated in
+the benchmark and in a shard makes no pairs of places.
+
+The longest match of a document is its longest stretch of words of which all windows occur;
+matches of fewer than `WINDOW` words are reported only where a whole item is that short.
 
 The benchmark is the query side. Its bytes are counted first; up to `BLOCK_BYTES` it is broadcast
-at once, beyond that in as many blocks, each a pass over the documents whose results are merged.
+at once, beyond that in as many blocks, each a pass that adds its hits to the rows of the pass
+before or drops the rows it hits. Rows are never joined or merged, so every row has its own verdict.
 
 Edge cases: a null or empty text has no words; an item with fewer than `WINDOW` words is one
-window, one without words is ignored; repeated items count under their item_id once; equal
-documents are judged each for itself (with several blocks: rows of one doc_id and text merge);
-a null doc_id stays null; an empty table on either side works; other columns are ignored.
+window, one without words is ignored; repeated items count under their item_id once; equal rows
+and rows of one doc_id are judged each for itself; a null doc_id stays null; an empty table on
+either side works; `searched` ignores other columns, `clean` keeps them whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import whole_rows, written
+
 WINDOW, DEPTH = 10, 16
 SHARD_CHARS = 3_000_000
-BLOCK_BYTES = 64_000_000
+BLOCK_BYTES = 16_000_000
+#: Windows that are searched at once.
+SLICE = 1 << 16
 PIECE = 1 << 20
 #: Fixed by the contract: ASCII letters and digits and every byte from 0x80 on are in words.
 _IN_WORD = np.zeros(256, bool)
@@ -35,7 +48,8 @@ _IN_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x8
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-SCHEMA = "doc_id long, n_words long, hits array<int>, items array<string>, longest_match long, longest_item string, longest_at long"
+SCHEMA = "doc_id long, text string, n_words long, hits array<int>, items array<string>, longest_match long, longest_item string, longest_at long"
+_TYPES = {"n_words": pa.int64(), "hits": pa.list_(pa.int32()), "items": pa.list_(pa.string()), "longest_match": pa.int64(), "longest_item": pa.string(), "longest_at": pa.int64()}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,42 +139,52 @@ def suffix_array(ids: np.ndarray) -> np.ndarray:
 
 
 class Queries:
-    """All suffixes of the benchmark's items, as one array of words."""
+    """The distinct windows at the heads of the suffixes of the benchmark's items.
+
+    h and ids have a row of `WINDOW` words for each, 0 beyond its `size`; `items_of` gives the names
+    of the items with a window: names[of[begin[k]:begin[k + 1]]].
+    """
 
     def __init__(self, items: list[tuple[str, str]], words: Words) -> None:
-        names, hashes, starts = [], [], []
-        total = 0
+        names, windows, item = [], [np.zeros((0, WINDOW), np.uint64)], [np.zeros(0, np.int64)]
         for name, text in items:
-            h, _ = words((text or "").encode())
-            if len(h):
-                names.append("" if name is None else str(name))
-                starts.append(total)
-                hashes.append(np.append(h, np.uint64(0)))
-                total += len(h) + 1
+            h, _ = words((text or "").encode("utf-8", "surrogatepass"))
+            if not len(h):
+                continue
+            if len(h) < WINDOW:
+                own = np.zeros((1, WINDOW), np.uint64)
+                own[0, : len(h)] = h
+            else:
+                own = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
+            windows.append(own)
+            item.append(np.full(len(own), len(names)))
+            names.append("" if name is None else str(name))
+        every, item = np.ascontiguousarray(np.concatenate(windows)), np.concatenate(item)
+        _, first, inverse = np.unique(every.view(f"V{8 * WINDOW}").ravel(), return_index=True, return_inverse=True)
         self.names = np.array(names, object)
-        self.h = np.concatenate([*hashes, np.zeros(DEPTH + 1, np.uint64)])
+        self.h = every[first]
+        self.size = (self.h != 0).sum(1)
         self.ids = np.where(self.h == 0, np.uint32(0), _ids(self.h))
-        self.item = np.repeat(np.arange(len(names)), np.diff([*starts, total])) if names else np.zeros(0, int)
-        length = np.diff([*starts, total]) - 1 if names else np.zeros(0, int)
-        within = np.arange(total) - np.array(starts, int)[self.item] if names else np.zeros(0, int)
-        size = np.minimum(length, WINDOW)[self.item] if names else within
-        keep = within + size <= length[self.item] if names else np.zeros(0, bool)
-        self.at = np.flatnonzero(keep & (self.ids[:total] != 0))
-        self.size = size[self.at]
+        pairs = np.unique(inverse.ravel().astype(np.int64) * max(len(names), 1) + item)
+        self.of = pairs % max(len(names), 1)
+        self.begin = np.searchsorted(pairs // max(len(names), 1), np.arange(len(first) + 1))
+
+    def items_of(self, which: np.ndarray) -> list[str]:
+        """The names of the items with any of these windows, ascending."""
+        return sorted(set(self.names[np.concatenate([self.of[self.begin[k] : self.begin[k + 1]] for k in which])]))
 
 
-def _search(ids: np.ndarray, order: np.ndarray, q: Queries, at: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndarray, upper: bool) -> np.ndarray:
-    """The first place in the array whose suffix is not below (upper: is above) the query's window."""
+def _search(ids: np.ndarray, order: np.ndarray, q: Queries, some: np.ndarray, low: np.ndarray, high: np.ndarray, upper: bool) -> np.ndarray:
+    """The first place in the array whose suffix is not below (upper: is above) each window of some."""
     step, n = np.arange(WINDOW), len(ids)
     padded = np.concatenate((ids, np.zeros(WINDOW, np.uint32)))
-    want, used = q.ids[at[:, None] + step], step < size[:, None]
-    low, high = low.copy(), high.copy()
+    want, used = q.ids[some], step < q.size[some][:, None]
+    low, high, rows = low.copy(), high.copy(), np.arange(len(some))
     while (open_ := low < high).any():
         mid = (low + high) // 2
-        have = padded[np.minimum(order[np.minimum(mid, n - 1)], n)[:, None] + step]
+        have = padded[order[np.minimum(mid, n - 1)][:, None] + step]
         differs = (have != want) & used
         first = differs.argmax(1)
-        rows = np.arange(len(at))
         same = ~differs[rows, first]
         right = np.where(same, upper, have[rows, first] < want[rows, first]) & open_
         low = np.where(right, mid + 1, low)
@@ -169,43 +193,47 @@ def _search(ids: np.ndarray, order: np.ndarray, q: Queries, at: np.ndarray, size
 
 
 def matches(h: np.ndarray, q: Queries) -> tuple[np.ndarray, np.ndarray]:
-    """All (position in the text, index into q.at) at which a window occurs in the words h."""
+    """All (place, window): at most one for each place and size of a window."""
     ids = np.where(h == 0, np.uint32(0), _ids(h))
-    if not len(q.at) or not len(ids):
-        return np.zeros(0, int), np.zeros(0, int)
+    places, windows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if not len(ids) or not len(q.size):
+        return places[0], windows[0]
     order = suffix_array(ids)
     head = ids[order]
-    low, high = np.searchsorted(head, q.ids[q.at], "left"), np.searchsorted(head, q.ids[q.at], "right")
-    some = np.flatnonzero(low < high)
-    if not len(some):
-        return np.zeros(0, int), np.zeros(0, int)
-    a = (q.at[some], q.size[some], low[some], high[some])
-    left = _search(ids, order, q, *a, False)
-    right = _search(ids, order, q, *a, True)
-    many = right - left
-    which = np.repeat(some, many)
-    place = order[np.repeat(left, many) + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)]
-    true = np.ones(len(which), bool)
-    for k in range(WINDOW):  # confirmed on the 64-bit hashes
-        true &= (k >= q.size[which]) | (h[np.minimum(place + k, len(h) - 1)] == q.h[q.at[which] + k])
-    return place[true], which[true]
-
-
-def _longest(doc: np.ndarray, place: np.ndarray, which: np.ndarray, q: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per document the words of its longest match, the item and the place: consecutive windows chain up."""
-    at = q.at[which]
-    by = np.lexsort((place, place - at, q.item[at]))
-    p, d, item = place[by], (place - at)[by], q.item[at][by]
-    new = np.concatenate(([True], (p[1:] != p[:-1] + 1) | (d[1:] != d[:-1]) | (item[1:] != item[:-1])))
-    head = np.flatnonzero(new)
-    size = np.diff(np.append(head, len(p))) - 1 + q.size[which][by][head]
-    owner = doc[by][head]
-    best = np.lexsort((p[head], q.names[item[head]].astype(str), -size, owner))
-    first = best[np.concatenate(([True], owner[best][1:] != owner[best][:-1]))]
-    return owner[first], size[first], item[head][first], p[head][first]
-
-
-def _shard(ids: list, texts: list[str], q: Queries, words: Words) -> pd.DataFrame:
+    for at in range(0, len(q.size), SLICE):
+        some = np.arange(at, min(at + SLICE, len(q.size)))
+        low, high = np.searchsorted(head, q.ids[some, 0], "left"), np.searchsorted(head, q.ids[some, 0], "right")
+        there = low < high
+        some, low, high = some[there], low[there], high[there]
+        left = _search(ids, order, q, some, low, high, False)
+        many = _search(ids, order, q, some, low, high, True) - left
+        which = np.repeat(some, many)
+        place = order[np.repeat(left - (np.cumsum(many) - many), many) + np.arange(len(which))]
+        true = np.ones(len(which), bool)
+        for k in range(WINDOW):  # confirmed on the 64-bit hashes
+            true &= (k >= q.size[which]) | (h[np.minimum(place + k, len(h) - 1)] == q.h[which, k])
+        places.append(place[true])
+        windows.append(which[true])
+    return np.concatenate(places), np.concatenate(windows)
+
+
+def _longest(doc: np.ndarray, place: np.ndarray, which: np.ndarray, q: Queries) -> Iterator[tuple[int, int, str, int]]:
+    """Per document the words of its longest stretch, the lowest item of its first window, and its place."""
+    by = np.lexsort((which, place, q.size[which]))
+    p, w, size = place[by], which[by], q.size[which][by]
+    whole = size == WINDOW  # whole windows at neighbouring places chain up
+    new = np.concatenate(([True], ~(whole[1:] & whole[:-1] & (p[1:] == p[:-1] + 1) & (doc[by][1:] == doc[by][:-1]))))
+    first = np.flatnonzero(new)
+    length = np.diff(np.append(first, len(p))) - 1 + size[first]
+    owner = doc[by][first]
+    best = np.lexsort((p[first], -length, owner))
+    best = best[np.concatenate(([True], owner[best][1:] != owner[best][:-1]))]
+    for k in best:
+        yield int(owner[k]), int(length[k]), q.items_of(w[first[k] : first[k] + 1])[0], int(p[first[k]])
+
+
+def _shard(texts: list[str], q: Queries, words: Words) -> pd.DataFrame:
+    """n_words, hits (numbers of words), items and the longest match of each text."""
     data = [t.encode("utf-8", "surrogatepass") for t in texts]
     h, ends = words(b"\n".join(data))
     stops = np.cumsum([len(x) + 1 for x in data])
@@ -221,78 +249,100 @@ def _shard(ids: list, texts: list[str], q: Queries, words: Words) -> pd.DataFram
     length, longest, where = [0] * n, [None] * n, [None] * n
     if len(place):
         doc = np.searchsorted(begin, place, "right") - 1
-        for i, size, item, p in zip(*_longest(doc, place, which, q), strict=True):
-            length[i], longest[i], where[i] = int(size), q.names[item], int(p - begin[i])
+        for i, size, item, p in _longest(doc, place, which, q):
+            length[i], longest[i], where[i] = size, item, int(p - begin[i])
         edge = np.zeros(len(held) + 1, np.int64)
         np.add.at(edge, place, 1)
         np.add.at(edge, place + q.size[which], -1)
         word = np.flatnonzero(np.cumsum(edge) > 0)
         owner = np.searchsorted(begin, word, "right") - 1
-        for i in np.unique(owner):
-            hits[i] = (word[owner == i] - begin[i]).astype(np.int32)
-        pairs = np.unique(np.stack((doc, q.item[q.at[which]])), axis=1)
-        for i in np.unique(pairs[0]):
-            items[i] = sorted(set(q.names[pairs[1][pairs[0] == i]]))
-    return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_words": upto - first, "hits": hits, "items": items, "longest_match": length, "longest_item": longest, "longest_at": pd.array(where, "Int64")})
-
-
-def _searcher(shared, shard_chars: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words()
-        q = Queries(shared.value, words)
-        ids: list = []
-        texts: list[str] = []
-        held = 0
-        for batch in batches:
-            for i, t in zip(batch["doc_id"], batch["text"], strict=True):
-                if texts and held + len(t) > shard_chars:
-                    yield _shard(ids, texts, q, words)
-                    ids, texts, held = [], [], 0
-                ids.append(None if pd.isna(i) else int(i))
-                texts.append(t)
-                held += len(t)
-        if texts:
-            yield _shard(ids, texts, q, words)
-
-    return run
-
-
-def _blocks(benchmark: DataFrame, limit: int) -> list[DataFrame]:
-    """The items in parts of about `limit` bytes of text."""
-    b = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+        for i, some in zip(np.unique(owner), np.split(word, np.flatnonzero(np.diff(owner)) + 1), strict=True):
+            hits[i] = (some - begin[i]).astype(np.int32)
+        pairs = np.unique(doc * len(q.size) + which)
+        for some in np.split(pairs, np.flatnonzero(np.diff(pairs // len(q.size))) + 1):
+            items[some[0] // len(q.size)] = q.items_of(some % len(q.size))
+    return pd.DataFrame({"n_words": upto - first, "hits": hits, "items": items, "longest_match": length, "longest_item": longest, "longest_at": pd.array(where, "Int64")})
+
+
+#: The windows of the block that this Python worker searched last.
+_BUILT: dict[str, Queries] = {}
+
+
+def _queries(key: str, shared) -> Queries:
+    """Built once in each worker, not in each task."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Queries(shared.value, Words())
+    return _BUILT[key]
+
+
+def _shards(batches: Iterator[pa.RecordBatch], key: str, shared, shard_chars: int) -> Iterator[tuple[pa.Table, pd.DataFrame]]:
+    """The rows of each shard with what was found in their texts."""
+    words, held, size = Words(), [], 0
+
+    def searched_rows() -> tuple[pa.Table, pd.DataFrame]:
+        rows = pa.Table.from_batches(held)
+        return rows, _shard([t or "" for t in rows["text"].to_pylist()], _queries(key, shared), words)
+
+    for batch in batches:
+        upto = np.cumsum(pa.compute.fill_null(pa.compute.utf8_length(batch["text"]), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(upto):
+            done = upto[at - 1] if at else 0
+            stop = max(int(np.searchsorted(upto, done + shard_chars - size, "right")), at + (not held))
+            if stop > at:
+                held.append(batch.slice(at, stop - at))
+                size += int(upto[stop - 1] - done)
+            if stop < len(upto):
+                yield searched_rows()
+                held, size = [], 0
+            at = stop
+    if held:
+        yield searched_rows()
+
+
+def _blocks(benchmark: DataFrame, limit: int) -> Iterator[tuple[str, object]]:
+    """A name and the broadcast items of each part of about `limit` bytes of text."""
+    b = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + size // limit
-    return [b] if n == 1 else [b.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+    for k in range(n):
+        block = b.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else b
+        yield uuid.uuid4().hex, b.sparkSession.sparkContext.broadcast([tuple(r) for r in block.collect()])
+
+
+def _merged(old: dict, new: dict) -> dict:
+    """A row's findings in the blocks so far and in this one."""
+    out = {"n_words": new["n_words"]}
+    out["hits"] = sorted({*(old["hits"] or ()), *(() if new["hits"] is None else new["hits"].tolist())}) or None
+    out["items"] = sorted({*(old["items"] or ()), *(new["items"] or ())}) or None
+    place = lambda r: (-(r["longest_match"] or 0), -1 if pd.isna(r["longest_at"]) else r["longest_at"], r["longest_item"] or "")
+    best = min(old, new, key=place)
+    return out | {c: None if pd.isna(best[c]) else best[c] for c in ("longest_match", "longest_item", "longest_at")}
 
 
 def searched(docs: DataFrame, benchmark: DataFrame, shard_chars: int = SHARD_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated and its longest match."""
-    spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = _blocks(benchmark, block_bytes)
-    if len(blocks) == 1:
-        shared = spark.sparkContext.broadcast([tuple(r) for r in blocks[0].collect()])
-        found = d.mapInPandas(_searcher(shared, shard_chars), SCHEMA)
-    else:
-        parts = []
-        for block in blocks:  # rows are told apart by a digest of their text while blocks are merged
-            shared = spark.sparkContext.broadcast([tuple(r) for r in block.collect()])
-            parts.append(_keyed(d, shared, shard_chars))
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        best = F.max_by(F.struct("longest_item", "longest_at"), F.struct("longest_match", F.expr("-coalesce(longest_at, 0)")))
-        found = every.groupBy("doc_id", "_key").agg(
-            F.max("n_words").alias("n_words"),
-            F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
-            F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.max("longest_match").alias("longest_match"),
-            best.alias("b"),
-        ).select("doc_id", "n_words", "hits", "items", "longest_match", "b.longest_item", "b.longest_at")
-    n_hit = F.coalesce(F.size("hits"), F.lit(0)).cast("long")
+    names = ["n_words", "hits", "items", "longest_match", "longest_item", "longest_at"]
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    for k, (key, shared) in enumerate(_blocks(benchmark, block_bytes)):
+
+        def run(batches: Iterator[pa.RecordBatch], k: int = k, key: str = key, shared=shared) -> Iterator[pa.RecordBatch]:
+            for rows, new in _shards(batches, key, shared, shard_chars):
+                new = new[names].astype(object).to_dict("records")
+                if k:
+                    new = [_merged(a, b) for a, b in zip(rows.select(names).to_pylist(), new, strict=True)]
+                else:
+                    new = [{c: None if c not in ("hits", "items") and pd.isna(x) else x for c, x in r.items()} for r in new]
+                yield from pa.Table.from_arrays([rows["doc_id"], rows["text"], *(pa.array([r[c] for r in new], t) for c, t in _TYPES.items())], ["doc_id", "text", *_TYPES]).to_batches()
+
+        found = found.mapInArrow(run, SCHEMA)
+        if k:
+            found = written(found, "benchmark_hits")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return found.select(
-        "doc_id", "n_words", F.when(F.col("hits").isNull(), 0).otherwise(n_hit).cast("long").alias("n_hit"),
+        "doc_id", "n_words",
+        F.when(F.col("hits").isNull(), 0).otherwise(F.size("hits")).cast("long").alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         F.coalesce(F.size("hits") > 0, F.lit(False)).alias("contaminated"),
@@ -300,26 +350,16 @@ def searched(docs: DataFrame, benchmark: DataFrame, shard_chars: int = SHARD_CHA
     )
 
 
-def _keyed(d: DataFrame, shared, shard_chars: int) -> DataFrame:
-    search = _searcher(shared, shard_chars)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys: list = []
-
-        def passed() -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                keys.extend(batch["_key"])
-                yield batch
-
-        at = 0
-        for out in search(passed()):
-            yield out.assign(_key=keys[at : at + len(out)])
-            at += len(out)
-
-    return d.withColumn("_key", F.sha2("text", 256)).mapInPandas(run, SCHEMA + ", _key string")
+def clean(docs: DataFrame, benchmark: DataFrame, shard_chars: int = SHARD_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no window of the benchmark."""
+    rows = whole_rows(docs)
+    for k, (key, shared) in enumerate(_blocks(benchmark, block_bytes)):
 
+        def run(batches: Iterator[pa.RecordBatch], key: str = key, shared=shared) -> Iterator[pa.RecordBatch]:
+            for rows, found in _shards(batches, key, shared, shard_chars):
+                yield from rows.filter(pa.array(found["hits"].isna())).to_batches()
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no window of the benchmark."""
-    dirty = searched(docs, benchmark).filter("contaminated").select("doc_id").distinct()
-    return docs.join(dirty.withColumnRenamed("doc_id", "_dirty"), F.expr("doc_id <=> _dirty"), "left_anti")
+        rows = rows.mapInArrow(run, rows.schema)
+        if k:
+            rows = written(rows, "clean_so_far")
+    return rows.select("row.*")

@@ -116,7 +116,7 @@ def hits(text, items):
 @pytest.mark.parametrize("sizes", [{}, {"shard_chars": 300, "block_bytes": 40}])
 def test_decontaminate(spark, sizes):
     passage = " ".join(f"p{i}" for i in range(30))
-    rows = [(1, "a a a a a a a a a a a a a a"), (2, None), (None, "x y"), (3, "Foo BAR é  é foo bar"), (4, "w" * 2_000_000 + " foo bar " + "z " * 100), (5, f"before {passage.upper()} after"), (6, passage[:40]), (7, "")]
+    rows = [(1, "a a a a a a a a a a a a a a"), (2, None), (None, "x y"), (3, "Foo BAR é  é foo bar"), (4, "w" * 2_000_000 + " foo bar " + "z " * 100), (5, f"before {passage.upper()} after"), (6, " ".join(passage.split()[:9])), (7, "")]
     items = [(1, "a " * 12), (2, "foo bar"), (2, None), (3, "É foo"), (4, "x"), (5, "z " * 18), (6, passage), (7, "")]
     d, b = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.searched(d, b, **sizes).collect()}
@@ -124,8 +124,22 @@ def test_decontaminate(spark, sizes):
         r = got[i]
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == hits(t, items), i
     assert (got[5].longest_match, got[5].longest_item, got[5].longest_at) == (30, "6", 1)
-    assert sorted(r.doc_id for r in decontaminate.clean(d, b).collect()) == [2, 6, 7]
+    odd = d.selectExpr("*", "doc_id AS _dirty", "text AS `a.b`", "map('k', array(1)) AS m", "1 AS n_words", "CAST(1.5 AS DECIMAL(9, 2)) AS hits")
+    left = decontaminate.clean(odd, b, **sizes)
+    assert left.dtypes == odd.dtypes and sorted(map(str, left.collect())) == sorted(str(r) for r in odd.collect() if r.doc_id in (2, 6, 7))
     assert decontaminate.searched(d.limit(0), b).count() == 0 and not decontaminate.searched(d, b.limit(0)).filter("contaminated").count()
+    assert decontaminate.clean(d.limit(0), b).count() == 0 and decontaminate.clean(d, b.limit(0)).count() == len(rows)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 200}])
+def test_decontaminate_judges_rows(spark, sizes):
+    """Repeated rows, rows of one doc_id, and windows repeated on both sides."""
+    rows = [(1, "own words " * 3), (1, "a b " * 8), (1, "a b " * 8), (None, "a b " * 8), (None, "own"), (2, "x " + "c d e " * 40)]
+    items = [(k, "a b " * 7 if k % 3 else "c d e " * 5) for k in range(60)]
+    d, b = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.searched(d, b, **sizes).collect())
+    assert got == sorted((i or 0, *hits(t, items)) for i, t in rows)
+    assert sorted((r.doc_id or 0, r.text) for r in decontaminate.clean(d, b, **sizes).collect()) == [(0, "own"), (1, "own words " * 3)]
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
