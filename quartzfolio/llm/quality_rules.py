@@ -1,139 +1,212 @@
 """Quality rules as a short-circuit cascade (DataFrame and SQL functions only).
 
-A rule is a rejecting predicate over the text or over counts derived from it. `cascade`
-estimates on a bounded sample what a rule costs and how many documents it rejects, and
-chains the rules by rejection per cost, so that a document meets the next rule only where
-the ones before let it pass. The order never changes a verdict, only the work.
+A rule is a rejecting predicate over the text and over measures of it, such as the number of words.
+`cascade` runs every rule by itself on a bounded sample of raw texts, which gives its share of
+rejections and its cost, measures included, and orders the rules by rejection per cost. `passing`
+writes them as one nested CASE in that order: a measure is computed where the first rule that
+needs it is reached, so a text that a rule rejects costs nothing beyond that rule. The order
+never changes a verdict, only the work. `judged` returns all measures of the contract, so there only
+the rules that need none of them are left to be saved.
+
+The sample is chosen by a hash of doc_id and text, about `SAMPLE_ROWS` rows of the whole table and
+twice that at most. Costs are rounded to powers of `STEP`, so that the noise of a
+measurement seldom changes the order.
 
 Edge cases: a null or empty text has no words, so `few_words` rejects it; rows that repeat
 are judged each for itself; a null doc_id stays null; an empty table gives no rows; other
-columns of the input are kept by `passing` and ignored by `counts`.
+columns of the input are kept by `passing`, whatever their names, and ignored by `judged`.
 """
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, id_and_text
+from .common import id_and_text, whole_rows
 
 #: Rows of the sample on which cost and selectivity are estimated; verdicts don't depend on it.
 SAMPLE_ROWS = 1000
-SYMBOLS = r"[#*$%&|<>]"
+#: The step to which costs are rounded.
+STEP = 4
 
 
-def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(text, SPACE + "+"), "")
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for body with name bound to value, computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def n_symbols(text: Column) -> Column:
-    return (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long")
+def _replaced(text: str, chars: list[str], by: str) -> str:
+    """SQL for text with each of these ASCII characters replaced: plain searches, no pattern."""
+    for c in chars:
+        text = f"replace({text}, '{c}', '{by}')"
+    return text
 
 
-def n_dup_lines(text: Column) -> Column:
-    """Lines with a word that equal an earlier line: all of them less the distinct ones."""
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
+#: Fixed: the white space that ends a word, and the symbols.
+_SPACES, _SYMBOLS = [" ", *(chr(c) for c in range(0x09, 0x0E))], list("#*$%&|<>")
+_HASHES = "transform(IF(size(words) < 3, array(), sequence(0, size(words) - 3)), i -> xxhash64(words[i], words[i + 1], words[i + 2]))"
+
+
+#: Bits of a sorted number that hold the place of a window, below those of its hash.
+_PLACE = 20
+
+
+def _repeated_words() -> str:
+    """SQL for the words in 3-word windows that are found twice or more.
+
+    Hashes of windows are sorted with their places; neighbours whose hashes meet are compared word by
+    word. Should two differ there, or the text be too long for the places, the windows
+    themselves are sorted. The words that repeated windows cover are summed over their ascending starts.
+    """
+    covered = "aggregate(starts, struct(0L AS n, -3 AS last), (a, s) -> struct(a.n + least(3, s - a.last) AS n, s AS last), a -> a.n)"
+    place = f"CAST(sorted[{{}}] & {(1 << _PLACE) - 1}L AS INT)".format
+    meets = f"shiftrightunsigned(sorted[{{0}} - 1] ^ sorted[{{0}}], {_PLACE}) = 0".format
+    differ = " OR ".join(f"words[{place('k - 1')} + {j}] != words[{place('k')} + {j}]" for j in range(3))
+    either = f"k > 0 AND {meets('k')} OR k < size(sorted) - 1 AND {meets('(k + 1)')}"
+    hashed = _let("starts", f"sort_array(transform(filter(sequence(0, size(sorted) - 1), k -> {either}), k -> {place('k')}))", covered)
+    equal = "k > 0 AND texts[k - 1].x = t.x OR k < size(texts) - 1 AND texts[k + 1].x = t.x"
+    texts = "sort_array(transform(sequence(0, size(words) - 3), i -> struct(concat_ws(' ', words[i], words[i + 1], words[i + 2]) AS x, i AS i)))"
+    exact = _let("texts", texts, _let("starts", f"sort_array(transform(filter(texts, (t, k) -> {equal}), t -> t.i))", covered))
+    either = f"CASE WHEN exists(sequence(1, size(sorted) - 1), k -> {meets('k')} AND ({differ})) THEN {exact} ELSE {hashed} END"
+    short = _let("sorted", f"sort_array(transform(windows, (h, i) -> (h & {-(1 << _PLACE)}L) | i))", either)
+    return f"CASE WHEN size(array_distinct(windows)) = size(windows) THEN 0L WHEN size(words) >= {1 << _PLACE} THEN {exact} ELSE {short} END"
+
+
+#: SQL of each measure over text and the measures before it that it names.
+MEASURES = {
+    "words": f"array_remove(split({_replaced('text', _SPACES[1:], ' ')}, ' '), '')",
+    "n_words": "CAST(size(words) AS BIGINT)",
+    "word_chars": f"CAST(length({_replaced('text', _SPACES, '')}) AS BIGINT)",
+    "n_symbols": f"CAST(octet_length(text) - octet_length({_replaced('text', _SYMBOLS, '')}) AS BIGINT)",
+    "n_dup_lines": _let("lines", "filter(split(text, '\\n'), x -> x RLIKE '[^\\\\x20\\\\x09-\\\\x0D]')", "CAST(size(lines) - size(array_distinct(lines)) AS BIGINT)"),
+    "n_repeat_words": _repeated_words(),
+    "windows": _HASHES,
+    # Windows less distinct ones, and windows that occur twice or more; hashes that meet by chance only make them larger.
+    "n_repeats": "CAST(size(windows) - size(array_distinct(windows)) AS BIGINT)",
+    "n_repeated": _let("hashed", "sort_array(windows)", "CAST(size(filter(hashed, (h, k) -> k > 0 AND hashed[k - 1] = h OR k < size(hashed) - 1 AND hashed[k + 1] = h)) AS BIGINT)"),
+}
+NEEDS = {"n_words": ("words",), "windows": ("words",), "n_repeats": ("words", "windows"), "n_repeated": ("words", "windows"), "n_repeat_words": ("words", "windows")}
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects where `fails` holds. It reads text and, if `counted`, the columns of `counts`."""
+    """Rejects where `fails` holds, SQL over text and the measures that it names in `uses`.
+
+    `unless` has cheaper conditions, each with its measures, under which `fails` can't hold.
+    """
 
     name: str
     fails: str
-    counted: bool = False
+    uses: tuple[str, ...] = ()
+    unless: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
 
-#: The base rules of the contract come with `counts`; the others are the method's.
+#: The first two are the base rules of the contract; the others are the method's.
 RULES = (
-    Rule("few_words", "n_words < 50", True),
-    Rule("repeated_words", "100 * n_repeat_words > 50 * n_words", True),
-    Rule("duplicate_lines", "n_words > 0 AND 2 * n_dup_lines > size(split(text, '\\n'))", True),
-    Rule("symbols", "4 * n_symbols > n_words AND n_symbols > 20", True),
-    Rule("word_length", "word_chars < 2 * n_words OR word_chars > 25 * n_words", True),
+    Rule("few_words", "n_words < 50", ("n_words",)),
+    # A repeated window covers 3 words at most, and k windows more than distinct ones are at most 2 k repeated windows.
+    Rule("repeated_words", "100 * n_repeat_words > 50 * n_words", ("n_words", "n_repeat_words"), (("12 * n_repeats <= n_words", ("n_words", "n_repeats")), ("6 * n_repeated <= n_words", ("n_words", "n_repeated")))),
+    Rule("duplicate_lines", "2 * n_dup_lines > size(split(text, '\n'))", ("n_dup_lines",)),
+    Rule("symbols", "4 * n_symbols > n_words", ("n_symbols", "n_words"), (("n_symbols <= 20", ("n_symbols",)),)),
+    Rule("word_length", "word_chars < 2 * n_words OR word_chars > 25 * n_words", ("n_words", "word_chars")),
     Rule("capitals", "2 * length(regexp_replace(text, '[^A-Z]+', '')) > length(text)"),
-    Rule("exclamations", "10 * length(regexp_replace(text, '[^!]+', '')) > length(text)"),
+    Rule("exclamations", "10 * (octet_length(text) - octet_length(replace(text, '!', ''))) > length(text)"),
 )
+BASE = ("few_words", "repeated_words")
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """doc_id, text and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long).
+def _bound(body: str, names: tuple[str, ...], known: tuple[str, ...]) -> str:
+    """SQL for body with the measures bound that it names and that aren't known yet."""
+    for name in reversed(_wanted(names, known)):
+        body = _let(name, MEASURES[name], body)
+    return body
+
+
+def _wanted(names: tuple[str, ...], known: tuple[str, ...]) -> list[str]:
+    every = dict.fromkeys(x for n in names if n not in known for x in (*NEEDS.get(n, ()), n))
+    return [n for n in every if n not in known]
+
+
+def _fails(rule: Rule, known: tuple[str, ...]) -> str:
+    """SQL for whether a rule rejects, its cheaper conditions first."""
+    body, seen = rule.fails, [known]
+    for _, names in rule.unless:
+        seen.append((*seen[-1], *_wanted(names, seen[-1])))
+    body = _bound(body, rule.uses, seen[-1])
+    for (passes, names), before in reversed(list(zip(rule.unless, seen, strict=False))):
+        body = _bound(f"CASE WHEN {passes} THEN false ELSE {body} END", names, before)
+    return body
 
-    A 3-word window that is found twice or more covers its words. Windows are sorted inside
-    their document, equal neighbours are the repeated ones, and the words they cover are
-    summed over their ascending starts. No row leaves its partition.
 
-    The count of repeated words names the partition's number, which is not deterministic to the
-    optimizer: so a filter on the counts stays above them. Pushed below, it would hold a copy
-    of every step for every place that names it, and planning would not end.
+def first_failure(ordered: list[Rule], known: tuple[str, ...] = ()) -> str:
+    """SQL over text (and known measures) for the first rule that rejects, else null.
+
+    A measure that several rules name is bound at the first of them that is reached, for those after it, too.
     """
-    d = id_and_text(docs).withColumn("w", words_of(F.col("text")))
-    d = d.withColumns({"n": F.size("w").cast("long"), "windows": F.expr("CASE WHEN size(w) < 3 THEN array() ELSE transform(sequence(0, size(w) - 3), i -> concat_ws(' ', w[i], w[i + 1], w[i + 2])) END")})
-    repeats = "size(windows) > 0 AND size(array_distinct(windows)) < size(windows)"
-    d = d.withColumn("sorted", F.expr(f"CASE WHEN {repeats} THEN sort_array(transform(windows, (x, i) -> struct(x AS x, i AS i))) END"))
-    twice = "(k > 0 AND sorted[k].x = sorted[k - 1].x) OR (k < size(sorted) - 1 AND sorted[k].x = sorted[k + 1].x)"
-    d = d.withColumn("starts", F.expr(f"CASE WHEN sorted IS NOT NULL THEN sort_array(filter(transform(sequence(0, size(sorted) - 1), k -> IF({twice}, sorted[k].i, -1)), i -> i >= 0)) END"))
-    covered = "aggregate(starts, struct(0L AS n, -3 AS last), (a, s) -> struct(a.n + least(3, s - a.last) AS n, s AS last), a -> a.n)"
-    return d.select(
-        "doc_id",
-        "text",
-        F.col("n").alias("n_words"),
-        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        n_symbols(F.col("text")).alias("n_symbols"),
-        n_dup_lines(F.col("text")).alias("n_dup_lines"),
-        F.expr(f"CASE WHEN spark_partition_id() < 0 THEN NULL WHEN starts IS NULL THEN 0L ELSE {covered} END").alias("n_repeat_words"),
-    )
-
-
-def cascade(counted: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by falling rejection per second on a sample, ties by name."""
-    sample = counted.limit(sample_rows).persist()
+    if not ordered:
+        return "CAST(NULL AS STRING)"
+    rule, rest = ordered[0], ordered[1:]
+    shared = tuple(m for m in _wanted(rule.unless[0][1] if rule.unless else rule.uses, known) if any(m in _wanted(r.uses, known) for r in rest))
+    seen = (*known, *shared)
+    return _bound(f"CASE WHEN {_fails(rule, seen)} THEN '{rule.name}' ELSE {first_failure(rest, seen)} END", shared, known)
+
+
+def counts(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the measures of the contract (long). No row leaves its partition."""
+    d = id_and_text(docs).withColumn("words", F.expr(MEASURES["words"]))
+    return d.select("doc_id", "text", *(F.expr(_bound(c, (c,), ("words",))).alias(c) for c in COUNTS))
+
+
+def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """text of about so many rows, chosen by hash."""
+    every = max(1, docs.count() // max(rows, 1))
+    return id_and_text(docs).filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select("text").limit(2 * rows)
+
+
+def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """The rules by falling rejection per cost on raw texts of a sample, ties by name."""
+    sample = sampled(docs, rows).repartition(docs.sparkSession.sparkContext.defaultParallelism).persist()
     try:
         total = sample.count()
         if not total:
             return list(rules)
-        shares = sample.agg(*(F.avg(F.expr(r.fails).cast("double")).alias(r.name) for r in rules)).first()
-        seconds = {}
-        for r in rules:
+
+        def seconds(fails: str) -> tuple[float, float]:
+            """The time of one run over the sample, and the share of rows that fail."""
             began = time.perf_counter()
-            sample.agg(F.count_if(F.expr(r.fails))).first()
-            seconds[r.name] = max(time.perf_counter() - began, 1e-3)
-        return sorted(rules, key=lambda r: (-(shares[r.name] or 0.0) / seconds[r.name], r.name))
+            n = sample.agg(F.count_if(F.expr(fails))).first()[0]
+            return time.perf_counter() - began, n / total
+
+        seconds("isnull(text)")  # what only a first job takes
+        idle = seconds("isnull(text)")[0]
+        worth = {}
+        for r in rules:
+            took, share = seconds(f"{first_failure([r])} IS NOT NULL")
+            cost = STEP ** round(math.log(max(took - idle, 0.01), STEP))
+            worth[r.name] = share / cost
+        return sorted(rules, key=lambda r: (-worth[r.name], r.name))
     finally:
         sample.unpersist()
 
 
-def first_failure(ordered: list[Rule]) -> Column:
-    """The name of the first rule that rejects, else null; later rules aren't evaluated then."""
-    chain = F
-    for r in ordered:
-        chain = chain.when(F.expr(r.fails), F.lit(r.name))
-    return chain.otherwise(F.lit(None).cast("string")) if ordered else F.lit(None).cast("string")
-
-
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The counts of every document, base_failed, kept and the rule that rejected it."""
-    d = counts(docs)
     base = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
-    d = d.withColumn("failed_rule", first_failure(cascade(d, rules)))
-    return d.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.expr(base).alias("base_failed"),
-        F.expr(f"NOT {base} AND failed_rule IS NULL").alias("kept"),
-    )
+    ordered = [r for r in cascade(docs, rules) if r.name not in BASE]
+    d = counts(docs)
+    return d.select("doc_id", *COUNTS, F.expr(base).alias("base_failed"), F.expr(f"CASE WHEN {base} THEN false ELSE {first_failure(ordered, COUNTS)} IS NULL END").alias("kept"))
 
 
-def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs, with all their columns, that no rule rejects."""
-    row = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
-    d = _counts_of_rows(row)
-    return d.filter(first_failure(cascade(d, rules)).isNull()).select("row.*")
+def kept(ordered: list[Rule]) -> Column:
+    """Over text: whether no rule rejects."""
+    return F.expr(f"{first_failure(ordered)} IS NULL")
 
 
-def _counts_of_rows(rows: DataFrame) -> DataFrame:
-    """As `counts`, with the whole row carried along instead of a join back on doc_id."""
-    return counts(rows.select(F.struct("doc_id", "row").alias("doc_id"), "text")).select("doc_id.doc_id", "doc_id.row", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of docs, with all their columns, that no rule rejects."""
+    return whole_rows(docs).filter(kept(cascade(docs, rules))).select("row.*")

@@ -158,7 +158,39 @@ def test_quality_rules(spark):
     d = spark.createDataFrame([*EDGE, (9, " ".join(f"word{i}" for i in range(80))), (10, "a b c " * 40)], SCHEMA)
     got = {r.doc_id: r for r in quality_rules.judged(d).collect()}
     assert got[9].kept and not got[1].kept and got[1].n_words == 0 and got[10].n_repeat_words == 120
-    assert quality_rules.passing(d.withColumnRenamed("doc_id", "doc_id").selectExpr("*", "1 AS n_words")).columns == ["doc_id", "text", "n_words"]
-    assert quality_rules.judged(d.limit(0)).count() == 0
-    ordered = quality_rules.cascade(quality_rules.counts(d))
-    assert {r.name for r in ordered} == {r.name for r in quality_rules.RULES}
+    odd = d.selectExpr("*", "1 AS n_words", "text AS `a.b`", "doc_id AS row")
+    left = quality_rules.passing(odd)
+    assert left.columns == odd.columns and [r.doc_id for r in left.collect()] == [9]
+    assert quality_rules.judged(d.limit(0)).count() == 0 and quality_rules.passing(d.limit(0)).count() == 0
+
+
+def test_quality_cascade(spark, docs):
+    """Verdicts don't depend on the order, a rejected text costs no later rule, and a dear rule comes late."""
+    want = sorted(r.doc_id for r in quality_rules.judged(docs).filter("kept").collect())
+    for rules in (quality_rules.RULES, quality_rules.RULES[::-1]):
+        left = docs.filter(quality_rules.kept(list(rules)))
+        assert sorted(r.doc_id for r in left.collect()) == want
+    assert sorted(r.doc_id for r in quality_rules.passing(docs).collect()) == want
+    reject, fatal = quality_rules.Rule("any", "length(text) >= 0"), quality_rules.Rule("fatal", "assert_true(n_symbols < 0) IS NULL", ("n_symbols",))
+    assert docs.filter(quality_rules.kept([reject, fatal])).count() == 0
+    dear = quality_rules.Rule("a_dear", "n_words < 50 AND n_repeat_words >= 0", ("n_words", "n_repeat_words"))
+    cheap = quality_rules.Rule("b_cheap", "length(text) < 400")
+    for _ in range(2):
+        assert [r.name for r in quality_rules.cascade(docs, (dear, cheap))] == ["b_cheap", "a_dear"]
+
+
+def repeated_words(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+    n = collections.Counter(windows)
+    return len({k + j for k, x in enumerate(windows) if n[x] > 1 for j in range(3)})
+
+
+def test_repeated_words_equal_brute_force(spark):
+    rng = random.Random(11)
+    rows = [(k, " ".join(rng.choice("abcdefgh"[: 2 + k % 7]) + str(rng.randrange(1 + k % 5)) for _ in range(rng.randint(0, 120)))) for k in range(400)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    assert {r.doc_id: r.n_repeat_words for r in quality_rules.counts(d).collect()} == {i: repeated_words(t) for i, t in rows}
+    rule = [r for r in quality_rules.RULES if r.name == "repeated_words"]
+    got = {r.doc_id for r in d.filter(quality_rules.kept(rule)).collect()}
+    assert got == {i for i, t in rows if 2 * repeated_words(t) <= len(t.split())}
