@@ -3,11 +3,13 @@
 The known pattern (contractions, words, numbers, other characters, white space) is worked out
 on arrays of code points: a piece starts where the class of the characters changes, one blank
 joins the piece after it, and white space before a word leaves its last character. Any other
-pattern is matched by the `regex` library. Pieces are told apart by a 64-bit hash of their code points.
+pattern is matched by the `regex` library. Pieces are looked up by a 64-bit hash of their code points
+and compared with the piece that is remembered under it; one that differs gets a digest for its hash.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -71,6 +73,31 @@ def split(codes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first[real], last[real]
 
 
+#: Characters that are compared at once.
+_COMPARED = 1 << 20
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+
+
+def _differ(a: np.ndarray, at: np.ndarray, b: np.ndarray, there: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each i whether a[at:at + size] and b[there:there + size] differ."""
+    out = np.zeros(len(at), bool)
+    upto = np.cumsum(size)
+    at, there = at.astype(np.int32), there.astype(np.int32)
+    begin = 0
+    while begin < len(at):
+        done = upto[begin - 1] if begin else 0
+        end = max(int(np.searchsorted(upto, done + _COMPARED, "right")), begin + 1)
+        n = size[begin:end]
+        first = (upto[begin:end] - n - done).astype(np.int32)
+        step = np.arange(int(upto[end - 1] - done), dtype=np.int32)
+        out[begin:end] = np.logical_or.reduceat(a[np.repeat(at[begin:end] - first, n) + step] != b[np.repeat(there[begin:end] - first, n) + step], first)
+        begin = end
+    return out
+
+
 class Memo:
     """Values (arrays) of distinct pieces, learned once; bounded by `most` pieces."""
 
@@ -83,13 +110,14 @@ class Memo:
     def forget(self) -> None:
         self.hash = np.zeros(0, np.uint64)
         self.place = np.zeros(0, np.int64)
+        self.codes, self.code_at, self.code_size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.size: list[np.ndarray] | None = None
         self.flat: list[np.ndarray] | None = None
 
     def pieces(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The joined texts, starts, ends and hashes of their pieces, and the pieces in each text."""
         joined = "\0".join([*texts, ""])
-        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+        codes = _codes(joined)
         stops = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
         codes[stops - 1] = _END
         if self.table is not None:
@@ -111,17 +139,39 @@ class Memo:
     def __call__(self, texts: list[str]) -> list[list[np.ndarray]]:
         """For each kind of value, an array for each text: its pieces' values one after the other."""
         joined, first, last, h, count = self.pieces(texts)
-        which, distinct = pd.factorize(h)
-        sample = np.zeros(len(distinct), np.int64)
-        sample[which[::-1]] = np.arange(len(h))[::-1]
-        if len(self.hash) + len(distinct) > self.most:
-            self.forget()
-        near = np.minimum(np.searchsorted(self.hash, distinct), max(len(self.hash) - 1, 0))
-        fresh = np.ones(len(distinct), bool) if not len(self.hash) else self.hash[near] != distinct
+        codes, length = _codes(joined), last - first
+        while True:
+            which, distinct = pd.factorize(h)
+            sample = np.zeros(len(distinct), np.int64)
+            sample[which[::-1]] = np.arange(len(h))[::-1]
+            if len(self.hash) + len(distinct) > self.most:
+                self.forget()
+            near = np.minimum(np.searchsorted(self.hash, distinct), max(len(self.hash) - 1, 0))
+            fresh = np.ones(len(distinct), bool) if not len(self.hash) else self.hash[near] != distinct
+            # Each piece against the first of its hash, and that one against the piece that is remembered.
+            wrong = length != length[sample[which]]
+            same = np.flatnonzero(~wrong)
+            wrong[same] = _differ(codes, first[same], codes, first[sample[which[same]]], length[same])
+            known = np.flatnonzero(~fresh)
+            if len(known):
+                slot, mine = self.place[near[known]], sample[known]
+                other = self.code_size[slot] != length[mine]
+                same = np.flatnonzero(~other)
+                other[same] = _differ(codes, first[mine[same]], self.codes, self.code_at[slot[same]], length[mine[same]])
+                wrong |= np.isin(which, known[other])
+            if not wrong.any():
+                break
+            for i in np.flatnonzero(wrong):
+                h[i] = np.frombuffer(hashlib.blake2b(joined[first[i] : last[i]].encode("utf-8", "surrogatepass"), digest_size=8).digest(), np.uint64)[0]
         if fresh.any() or self.size is None:
             values = self.learn([joined[first[i] : last[i]] for i in sample[fresh]])
             sizes, flats = values[::2], values[1::2]
             known = len(self.hash)
+            new = sample[fresh]
+            begin = np.cumsum(length[new]) - length[new]
+            self.code_at = np.concatenate((self.code_at, len(self.codes) + begin))
+            self.code_size = np.concatenate((self.code_size, length[new]))
+            self.codes = np.concatenate((self.codes, codes[np.repeat(first[new] - begin, length[new]) + np.arange(int(length[new].sum()))]))
             self.size = list(sizes) if self.size is None else [np.concatenate(x) for x in zip(self.size, sizes, strict=True)]
             self.flat = list(flats) if self.flat is None else [np.concatenate(x) for x in zip(self.flat, flats, strict=True)]
             self.begin = [np.cumsum(s) - s for s in self.size]

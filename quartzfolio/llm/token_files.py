@@ -3,10 +3,12 @@
 Documents are range-partitioned and sorted by doc_id, encoded with the tokenizers library (each
 distinct piece of the tokenizer's pattern once), and cut into shards of about `SHARD` ids, one
 row of a Parquet table each. In a shard the most frequent id pairs are replaced by nonterminals,
-round after round, up to `ROUNDS` rounds of `PAIRS` pairs that occur `LEAST` times or more. A shard holds
+round after round with at most `PAIRS` of them at once, until no pair occurs `LEAST` times or the
+symbols of `width` bytes are used up. A shard holds
 
-- sequence: its symbols as little-endian 16-bit integers (ids, then rule k as `first_rule` + k);
-- rules: two symbols a rule, 16 bits each; lengths: the ids that each rule expands to;
+- sequence: its symbols as little-endian integers of `width` bytes (ids, then rule k as `first_rule` + k);
+  2 bytes where the vocabulary leaves room for `ROOM` rules, else 4;
+- rules: two symbols a rule; lengths: the ids that each rule expands to;
 - doc_ids, and for each document the place of its first symbol (doc_at) and the number of ids
   before it in the partition (doc_start), so that one document is decoded from its own symbols alone.
 
@@ -32,57 +34,93 @@ from .common import shared_path
 from .pieces import Memo, batches
 
 BATCH_CHARS, SHARD, CACHE = 4_000_000, 1_000_000, 1_500_000
-ROUNDS, PAIRS, LEAST = 5, 512, 16
+PAIRS, LEAST, ROOM = 2048, 16, 4096
 END_ID = 2
 BLANK = "\u0120"  # fixed: how a byte-level vocabulary writes the byte 0x20
-SHARD_SCHEMA = "part int, shard int, n_tokens long, first_rule int, sequence binary, rules binary, lengths binary, doc_ids array<long>, doc_at array<int>, doc_start array<long>"
+SHARD_SCHEMA = "part int, shard int, n_tokens long, width int, first_rule int, sequence binary, rules binary, lengths binary, doc_ids array<long>, doc_at array<int>, doc_start array<long>"
 DOC_SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
 
-def _occurrences(x: np.ndarray, last: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places where a pair (left, right) occurs inside a document, and which; 0 is the most frequent."""
-    row, column = np.zeros(1 << 16, np.uint16), np.zeros(1 << 16, np.uint16)
+def width_of(first_rule: int) -> int:
+    """Bytes of a symbol where ids are below first_rule."""
+    if first_rule >= 1 << 31:
+        raise ValueError(f"{first_rule} ids leave no room for rules in 4 bytes")
+    return 2 if first_rule + ROOM <= 1 << 16 else 4
+
+
+def _occurrences(x: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the places `at` at which a pair (left, right) occurs, and which; 0 is the most frequent."""
+    symbols = int(x.max()) + 1
+    row, column = np.zeros(symbols, np.uint16), np.zeros(symbols, np.uint16)
     lefts, r = np.unique(left, return_inverse=True)
     rights, c = np.unique(right, return_inverse=True)
     row[lefts], column[rights] = np.arange(1, len(lefts) + 1), np.arange(1, len(rights) + 1)
     which = np.full((len(lefts) + 1, len(rights) + 1), PAIRS, np.int32)
     which[r + 1, c + 1] = np.arange(len(left))
-    found = which[row[x[:-1]], column[x[1:]]]
-    found[last[:-1]] = PAIRS
-    at = np.flatnonzero(found < PAIRS)
-    return at, found[at]
+    found = which[row[x[at]], column[x[at + 1]]]
+    some = np.flatnonzero(found < PAIRS)
+    return at[some], found[some]
+
+
+def _places(x: np.ndarray, last: np.ndarray, newest: int) -> np.ndarray:
+    """Where a pair begins inside a document; with `newest` only pairs with a symbol from there on. Of a run of one symbol every second pair counts."""
+    inside = ~last[:-1]
+    if newest:
+        new = x >= newest
+        inside &= new[:-1] | new[1:]
+    twin = np.flatnonzero((x[:-1] == x[1:]) & inside)
+    if len(twin):
+        run = np.concatenate(([True], np.diff(twin) != 1))
+        start = np.maximum.accumulate(np.where(run, np.arange(len(twin)), 0))
+        inside[twin[(np.arange(len(twin)) - start) % 2 == 1]] = False
+    return np.flatnonzero(inside)
+
+
+def _frequent(x: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (left, right) that occur LEAST times at these places, the most frequent first."""
+    shift, wide = 8 * width, np.uint32 if width == 2 else np.uint64
+    ordered = np.sort(x[at].astype(wide) << wide(shift) | x[at + 1].astype(wide))
+    if len(ordered) < LEAST:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # A pair with LEAST occurrences equals the one LEAST - 1 places on.
+    first = np.concatenate(([True], ordered[1:] != ordered[:-1]))[: len(ordered) - LEAST + 1]
+    head = np.flatnonzero(first & (ordered[LEAST - 1 :] == ordered[: len(ordered) - LEAST + 1]))
+    pair = ordered[head]
+    count = np.searchsorted(ordered, pair, "right") - head
+    pair = pair[np.lexsort((pair, -count))]
+    return (pair >> wide(shift)).astype(np.int64), (pair & wide((1 << shift) - 1)).astype(np.int64)
 
 
 def compress(x: np.ndarray, last: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, whether each ends a document, and the rules (two symbols each) of Re-Pair."""
-    x = x.astype(np.uint32)
-    rules = np.zeros((0, 2), np.int64)
-    for _ in range(ROUNDS):
-        if len(x) < 2 or first_rule + len(rules) + PAIRS > 1 << 16:
-            break
-        ordered = np.sort((x[:-1] << np.uint32(16) | x[1:])[~last[:-1]])
-        head = np.flatnonzero(np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1])))
-        count = np.diff(np.append(head, len(ordered)))
-        often = count >= LEAST
-        pair, count = ordered[head[often]].astype(np.int64), count[often]
-        if not len(pair):
-            break
-        chosen = pair[np.lexsort((pair, -count))[:PAIRS]]
-        at, place = _occurrences(x, last, chosen >> 16, chosen & 0xFFFF)
+    """Symbols, whether each ends a document, and the rules (two symbols each) of Re-Pair.
+
+    A round after one that took all frequent pairs only counts pairs with its new symbols, as no other
+    pair has become more frequent; where they are used up a round over everything is the proof.
+    """
+    x, width = x.astype(np.uint32), width_of(first_rule)
+    rules, newest = np.zeros((0, 2), np.int64), 0
+    while len(x) > 1 and (room := (1 << 8 * width) - first_rule - len(rules)) > 0:
+        at = _places(x, last, newest)
+        every = _frequent(x, at, width)
+        lefts, rights = (side[: min(PAIRS, room)] for side in every)
+        if not len(lefts):
+            if not newest:
+                break
+            newest = 0
+            continue
+        newest = first_rule + len(rules) if len(every[0]) == len(lefts) else 0
+        at, place = _occurrences(x, at, lefts, rights)
         joined = np.diff(at) == 1  # with the occurrence before
-        run = np.concatenate(([True], ~joined | (place[1:] != place[:-1])))
         before = np.concatenate(([PAIRS], np.where(joined, place[:-1], PAIRS)))
         after = np.concatenate((np.where(joined, place[1:], PAIRS), [PAIRS]))
-        number = np.arange(len(at))
-        start = np.maximum.accumulate(np.where(run, number, 0))  # of a run of one pair
-        take = ((number - start) % 2 == 0) & (place < before[start]) & (place <= after)
+        take = (place < before) & (place <= after)
         at, place = at[take], place[take]
         x[at] = first_rule + len(rules) + place
         last[at] = last[at + 1]
         keep = np.ones(len(x), bool)
         keep[at + 1] = False
         x, last = x[keep], last[keep]
-        rules = np.concatenate((rules, np.stack((chosen >> 16, chosen & 0xFFFF), axis=1)))
+        rules = np.concatenate((rules, np.stack((lefts, rights), axis=1)))
     return x, last, rules
 
 
@@ -107,6 +145,25 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarra
     return x
 
 
+def expand_all(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_rule: int) -> np.ndarray:
+    """As `expand`, for many symbols: every rule is expanded once, unless that takes more than the text."""
+    nested = symbols >= first_rule
+    size = np.ones(len(symbols), np.int64)
+    size[nested] = lengths[symbols[nested] - first_rule]
+    total = int(size.sum())
+    if int(lengths.sum()) > 2 * total:
+        return expand(symbols, rules, first_rule)
+    begin = np.cumsum(lengths) - lengths
+    flat = expand(np.arange(first_rule, first_rule + len(rules)), rules, first_rule)
+    first = symbols.copy()  # a plain id, or where the rule's ids begin
+    first[nested] = begin[symbols[nested] - first_rule]
+    at = np.cumsum(size) - size
+    out = np.repeat(first, size)
+    inner = np.repeat(nested, size)
+    out[inner] = flat[out[inner] + (np.arange(total) - np.repeat(at, size))[inner]]
+    return out
+
+
 class _Learner:
     """Ids of distinct pieces by the tokenizers library.
 
@@ -176,10 +233,11 @@ def _shard(part: int, number: int, ids: list, codes: list[np.ndarray], before: i
     last = np.zeros(int(size.sum()), bool)
     last[np.cumsum(size) - 1] = True
     x, last, rules = compress(np.concatenate(codes), last, first_rule)
+    width = width_of(first_rule)
     at = np.append(0, np.flatnonzero(last)[:-1] + 1)
     row = {
-        "part": part, "shard": number, "n_tokens": int(size.sum()), "first_rule": first_rule,
-        "sequence": x.astype("<u2").tobytes(), "rules": rules.astype("<u2").tobytes(), "lengths": expansion_lengths(rules, first_rule).astype("<u4").tobytes(),
+        "part": part, "shard": number, "n_tokens": int(size.sum()), "width": width, "first_rule": first_rule,
+        "sequence": x.astype(f"<u{width}").tobytes(), "rules": rules.astype(f"<u{width}").tobytes(), "lengths": expansion_lengths(rules, first_rule).astype("<u4").tobytes(),
         "doc_ids": ids, "doc_at": at.tolist(), "doc_start": (before + np.cumsum(size) - size).tolist(),
     }
     return pd.DataFrame([row])
@@ -220,22 +278,22 @@ def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int
 def _decoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for s in frame.itertuples():
-            rules = np.frombuffer(s.rules, "<u2").reshape(-1, 2).astype(np.int64)
+            rules = np.frombuffer(s.rules, f"<u{s.width}").reshape(-1, 2).astype(np.int64)
             lengths = np.frombuffer(s.lengths, "<u4").astype(np.int64)
-            sequence = np.frombuffer(s.sequence, "<u2").astype(np.int64)
+            sequence = np.frombuffer(s.sequence, f"<u{s.width}").astype(np.int64)
             nested = sequence >= s.first_rule
             size = np.ones(len(sequence), np.int64)
             size[nested] = lengths[sequence[nested] - s.first_rule]
             n = np.add.reduceat(size, s.doc_at)
-            ids = np.split(expand(sequence, rules, s.first_rule).astype("<u4"), np.cumsum(n)[:-1])
+            ids = np.split(expand_all(sequence, rules, lengths, s.first_rule).astype("<u4"), np.cumsum(n)[:-1])
             yield pd.DataFrame({"part": s.part, "doc_id": pd.array([None if pd.isna(i) else int(i) for i in s.doc_ids], "Int64"), "local_start": s.doc_start, "n_tokens": n, "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids]})
 
 
 def document(shard, place: int) -> np.ndarray:
     """Random access: the ids of one document of a shard row, from its own symbols alone."""
-    stop = shard.doc_at[place + 1] if place + 1 < len(shard.doc_at) else len(shard.sequence) // 2
-    symbols = np.frombuffer(shard.sequence, "<u2")[shard.doc_at[place] : stop]
-    return expand(symbols, np.frombuffer(shard.rules, "<u2").reshape(-1, 2).astype(np.int64), shard.first_rule)
+    stop = shard.doc_at[place + 1] if place + 1 < len(shard.doc_at) else len(shard.sequence) // shard.width
+    symbols = np.frombuffer(shard.sequence, f"<u{shard.width}")[shard.doc_at[place] : stop]
+    return expand(symbols, np.frombuffer(shard.rules, f"<u{shard.width}").reshape(-1, 2).astype(np.int64), shard.first_rule)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -123,6 +123,16 @@ def test_pieces(encoding):
     assert [x.tolist() for x in ids] == [encoding.encode_ordinary(t) for t in lots] and [x.tobytes().decode() for x in data] == lots
 
 
+def test_pieces_whose_hashes_meet(encoding, monkeypatch):
+    memo = bpe._memo(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    memo.forget()
+    plain = memo.pieces
+    monkeypatch.setattr(memo, "pieces", lambda texts: (*(r := plain(texts))[:3], r[3] & np.uint64(7), r[4]))
+    for lots in (["one two three four five", "six"], ["seven eight two one", "nine one"]):
+        assert [x.tolist() for x in memo(lots)[0]] == [encoding.encode_ordinary(t) for t in lots]
+    memo.forget()
+
+
 def test_token_files(spark, docs):
     of = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     of.encode_special_tokens = True
@@ -145,6 +155,13 @@ def test_grammar():
     y, ends, rules = token_files.compress(x.astype(np.uint32), last.copy(), 1000)
     assert len(y) < len(x) / 2 and token_files.expand(y, rules, 1000).tolist() == x.tolist()
     assert token_files.expand(y[: np.flatnonzero(ends)[0] + 1], rules, 1000).tolist() == x[:100].tolist()
+    assert token_files.expand_all(y.astype(np.int64), rules, token_files.expansion_lengths(rules, 1000), 1000).tolist() == x.tolist()
+    pairs = collections.Counter(zip(y[:-1][~ends[:-1]].tolist(), y[1:][~ends[:-1]].tolist()))
+    assert max(n for (a, b), n in pairs.items() if a != b) < token_files.LEAST
+    wide = token_files.compress(x.astype(np.uint32) + 70_000, last.copy(), 100_000)
+    assert token_files.width_of(100_000) == 4 and token_files.expand(wide[0], wide[2], 100_000).tolist() == (x + 70_000).tolist()
+    with pytest.raises(ValueError):
+        token_files.width_of(1 << 31)
 
 
 def test_chat(spark):
