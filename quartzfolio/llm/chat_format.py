@@ -91,5 +91,7 @@ def digests(turns: DataFrame) -> DataFrame:
 
 
 def with_extra(turns: DataFrame) -> DataFrame:
-    extra = turns.sparkSession.createDataFrame(EXTRA, "conv_id long, turn long, role string, text string")
+    names = ("conv_id", "turn", "role", "text")
+    rows = F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(names, r, strict=True))) for r in EXTRA))
+    extra = turns.sparkSession.range(1).select(F.inline(rows))
     return turns.select("conv_id", "turn", "role", "text").unionByName(extra)

@@ -13,13 +13,15 @@ character of a script without blanks (Chinese, Japanese, Thai, Lao, Khmer, Burme
 The hashes are counted first; then documents meet the numbers of their repeated windows in one
 shuffle of the texts, and the lines of these windows alone are shuffled to be compared byte for
 byte: should two different ones share a 64-bit hash, all is done again under another seed. A hot
-window is pre-aggregated to a count and a first occurrence; the joins back are plain shuffled
-equi-joins, which adaptive execution splits where a key is skewed.
+window is pre-aggregated to a count and a first occurrence. These are written before they are
+joined back, so that the join has shuffles of its own, which adaptive execution splits where a
+key is hot. What was written on the way goes once the marked documents are written.
 
 Edge cases: a null text has no lines and stays null, an empty one has one empty line; a text
 whose chunks are all removed becomes empty; empty lines go where both neighbours go; equal rows
 (same doc_id and text) count as one occurrence and stay alike; a null doc_id sorts first; an
-empty table gives no rows; other columns are kept as they are.
+empty table gives no rows; other columns are kept as they are, whatever their names (`rows`; the
+counters that `deduplicated` adds may repeat a name of docs).
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, written
+from .common import SPACE, Scratch, written
 
 WINDOW, LONG_LINE, MIN_WORDS, WIDE = 2, 30, 20, 20
 NO_ID = -(2**63)
@@ -68,10 +70,11 @@ def _windows(lined: DataFrame, seed: int) -> DataFrame:
     return lined.select("_id", "_key", F.explode(F.expr(f"filter({both}, w -> w.h IS NOT NULL)")).alias("w")).select("_id", "_key", "w.*")
 
 
-def _hits(docs: DataFrame, seed: int) -> DataFrame:
+def _hits(docs: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
     """_hid, _hkey and hits, (k, first) of the windows of a document whose hash repeats."""
-    every = written(_windows(_lined(docs.select("doc_id", "text"), seed), seed), "line_windows")
+    every = scratch.written(_windows(_lined(docs.select("doc_id", "text"), seed), seed), "line_windows")
     repeated = every.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_key", "k")).alias("first")).filter("n > 1").select("h", "first")
+    repeated = scratch.written(repeated, "repeated_windows")
     hit = every.join(repeated, "h").select(F.col("_id").alias("_hid"), F.col("_key").alias("_hkey"), F.expr("struct(k, first = struct(_id, _key, k) AS first)").alias("hit"))
     return hit.groupBy("_hid", "_hkey").agg(F.collect_set("hit").alias("hits"))
 
@@ -94,13 +97,16 @@ def _blocks(ks: str) -> str:
     return f"zip_with({first}, {last}, (s, e) -> struct(s AS s, e AS e))"
 
 
-def deduplicated(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """The rows of docs with repeated chunks cut from text, and _n_lines, _n_removed_lines, _n_removed_chunks."""
-    names = [c for c in docs.columns if c != "text"]
-    rows = docs.select("doc_id", "text", F.struct(*(F.col(c) for c in names)).alias("_row")).withColumns({"_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_k": F.xxhash64("doc_id", "text")})
-    marked = written(rows.join(_hits(docs, seed), F.expr("_i = _hid AND _k = _hkey"), "left").select("doc_id", "text", "_row", "hits"), "line_dedup")
+def rows(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """row, the columns of docs as a struct with repeated chunks cut from its text, and n_lines, n_removed_lines, n_removed_chunks."""
+    whole = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct("*").alias("_row"))
+    whole = whole.withColumns({"_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_k": F.xxhash64("doc_id", "text")})
+    scratch = Scratch(docs.sparkSession)
+    hits = _hits(whole.select("doc_id", "text"), seed, scratch)
+    marked = written(whole.join(hits, F.expr("_i = _hid AND _k = _hkey"), "left").select("doc_id", "text", "_row", "hits"), "line_dedup")
+    scratch.drop()
     if _collide(marked, seed):
-        return deduplicated(docs, seed + 1)
+        return rows(docs, seed + 1)
     d = _lined(marked, seed, "exists(hits, x -> NOT x.first)")
     d = d.withColumn("_pairs", F.expr("IF(_lines IS NULL, NULL, sort_array(transform(filter(hits, x -> NOT x.first AND x.k % 2 = 0), x -> CAST(x.k / 2 AS INT))))"))
     d = d.withColumn("_runs", F.expr(f"filter({_blocks('_pairs')}, r -> aggregate(slice(_lines, r.s + 1, r.e - r.s + {WINDOW}), 0, (a, x) -> a + x.n) >= {MIN_WORDS})"))
@@ -110,9 +116,13 @@ def deduplicated(docs: DataFrame, seed: int = 0) -> DataFrame:
     d = d.withColumn("_all", F.expr("IF(size(_cuts) > 0, split(text, '\\n'), NULL)"))
     between = "transform(concat(_cuts, array(struct(size(_all) AS s, size(_all) AS e))), (c, k) -> slice(_all, IF(k = 0, 0, get(_cuts, k - 1).e + 1) + 1, c.s - IF(k = 0, 0, get(_cuts, k - 1).e + 1)))"
     return d.select(
-        "_row.*",
-        F.expr(f"CASE WHEN _all IS NOT NULL THEN array_join(flatten({between}), '\\n') ELSE text END").alias("text"),
-        F.expr("1L + length(text) - length(replace(text, '\n', ''))").alias("_n_lines"),
-        F.expr("CASE WHEN _all IS NOT NULL THEN aggregate(_cuts, 0L, (a, c) -> a + c.e - c.s + 1) ELSE 0L END").alias("_n_removed_lines"),
-        F.expr("CASE WHEN _all IS NOT NULL THEN CAST(size(_cuts) AS BIGINT) ELSE 0L END").alias("_n_removed_chunks"),
+        F.col("_row").withField("text", F.expr(f"CASE WHEN _all IS NOT NULL THEN array_join(flatten({between}), '\\n') ELSE text END")).alias("row"),
+        F.expr("1L + length(text) - length(replace(text, '\n', ''))").alias("n_lines"),
+        F.expr("CASE WHEN _all IS NOT NULL THEN aggregate(_cuts, 0L, (a, c) -> a + c.e - c.s + 1) ELSE 0L END").alias("n_removed_lines"),
+        F.expr("CASE WHEN _all IS NOT NULL THEN CAST(size(_cuts) AS BIGINT) ELSE 0L END").alias("n_removed_chunks"),
     )
+
+
+def deduplicated(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """The rows of docs with repeated chunks cut from text, and _n_lines, _n_removed_lines, _n_removed_chunks."""
+    return rows(docs, seed).select("row.*", *(F.col(c).alias(f"_{c}") for c in ("n_lines", "n_removed_lines", "n_removed_chunks")))

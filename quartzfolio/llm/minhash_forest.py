@@ -2,28 +2,32 @@
 
 1. Every text becomes its set of 5-word shingles (64-bit hashes), a 128-bit fingerprint of the set
    and trees x `LENGTH` minima. Equal sets are one class, so exact copies never meet in pairs.
-2. The threshold gives the number of trees (16 at 85 per cent, 23 at 80). Each tree is a sorted order of the classes by its own `LENGTH` minima. Classes that share the first
-   `DEPTH` minima are a region. Candidates are the neighbours in the order by longest common prefix
-   (its depth adapts: the sort goes on below a crowded prefix), the region's lowest id and the hub,
-   the lowest id below its most frequent longer prefix. They grow in proportion to the members.
+2. The threshold gives the number of trees (16 at 85 per cent, 23 at 80). Each tree is a sorted order
+   of the classes by its own `LENGTH` minima. Classes that share the first `DEPTH` minima are a
+   region. Candidates are the neighbours in the order by longest common prefix, the region's lowest
+   id and the hub, the lowest id below its most frequent longer prefix. The depth adapts: in a region
+   of more than `CROWDED` classes every longer prefix gives its lowest id as one more candidate.
+   Candidates grow in proportion to the members.
 3. Candidates that sizes and signatures don't rule out are confirmed on their full sets and
    gathered into components.
 4. The exact way for the rest: in every region that still has several components, all members
    outside its largest component are compared with all members of other components, in
    blocks of bounded size, by signatures and then by 32-bit shingles: all of them where a set has at
    most `MINI`, which no true link fails, else a share chosen by their last bits, within
-   `SLACK` deviations. What passes is confirmed on full sets, too.
+   `SLACK` deviations. What passes is confirmed on full sets, too. Pairs of blocks are dealt by
+   their own numbers, so that a large region is the work of many tasks.
 
 After that no pair of a region is left untested but those already connected, whatever the
 region's size. A pair at the threshold misses all regions with a probability of
 (1 - similarity ** DEPTH) ** trees, `MISS` = 8e-6 at most (7.4e-6 at 85 per cent, 5.4e-6 at 80); is
 dropped on its signatures, in whichever step, with less than 8e-8; and on a share of its shingles,
-where a set has more than `MINI`, with about 3e-8: 7.6e-6 and 5.6e-6 in all at most. Links, components and sets stay in tables in the shared folder.
+where a set has more than `MINI`, with about 3e-8: 7.6e-6 and 5.6e-6 in all at most. Links,
+components and sets are tables in the shared folder, which go once the result is written.
 
 Edge cases: a null or empty text, or one without words, has no shingles and is linked with nothing; fewer
 words than 5 are one shingle; rows of one doc_id are one document in the components (and kept
 alike); a null doc_id is linked with nothing and kept; an empty table gives no rows; other
-columns are kept by `representatives` and ignored otherwise.
+columns are kept by `representatives`, whatever their names, and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -38,11 +42,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, whole_rows, written
 from .decontaminate import Words
 from .pieces import batches
 
-SHINGLE, DEPTH, LENGTH = 5, 4, 6
+SHINGLE, DEPTH, LENGTH, CROWDED = 5, 4, 6, 64
 #: The most that a pair at the threshold may miss all regions.
 MISS = 8e-6
 BATCH_CHARS, BLOCK, MINI = 4_000_000, 512, 512
@@ -200,15 +204,15 @@ def _confirmed(frames: Iterator[pd.DataFrame], forest: Forest) -> Iterator[pd.Da
         yield f.loc[keep, ["a", "b"]]
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, forest: Forest, scratch: Scratch) -> DataFrame:
     """Of candidate pairs (a < b, ids of classes) those whose full sets reach the threshold."""
     of = classes.select("id", "cls", "n", "sig")
     for side in "ab":
         pairs = pairs.join(of.withColumnsRenamed({"id": side, "cls": f"cls_{side}", "n": f"n_{side}", "sig": f"sig_{side}"}), side)
-    likely = written(pairs.mapInPandas(lambda frames: _open_pairs(frames, forest), "a long, b long, cls_a binary, cls_b binary"), "likely_pairs")
+    likely = scratch.written(pairs.mapInPandas(lambda frames: _open_pairs(frames, forest), "a long, b long, cls_a binary, cls_b binary"), "likely_pairs")
     ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = written(texts.mapInPandas(_sets, "cls binary, shingles binary"), "shingle_sets")
+    sets = scratch.written(texts.mapInPandas(_sets, "cls binary, shingles binary"), "shingle_sets")
     for side in "ab":
         likely = likely.join(sets.withColumnsRenamed({"cls": f"cls_{side}", "shingles": f"set_{side}"}), f"cls_{side}")
     return likely.mapInPandas(lambda frames: _confirmed(frames, forest), "a long, b long").distinct()
@@ -216,16 +220,19 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, forest: For
 
 def components(edges: DataFrame) -> DataFrame:
     """id and comp, the lowest id reachable, of every id in edges (a, b): minima of neighbours and jumps."""
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")), "labels")
+    kept, rounds = Scratch(edges.sparkSession), Scratch(edges.sparkSession)
+    both = kept.written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = rounds.written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")), "labels")
     while True:
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("comp").alias("m"))
         step = labels.join(near, F.col("id") == F.col("a")).select("id", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
         jump = labels.select(F.col("id").alias("at"), F.col("comp").alias("beyond"))
-        new = written(step.join(jump, F.col("comp") == F.col("at")).select("id", "old", F.least("comp", "beyond").alias("comp")), "labels")
-        if new.filter("comp != old").isEmpty():
-            return new.select("id", "comp")
+        new = rounds.written(step.join(jump, F.col("comp") == F.col("at")).select("id", "old", F.least("comp", "beyond").alias("comp")), "labels")
+        rounds.drop(last=1)
         labels = new.select("id", "comp")
+        if new.filter("comp != old").isEmpty():
+            kept.drop()
+            return labels
 
 
 def _minis(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -271,44 +278,61 @@ def _crossed(frames: Iterator[pd.DataFrame], forest: Forest) -> Iterator[pd.Data
                 yield pd.DataFrame({"a": np.minimum(r.id_2[some], me), "b": np.maximum(r.id_2[some], me)})
 
 
-def _rest(members: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
+def _rest(members: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame, forest: Forest, scratch: Scratch) -> DataFrame:
     """Candidate pairs of regions with several components."""
     placed = members.select("t", "key", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     sizes = placed.groupBy("t", "key", "comp").agg(F.count("*").alias("c"))
     regions = sizes.groupBy("t", "key").agg(F.count("*").alias("comps"), F.sum("c").alias("c"), F.max_by("comp", F.struct("c", "comp")).alias("big")).filter("comps > 1").select("t", "key", "c", "big")
-    inside = written(placed.join(regions, ["t", "key"]), "inside")
+    inside = scratch.written(placed.join(regions, ["t", "key"]), "inside")
     of = classes.join(inside.select("id").distinct(), "id", "left_semi").select("id", "cls", "n", "sig")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(of.select("id"), F.col("doc_id") == F.col("id"), "left_semi")
     minis = texts.mapInPandas(_minis, "cls binary, bits long, mini binary").groupBy("cls").agg(F.first("bits").alias("bits"), F.first("mini").alias("mini"))
-    inside = inside.join(written(of.join(minis, "cls").drop("cls"), "minis"), "id")
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / BLOCK)).alias("block")
-    blocks = inside.select("t", "key", block, "big", F.struct("id", "comp", "n", "sig", "bits", "mini").alias("x"))
+    inside = inside.join(scratch.written(of.join(minis, "cls").drop("cls"), "minis"), "id")
+    n_blocks = F.ceil(F.col("c") / BLOCK)
+    block = F.pmod(F.xxhash64("id"), n_blocks).alias("block")
+    blocks = inside.select("t", "key", block, n_blocks.alias("n_blocks"), "big", F.struct("id", "comp", "n", "sig", "bits", "mini").alias("x"))
     columns = lambda side: [F.col(f"x.{c}").alias(f"{c}_{side}") for c in ("id", "comp", "n", "sig", "bits", "mini")]
-    every = blocks.groupBy("t", "key", "block").agg(F.collect_list("x").alias("x")).select("t", "key", *columns(2))
-    rest = blocks.filter("x.comp != big").groupBy("t", "key", "block").agg(F.collect_list("x").alias("x")).select("t", "key", *columns(1))
-    return rest.join(every, ["t", "key"]).drop("t", "key").mapInPandas(lambda frames: _crossed(frames, forest), "a long, b long").distinct()
+    every = blocks.groupBy("t", "key", "block").agg(F.collect_list("x").alias("x")).select("t", "key", "block", *columns(2))
+    rest = blocks.filter("x.comp != big").groupBy("t", "key", F.col("block").alias("of")).agg(F.first("n_blocks").alias("n_blocks"), F.collect_list("x").alias("x")).select("t", "key", "of", "n_blocks", *columns(1))
+    every, rest = scratch.written(every, "blocks"), scratch.written(rest, "rest")
+    pairs = rest.select("t", "key", "of", F.explode(F.expr("sequence(0L, n_blocks - 1)")).alias("block")).repartition("t", "key", "of", "block")
+    crossed = pairs.join(every, ["t", "key", "block"]).join(rest.drop("n_blocks"), ["t", "key", "of"]).drop("t", "key", "of", "block")
+    return crossed.mapInPandas(lambda frames: _crossed(frames, forest), "a long, b long").distinct()
+
+
+def _deeper(members: DataFrame) -> DataFrame:
+    """Candidates (a, b) of crowded regions: every class and the lowest id of each of its longer prefixes."""
+    bits = 64 // (LENGTH - DEPTH)
+    prefixes = F.array(*(F.struct(F.lit(k).alias("level"), F.expr(f"shiftright(deep, {bits * (LENGTH - DEPTH - k)})").alias("prefix")) for k in range(1, LENGTH - DEPTH + 1)))
+    placed = members.filter(F.col("c") > CROWDED).select("t", "key", "id", F.explode(prefixes).alias("p")).select("t", "key", "id", "p.*")
+    low = placed.groupBy("t", "key", "level", "prefix").agg(F.min("id").alias("low"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return placed.join(low, ["t", "key", "level", "prefix"]).filter("low != id").select(F.col("low").alias("a"), F.col("id").alias("b"))
 
 
 def linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The sketches of all documents; the components (id, comp) of classes that have links."""
-    forest = Forest(percent)
+    forest, scratch = Forest(percent), Scratch(docs.sparkSession)
     sketches = written(sketched(docs, forest), "sketches")
-    classes = written(sketches.filter("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "sig", "keys", "deep"))), "classes")
+    classes = scratch.written(sketches.filter("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "sig", "keys", "deep"))), "classes")
     trees = classes.select("id", F.posexplode(F.arrays_zip("keys", "deep")).alias("t", "x")).select("t", F.col("x.keys").alias("key"), F.col("x.deep").alias("deep"), "id")
     below = trees.groupBy("t", "key", "deep").agg(F.count("*").alias("c"), F.min("id").alias("low"))
-    regions = below.groupBy("t", "key").agg(F.sum("c").alias("c"), F.min("low").alias("pivot"), F.max_by("low", F.struct("c", F.expr("-low"))).alias("hub")).filter("c > 1").drop("c")
-    members = written(trees.join(regions, ["t", "key"]), "members")
+    regions = below.groupBy("t", "key").agg(F.sum("c").alias("c"), F.min("low").alias("pivot"), F.max_by("low", F.struct("c", F.expr("-low"))).alias("hub")).filter("c > 1")
+    members = scratch.written(trees.join(regions, ["t", "key"]), "members")
     order = members.select("t", "key", "deep", "id").repartitionByRange("t", "key", "deep", "id").sortWithinPartitions("t", "key", "deep", "id")
     stars = members.select(F.col("id").alias("me"), F.explode(F.array_distinct(F.array("pivot", "hub"))).alias("you")).filter("me != you").select(F.least("me", "you").alias("a"), F.greatest("me", "you").alias("b"))
-    edges = confirmed(order.mapInPandas(_neighbours, "a long, b long").filter("a != b").unionByName(stars).distinct(), classes, docs, forest)
+    candidates = order.mapInPandas(_neighbours, "a long, b long").filter("a != b").unionByName(stars).unionByName(_deeper(members))
+    edges = confirmed(candidates.distinct(), classes, docs, forest, scratch)
     comps = components(edges)
-    more = confirmed(_rest(members, classes, comps, docs, forest), classes, docs, forest)
+    more = confirmed(_rest(members, classes, comps, docs, forest, scratch), classes, docs, forest, scratch)
     label = lambda side: comps.withColumnsRenamed({"id": side, "comp": f"c_{side}"})
     across = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("c_a", "a").alias("x"), F.coalesce("c_b", "b").alias("y"))
-    joined = components(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()).withColumnsRenamed({"id": "was", "comp": "now"})
-    every = comps.unionByName(across.select(F.explode(F.array("x", "y")).alias("id")).distinct().join(comps, "id", "left_anti").withColumn("comp", F.col("id")))
+    across = scratch.written(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "across")
+    joined = components(across).withColumnsRenamed({"id": "was", "comp": "now"})
+    every = comps.unionByName(across.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comps, "id", "left_anti").withColumn("comp", F.col("id")))
     whole = every.join(joined, F.col("comp") == F.col("was"), "left").select("id", F.coalesce("now", "comp").alias("comp"))
-    return sketches, written(_repeated_ids(sketches, classes, whole), "components")
+    result = written(_repeated_ids(sketches, classes, whole), "components")
+    scratch.drop()
+    return sketches, result
 
 
 def _repeated_ids(sketches: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
@@ -333,5 +357,6 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def representatives(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of docs, with all their columns, that `groups` keeps."""
-    gone = groups(docs, percent).groupBy("doc_id").agg(F.bool_or("kept").alias("any")).filter("NOT any").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = groups(docs, percent).groupBy("doc_id").agg(F.bool_or("kept").alias("any")).filter("NOT any").select(F.col("doc_id").alias("gone"))
+    rows = whole_rows(docs).drop("text")
+    return rows.join(gone, F.col("row.doc_id").cast("long") == F.col("gone"), "left_anti").select("row.*")

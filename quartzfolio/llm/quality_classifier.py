@@ -5,8 +5,8 @@ A document is a bag of passages of `PASSAGE` bytes. Each passage is encoded from
 and the weighted one is scored. Attention weights are learned from document labels alone.
 
 The model is fitted on the driver from at most `TRAIN_DOCS` labelled documents (the first in the
-order of a hash of doc_id; whole texts, at most `TRAIN_PASSAGES` passages of features leave the
-executors), whose crc32(doc_id as text) modulo 3 isn't 1. Weights have a fixed size and are
+order of a hash of doc_id, one text each, of long ones `DOC_PASSAGES` passages spread over the whole
+text: 4,000 x 50 rows of features at most), whose crc32(doc_id as text) modulo 3 isn't 1. Weights have a fixed size and are
 broadcast. Scoring reads every whole text in lots of bounded size. Labels, lang, source and
 doc_id are no inputs of a score.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .decontaminate import Words
 from .pieces import batches
 
-PASSAGE, TRAIN_DOCS, TRAIN_PASSAGES = 512, 4000, 200_000
+PASSAGE, TRAIN_DOCS, DOC_PASSAGES = 512, 4000, 50
 HIDDEN, GATE, EPOCHS, RATE, DECAY, LOT = 24, 12, 40, 0.01, 1e-4, 256
 BATCH_CHARS = 4_000_000
 _CLASS = np.full(256, 15, np.uint8)
@@ -128,23 +128,24 @@ def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = EPOCHS)
 
 
 def _featured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The passages of each document, of long ones DOC_PASSAGES spread over the whole text."""
     words = Words()
     for ids, texts in batches(frames, BATCH_CHARS):
         x, first = passages(texts, words)
-        yield pd.DataFrame({"doc_id": ids, "x": [v.tobytes() for v in np.split(x, first[1:])]})
+        spread = [v if len(v) <= DOC_PASSAGES else v[np.linspace(0, len(v) - 1, DOC_PASSAGES).astype(int)] for v in np.split(x, first[1:])]
+        yield pd.DataFrame({"doc_id": ids, "x": [v.tobytes() for v in spread]})
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", train_docs: int = TRAIN_DOCS) -> Model | None:
     """The model from a bounded sample of labelled documents that aren't held out."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.avg(F.col(label).cast("double")).alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # of at most train_docs rows
-    got = sample.select("doc_id", "text").mapInPandas(_featured, "doc_id long, x binary").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "x")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # at most train_docs rows, one for each doc_id
+    got = sample.mapInPandas(_featured, "doc_id long, x binary").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "x")
     x, y, first, n = [], [], [], 0
-    for row in got.orderBy(F.xxhash64("doc_id"), "doc_id", "x").toLocalIterator():
+    for row in got.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():  # train_docs x DOC_PASSAGES passages at most
         part = np.frombuffer(row.x, np.float32).reshape(-1, N_FEATURES)
-        if n + len(part) > TRAIN_PASSAGES or len(y) >= train_docs:
-            continue
         x.append(part)
         y.append(row.y)
         first.append(n)

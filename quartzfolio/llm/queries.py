@@ -93,7 +93,7 @@ WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://(
      fits AS (SELECT k, max_by(struct_pack(verdict := r.verdict, rule := r.host || r.path), length(r.host || r.path)) AS best FROM p JOIN rules r
               ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY k)
 SELECT page_id, host, path, best.rule AS rule,
-       CASE WHEN best IS NOT NULL THEN best.verdict WHEN regexp_matches(host, '(^|[^a-z0-9])({'|'.join(url_filter.BLOCKED_HOST_WORDS)})([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END AS verdict
+       CASE WHEN best IS NOT NULL THEN best.verdict WHEN regexp_matches(host, '(^|[^a-z0-9])({'|'.join(url_filter.HOST_WORDS)})([^a-z0-9]|$)') OR regexp_matches(host || path, '/({'|'.join(w.replace('.', chr(92) + '.') for w in url_filter.FOLDERS)})(/|$)') THEN 'block' ELSE 'allow' END AS verdict
 FROM p LEFT JOIN fits USING (k)
 """
 ORACLES = {"op4_quality_rules": _OP4, "op8_chat_format": _OP8, "op10_url_filter": _OP10}

@@ -34,6 +34,7 @@ def test_classifier(spark):
     assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
     odd = quality_classifier.scored(spark.createDataFrame(ODD, SCHEMA), model).collect()
     assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)
+    assert quality_classifier.scored(spark.createDataFrame([], SCHEMA), model).count() == 0 and quality_classifier.fitted(spark.createDataFrame([], SCHEMA), labels) is None
     assert {r.score for r in quality_classifier.classified(spark.createDataFrame(ODD, SCHEMA), labels.limit(0)).collect()} == {0.5}
 
 
@@ -95,6 +96,8 @@ def test_minhash(spark, texts):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in minhash_forest.groups(edge).collect()) == [(-1, -1, True), (5, 5, True), (7, 5, False), (8, 8, True), (9, 8, False), (9, 8, False)]
     assert sorted(r.doc_id or -1 for r in minhash_forest.representatives(edge).collect()) == [-1, 5, 8]
     assert minhash_forest.groups(edge.limit(0)).count() == 0
+    odd = edge.selectExpr("*", "1 AS _gone", "doc_id AS `a.b`", "2 AS row")
+    assert minhash_forest.representatives(odd).columns == odd.columns and minhash_forest.representatives(odd).count() == 3
 
 
 @pytest.fixture(scope="module")
@@ -182,6 +185,21 @@ def test_urls(spark):
     assert [got[i].rule for i in range(len(urls))] == [None, None, None, "example.com/en/", "www.example.com/en/", "net/es/", "net/fr/", None, None, None, None]
     assert [got[i].verdict for i in (3, 4, 5, 9, 10)] == ["block", "allow", "block", "block", "allow"]
     assert (got[10].host, got[10].path) == ("a.org", "/path://b")
+    assert url_filter.judged(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert sum(r.page_id == 1 for r in url_filter.judged(spark.createDataFrame([(1, "http://a.org/ads/"), (1, "http://a.org/ads/"), (2, None)], "page_id long, url string")).filter("verdict = 'block'").collect()) == 2
+
+
+def test_url_rules_need_no_whole_token(spark):
+    """Any rule equals its own pattern run over every URL."""
+    rules = [("x.com/pro", r"^x\.com/pro", "x.com/pro"), ("é", "é", "/é/"), ("shop", r"/shop/[a-z]+s$", "/shop/"), ("a.b", r"^a\.b", "a.b"), ("end", r"end$", "end"), ("(x|y)-z", r"[xy]-z-", "-z-")]
+    urls = ["http://x.com/products", "http://x.com/pro", "http://a.org/é/x", "http://s.org/shop/bags", "http://a.bc/", "http://weekend", "http://q.org/x-z-1", "http://ax.com/pro", "http://s.org/shops/bags", "http://b.org/é"]
+    table = spark.createDataFrame([("block", r, p, len(r), x, True) for r, p, x in rules], "verdict string, rule string, pattern string, size int, literal string, listed boolean")
+    got = {r.page_id: r.rule for r in url_filter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), table).collect()}
+    for i, u in enumerate(urls):
+        fits = [(-len(r), r) for r, p, _ in rules if re.search(p, u.split("://")[1])]
+        assert got[i] == (min(fits)[1] if fits else None), u
+    none = table.limit(0)
+    assert {r.verdict for r in url_filter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), none).collect()} == {"allow"}
 
 
 @pytest.mark.parametrize(("percent", "trees"), [(85, 16), (80, 23)])
@@ -224,6 +242,34 @@ def test_near_duplicates_of_the_pipeline(spark, texts):
     assert sorted(r.doc_id for r in got) == sorted(i for i, c in of.items() if i == c)
 
 
+def test_crowded_region_in_blocks(spark, monkeypatch):
+    """Regions that the candidates leave open are compared block by block."""
+    monkeypatch.setattr(minhash_forest, "BLOCK", 8)
+    monkeypatch.setattr(minhash_forest, "CROWDED", 4)
+    rng, shared = random.Random(4), [f"s{i}" for i in range(60)]
+    rows = []
+    for k in range(60):  # a common half, so that minima meet, and small groups that link
+        own = [f"o{k // 3}x{i}" for i in range(45)]
+        own[rng.randrange(45)] = f"v{k}"
+        rows.append((k, " ".join(shared + own)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_forest.groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == components(rows)
+
+
+def test_pipeline_edges(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, _gone int, row string"
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(70))
+    rows = [(1, None, "en", "s", 0, 1, 1, "r"), (2, "", None, None, None, 1, 1, "r"), (3, words(3), "en", "s", 5, 1, 1, "r"), (3, words(4), "en", "s", 5, 1, 1, "r"), (None, words(5), "en", "s", 5, 1, 1, "r"), (7, f"{words(3)}\n{words(8)}\n{words(9)}", "en", "s", 5, 1, 1, "r"), (8, words(3), "en", "s", 5, 1, 1, "r")]
+    d = spark.createDataFrame(rows, schema)
+    step = d
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        step = written(stage(spark, step, SF), "step")
+        assert step.dtypes == d.dtypes
+    assert sorted((r.doc_id or 0, len(r.text.split()), r.n_chars == (5 if r.doc_id != 7 else len(r.text))) for r in step.collect()) == [(0, 70, True), (3, 70, True), (3, 70, True), (7, 140, True)]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, d.limit(0), SF).count() == 0, k
+
+
 def test_pipeline(spark, docs, encoding):
     names = docs.columns
     step, sizes = docs, [docs.count()]
