@@ -2,6 +2,12 @@
 
 Every stage takes all rows that the one before kept; each result is written as Parquet and
 read again. All but the last return the columns of documents.
+
+Edge cases: a null or empty text has too few words and goes with the quality rules; rows of one
+doc_id are judged each by the stages, only as near duplicates they are one document; a null doc_id is linked
+with nothing and stays null; a document of which line dedup leaves no word goes, as all of it
+stands elsewhere; an empty table gives no rows; further columns pass all stages but the
+last, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,10 +30,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the line chunks that occur elsewhere before; n_chars follows the text."""
-    cut = line_dedup.deduplicated(docs)
-    changed = F.col("_n_removed_chunks") > 0
-    return cut.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Texts without the line chunks that occur elsewhere before; n_chars follows the text. What is emptied goes."""
+    cut = line_dedup.rows(docs)
+    changed = F.col("n_removed_chunks") > 0
+    row = F.col("row").withField("n_chars", F.length("row.text").cast("long")) if "n_chars" in docs.columns else F.col("row")
+    left = cut.filter(~changed | F.col("row.text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.select(F.when(changed, row).otherwise(F.col("row")).alias("row")).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
