@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +20,77 @@ def guarded(listings: int, most: int = MAX_PAIRS) -> int:
     return pairs
 
 
-def aligned(rets: DataFrame) -> DataFrame:
-    """left, right, date, x, y: each pair once, on its common dates (equi-join on the date)."""
-    a = rets.select(F.col("listing").alias("left"), "date", F.col("ret").alias("x"))
-    b = rets.select(F.col("listing").alias("right"), "date", F.col("ret").alias("y"))
-    return a.join(b, "date").filter("left < right").select("left", "right", "date", "x", "y")
+def aligned(rets: DataFrame, most: int = MAX_PAIRS) -> DataFrame:
+    """left, right, date, x, y: each pair once, on its common dates (equi-join on the date).
+
+    The listings are counted first, and more than `most` pairs are an error. With a column isin, two
+    listings of one ISIN are no pair.
+    """
+    guarded(rets.select("listing").distinct().limit(int((2 * most) ** 0.5) + 3).count(), most)
+    isin = [F.col("isin")] if "isin" in rets.columns else []
+    a = rets.select(F.col("listing").alias("left"), "date", F.col("ret").alias("x"), *(c.alias("i") for c in isin))
+    b = rets.select(F.col("listing").alias("right"), "date", F.col("ret").alias("y"), *(c.alias("j") for c in isin))
+    return a.join(b, "date").filter("left < right AND NOT i <=> j" if isin else "left < right").select("left", "right", "date", "x", "y")
+
+
+STATISTICS = (
+    "left string, right string, n long, pearson double, spearman double, covariance double, beta_left double, beta_right double, n_downside long, downside_correlation double, "
+    "left_tail long, right_tail long, joint_tail long, tail_dependence double, co_exceedance double, stability double, overlap double"
+)
+
+
+def _correlation(x: np.ndarray, y: np.ndarray) -> float:
+    """0 for fewer than two rows or a constant side."""
+    if len(x) < 2:
+        return 0.0
+    a, b = x - x.mean(), y - y.mean()
+    size = np.sqrt((a @ a) * (b @ b))
+    return float(a @ b / size) if size > 0 else 0.0
+
+
+def _scores(x: np.ndarray) -> np.ndarray:
+    """Each value against the mean and deviation of those before; 0 for the first two."""
+    before = pd.Series(x).expanding()
+    mean, sd = before.mean().shift().to_numpy(), before.std().shift().to_numpy()
+    return np.where(np.nan_to_num(sd) > 0, (x - np.nan_to_num(mean)) / np.where(np.nan_to_num(sd) > 0, sd, 1), 0.0)
+
+
+def _statistics(pair: pd.DataFrame, share: float, window: int, depth: float) -> dict:
+    d = pair.sort_values("date")
+    x, y, n = d["x"].to_numpy(), d["y"].to_numpy(), len(d)
+    covariance, vx, vy = (float(np.cov(x, y)[i, j]) if n > 1 else 0.0 for i, j in ((0, 1), (0, 0), (1, 1)))
+    both = (x < 0) & (y < 0)
+    at = round((n - 1) * share)
+    a, b = x <= np.sort(x)[at], y <= np.sort(y)[at]
+    joint, tails = int((a & b).sum()), (int(a.sum()), int(b.sum()))
+    stability = 0.0
+    if n >= MIN_ROWS:
+        size = min(window, n)
+        starts = sorted({*range(0, n - size + 1, max(1, size // 3)), n - size})
+        each = [_correlation(x[s : s + size], y[s : s + size]) for s in starts]
+        stability = float(np.std(each, ddof=1)) if len(each) > 1 else 0.0
+    down = [np.exp(c - np.maximum(0, np.maximum.accumulate(c))) - 1 <= depth for c in (np.cumsum(x), np.cumsum(y))]
+    return {
+        "n": n, "pearson": _correlation(x, y), "spearman": _correlation(_scores(x), _scores(y)), "covariance": covariance,
+        "beta_left": covariance / vy if vy else 0.0, "beta_right": covariance / vx if vx else 0.0,
+        "n_downside": int(both.sum()), "downside_correlation": _correlation(x[both], y[both]),
+        "left_tail": tails[0], "right_tail": tails[1], "joint_tail": joint, "tail_dependence": joint / min(tails), "co_exceedance": joint / n,
+        "stability": stability, "overlap": float((down[0] & down[1]).mean()),
+    }
+
+
+def statistics(pairs: DataFrame, share: float = 0.05, window: int = WINDOW, depth: float = -0.05) -> DataFrame:
+    """One row with all statistics of a pair, from one shuffle: a pair's rows are one group of numpy arrays."""
+
+    def run(key: tuple, pair: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"left": key[0], "right": key[1], **_statistics(pair, share, window, depth)}])
+
+    return pairs.groupBy(*PAIR).applyInPandas(run, STATISTICS)
+
+
+def metric_card(stats: DataFrame, metric: str) -> DataFrame:
+    """n, mean, median, least and greatest of a statistic over all pairs."""
+    return stats.agg(F.count(metric).alias("n"), F.avg(metric).alias("mean"), F.median(metric).alias("median"), F.min(metric).alias("least"), F.max(metric).alias("greatest"))
 
 
 def moments(pairs: DataFrame) -> DataFrame:
@@ -113,13 +181,17 @@ def diagnostics(stats: DataFrame) -> DataFrame:
 def clusters(stats: DataFrame, least: float = 0.7) -> DataFrame:
     """listing, cluster: components of pairs at or above a correlation, by minima of neighbours.
 
-    The number of listings is guarded, and so is the depth: each round is written to the checkpoint folder.
+    `aligned` guards the number of pairs. The pairs are checkpointed once and each round is, too; a round
+    also jumps to the cluster's own cluster, so that rounds grow with the logarithm of the diameter.
     """
+    stats = stats.select(*PAIR, "pearson").checkpoint()
     e = mirrored(stats.filter(F.col("pearson") >= least).select(*PAIR))
     nodes = stats.select(F.explode(F.array("left", "right")).alias("listing")).distinct().withColumn("cluster", F.col("listing"))
     while True:
         near = e.join(nodes, F.col("right") == F.col("listing")).groupBy("left").agg(F.min("cluster").alias("m"))
-        new = nodes.join(near, F.col("listing") == F.col("left"), "left").select("listing", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster"), F.col("cluster").alias("old")).checkpoint()
+        step = nodes.join(near, F.col("listing") == F.col("left"), "left").select("listing", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster"), F.col("cluster").alias("old"))
+        beyond = nodes.select(F.col("listing").alias("at"), F.col("cluster").alias("beyond"))
+        new = step.join(beyond, F.col("cluster") == F.col("at")).select("listing", F.least("cluster", "beyond").alias("cluster"), "old").checkpoint()
         if new.filter("cluster <> old").isEmpty():
             return new.select("listing", "cluster")
         nodes = new.select("listing", "cluster")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import TRADING_DAYS, ratio0, running, zero
+from ..functions.exprs import TRADING_DAYS, product, ratio0, running, zero
 from .pairs import aligned
 
 ROOT = TRADING_DAYS**0.5
@@ -58,7 +58,7 @@ def drawdowns(r: DataFrame) -> DataFrame:
     keys = [c for c in r.columns if c == "portfolio"]
     base = Window.partitionBy(*keys).orderBy("date")
     upto = base.rowsBetween(Window.unboundedPreceding, 0)
-    d = r.withColumn("wealth", F.exp(F.sum(F.ln(1 + F.col("r"))).over(upto)))
+    d = r.withColumn("wealth", product(1 + F.col("r"), upto))
     d = d.withColumn("peak", F.greatest(F.lit(1.0), F.max("wealth").over(upto)))
     d = d.withColumn("at_peak", F.col("wealth") >= F.greatest(F.lit(1.0), F.coalesce(F.lag("peak").over(base), F.lit(1.0))))
     d = d.withColumns({"drawdown": F.col("wealth") / F.col("peak") - 1, "island": F.sum(F.col("at_peak").cast("int")).over(upto)})
@@ -93,7 +93,9 @@ def covariance_ledoit_wolf(m: DataFrame, column: str = "simple") -> DataFrame:
     s = c.groupBy("left", "right").agg(F.count("*").alias("t"), (F.sum(F.col("x") * F.col("y")) / (F.count("*") - 1)).alias("s"))
     n = s.agg(F.countDistinct("left").alias("n"), (F.sum(F.when(F.col("left") == F.col("right"), F.col("s"))) / F.countDistinct("left")).alias("mu"), F.max("t").alias("t"))
     delta = s.join(F.broadcast(n.select("n", "mu"))).agg((F.sum(F.pow(F.col("s") - F.when(F.col("left") == F.col("right"), F.col("mu")).otherwise(0.0), 2)) / F.max("n")).alias("delta"))
-    beta = c.join(s.select("left", "right", "s"), ["left", "right"]).agg(F.sum(F.pow(F.col("x") * F.col("y") - F.col("s"), 2)).alias("b"))
+    # The squared distances of the daily products from s, summed over all pairs and dates, need only the dates' squared lengths and s.
+    daily = d.groupBy("date").agg(F.sum(F.col("z") * F.col("z")).alias("q")).agg(F.sum(F.col("q") * F.col("q")).alias("q"))
+    beta = daily.join(s.agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.max("t").alias("days"))).select((F.col("q") - (F.col("days") - 2) * F.col("ss")).alias("b"))
     one = n.join(delta).join(beta)
     k = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio0(F.col("b") / (F.col("t") * F.col("t")) / F.col("n"), F.col("delta"))))
     one = one.select(k.alias("intensity"), "mu")
@@ -161,7 +163,7 @@ def grid(spark: SparkSession, listings: list[str], step: int, most: int = 20_000
 
 
 def grid_scores(cov: DataFrame, means: DataFrame, step: int = 10) -> DataFrame:
-    """candidate, variance and expected of every weight vector of the grid."""
+    """candidate, variance, expected, own (weighted volatility) and spread (of risk shares) of every weight vector of the grid."""
     names = [r.listing for r in means.select("listing").orderBy("listing").collect()]  # guarded by `grid`
     cells = grid(cov.sparkSession, names, step).select("candidate", F.posexplode("candidate").alias("k", "w"))
     at = reduce(lambda c, kn: c.when(F.col("k") == kn[0], F.lit(kn[1])), enumerate(names), F)
@@ -169,14 +171,25 @@ def grid_scores(cov: DataFrame, means: DataFrame, step: int = 10) -> DataFrame:
     a, b = cells.select("candidate", F.col("listing").alias("left"), F.col("w").alias("wl")), cells.select("candidate", F.col("listing").alias("right"), F.col("w").alias("wr"))
     # The partial sums over one side come first: rows grow with candidates x listings, not with their square.
     half = a.join(F.broadcast(cov), "left").groupBy("candidate", "right").agg(F.sum(F.col("wl") * F.col("covariance")).alias("h"))
-    var = half.join(b, ["candidate", "right"]).groupBy("candidate").agg(F.sum(F.col("h") * F.col("wr")).alias("variance"))
-    mu = cells.join(F.broadcast(means), "listing").groupBy("candidate").agg(F.sum(F.col("w") * F.col("mean")).alias("expected"))
+    part = F.col("h") * F.col("wr")
+    var = half.join(b, ["candidate", "right"]).groupBy("candidate").agg(F.sum(part).alias("variance"), F.sum(part * part).alias("squares"))
+    var = var.select("candidate", "variance", (ratio0(F.col("squares"), F.col("variance") * F.col("variance")) - 1 / len(names)).alias("spread"))
+    own = means.join(cov.filter("left = right").select(F.col("left").alias("listing"), F.sqrt("covariance").alias("sd")), "listing")
+    mu = cells.join(F.broadcast(own), "listing").groupBy("candidate").agg(F.sum(F.col("w") * F.col("mean")).alias("expected"), F.sum(F.col("w") * F.col("sd")).alias("own"))
     return var.join(mu, "candidate")
 
 
 def best(scores: DataFrame, objective: str, risk_free: float = 0.0) -> DataFrame:
-    """The candidate of least variance or greatest Sharpe ratio; ties by the weights."""
-    value = F.round("variance", 12) if objective == "min_variance" else -F.round(ratio0(F.col("expected") - risk_free, F.sqrt("variance")), 12)
+    """The best candidate by one of `OBJECTIVES`; ties by the weights."""
+    sd = F.sqrt("variance")
+    value = {
+        "min_variance": F.col("variance"),
+        "max_sharpe": -ratio0(F.col("expected") - risk_free, sd),
+        "max_diversification": -ratio0(F.col("own"), sd),
+        "risk_parity": F.col("spread"),
+        "max_return": -F.col("expected"),
+    }[objective]
+    value = F.round(value, 9 if objective == "risk_parity" else 12)
     return scores.withColumn("value", value).agg(F.min(F.struct("value", "candidate", "variance", "expected")).alias("b")).select(F.array_join("b.candidate", ",").alias("weights"), "b.variance", "b.expected")
 
 
@@ -190,7 +203,7 @@ def frontier(scores: DataFrame, targets: list[float]) -> DataFrame:
 def worst_window(r: DataFrame, length: int) -> DataFrame:
     """start, compounded: the worst `length` dates in a row, the earliest of equals."""
     w = Window.partitionBy().orderBy("date")
-    d = r.withColumns({"c": F.exp(F.sum(F.ln(1 + F.col("r"))).over(w.rowsBetween(0, length - 1))) - 1, "k": F.count("*").over(w.rowsBetween(0, length - 1))}).filter(F.col("k") == length)
+    d = r.withColumns({"c": product(1 + F.col("r"), w.rowsBetween(0, length - 1)) - 1, "k": F.count("*").over(w.rowsBetween(0, length - 1))}).filter(F.col("k") == length)
     return d.agg(F.min(F.struct(F.round("c", 9).alias("c"), "date")).alias("b")).filter("b IS NOT NULL").select(F.col("b.date").alias("start"), F.col("b.c").alias("compounded"))
 
 
@@ -239,13 +252,13 @@ def rebalance(m: DataFrame, weights: DataFrame, unit: str = "month", cost: float
     dates = dates.withColumn("reb", F.coalesce(period != F.lag(period).over(w), F.lit(True)))
     dates = dates.withColumn("seg", F.coalesce(F.sum(F.col("reb").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     d = m.join(dates, "date").join(weights, "listing")
-    cp = F.exp(F.sum(F.ln(1 + F.col("simple"))).over(running("listing", "seg")))
+    cp = product(1 + F.col("simple"), running("listing", "seg"))
     d = d.withColumn("g", F.col("weight") * cp)
     f = d.groupBy("date", "seg", "reb").agg(F.sum("g").alias("f"))
-    t = d.join(f.select("date", "f"), "date").groupBy("date").agg((F.sum(F.abs(F.col("g") / F.col("f") - F.col("weight"))) / 2).alias("drift"))
+    t = d.join(f.select("date", "f"), "date").groupBy("date").agg((F.sum(F.abs(ratio0(F.col("g"), F.col("f")) - F.col("weight"))) / 2).alias("drift"))
     d = f.join(t, "date").withColumn("turnover", F.when(F.col("reb"), F.col("drift")).otherwise(0.0))
-    step = F.when(F.col("reb"), F.ln(F.col("f") * (1 - F.lit(cost) * F.col("drift")))).otherwise(0.0)
-    before = F.exp(F.coalesce(F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    step = F.when(F.col("reb"), F.col("f") * (1 - F.lit(cost) * F.col("drift"))).otherwise(1.0)
+    before = product(step, w.rowsBetween(Window.unboundedPreceding, -1))
     return d.withColumn("value", before * F.col("f") * F.when(F.col("reb"), 1 - F.lit(cost) * F.col("drift")).otherwise(1.0)).select("date", F.col("reb").alias("rebalanced"), "value", "turnover")
 
 
@@ -263,7 +276,7 @@ def walk_forward_equal(m: DataFrame, train: int, test: int) -> DataFrame:
     """split, start, n, total_return, volatility of an equal-weight portfolio on each test window."""
     r = portfolio_returns(m, equal_weights(m))
     d = walk_forward_splits(m, train, test).filter("role = 'test'").join(r, "date")
-    return d.groupBy("split").agg(F.min("date").alias("start"), F.count("*").alias("n"), (F.exp(F.sum(F.ln(1 + F.col("r")))) - 1).alias("total_return"), zero(F.stddev_samp("r")).alias("volatility"))
+    return d.groupBy("split").agg(F.min("date").alias("start"), F.count("*").alias("n"), (product(1 + F.col("r")) - 1).alias("total_return"), zero(F.stddev_samp("r")).alias("volatility"))
 
 
 def order_sizes(targets: DataFrame, portfolio_value: float, cash_buffer: float = 0.0) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from functools import reduce
 
@@ -44,9 +45,19 @@ def matching(df: DataFrame, predicates: list[str]) -> DataFrame:
     return df.filter(reduce(lambda a, b: a & b, (condition(p, df.columns) for p in predicates), F.lit(True)))
 
 
-def selection_id(name: str, predicates: list[str]) -> str:
-    digest = hashlib.sha256("\n".join(sorted(predicates)).encode()).hexdigest()[:12]
-    return f"{re.sub('[^a-z0-9]+', '_', name.lower()).strip('_')}_{digest}"
+def _slug(text: str) -> str:
+    return re.sub("[^a-z0-9]+", "_", text.casefold()).strip("_") or "selection"
+
+
+def selection_id(name: str | None, predicates: list[str], module: str = "metadata") -> str:
+    """A readable name and a digest of module, name and predicates in their order.
+
+    Fixed format: the digest is over compact JSON with sorted keys, of which 12 digits count.
+    """
+    texts = ["".join(parse(p)) for p in predicates]
+    held = json.dumps({"module": module, "name": name or "", "predicates": texts}, sort_keys=True, separators=(",", ":"))
+    shown = name or "_".join(map(_slug, texts)) or "all"
+    return f"{_slug(shown)}-{hashlib.sha256(held.encode()).hexdigest()[:12]}"
 
 
 def with_valid_isin(df: DataFrame) -> DataFrame:

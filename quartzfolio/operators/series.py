@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import TRADING_DAYS, ratio0, running, zero
+from ..functions.exprs import TRADING_DAYS, ratio0, running, trading_day, zero
 
 STALE_RUN, GAP_DAYS, HISTORY = 5, 10, (252, 504, 756)
 
@@ -39,26 +39,29 @@ def calendar_gaps(quotes: DataFrame, days: int = GAP_DAYS) -> DataFrame:
     return d.withColumn("days", F.datediff("gap_end", "gap_start").cast("long")).filter(F.col("days") > days)
 
 
-def trading_days(quotes: DataFrame) -> DataFrame:
-    """listing, date: the weekdays between the first and last quote."""
+def trading_days(quotes: DataFrame, exchange: str = "") -> DataFrame:
+    """listing, date: the days between the first and last quote on which the exchange is open.
+
+    Weekdays; an exchange with a calendar (XETRA) is closed on its holidays, too.
+    """
     ends = quotes.groupBy("listing").agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    return ends.select("listing", F.explode(F.sequence("a", "b")).alias("date")).filter(F.weekday("date") < 5)
+    return ends.select("listing", F.explode(F.sequence("a", "b")).alias("date")).filter(trading_day(F.col("date"), F.lit(exchange)))
 
 
-def missing_ranges(quotes: DataFrame) -> DataFrame:
+def missing_ranges(quotes: DataFrame, exchange: str = "") -> DataFrame:
     """listing, gap_start, gap_end, missing: neighbouring trading days without a quote, merged."""
     w = Window.partitionBy("listing").orderBy("date")
-    days = trading_days(quotes).withColumn("no", F.row_number().over(w))
+    days = trading_days(quotes, exchange).withColumn("no", F.row_number().over(w))
     absent = days.join(quotes.select("listing", "date"), ["listing", "date"], "left_anti")
     island = absent.withColumn("i", F.col("no") - F.row_number().over(w))
     return island.groupBy("listing", "i").agg(F.min("date").alias("gap_start"), F.max("date").alias("gap_end"), F.count("*").alias("missing")).drop("i")
 
 
-def coverage(quotes: DataFrame) -> DataFrame:
+def coverage(quotes: DataFrame, exchange: str = "") -> DataFrame:
     """listing, days, expected, missing and next_start, five days before the last quote."""
     got = quotes.groupBy("listing").agg(F.countDistinct("date").alias("days"), F.date_sub(F.max("date"), 5).alias("next_start"))
-    want = trading_days(quotes).groupBy("listing").agg(F.count("*").alias("expected"))
-    absent = missing_ranges(quotes).groupBy("listing").agg(F.sum("missing").alias("missing"))
+    want = trading_days(quotes, exchange).groupBy("listing").agg(F.count("*").alias("expected"))
+    absent = missing_ranges(quotes, exchange).groupBy("listing").agg(F.sum("missing").alias("missing"))
     return got.join(want, "listing", "left").join(absent, "listing", "left").select("listing", "days", F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("missing", F.lit(0)).alias("missing"), "next_start")
 
 
@@ -111,22 +114,35 @@ def trend(quotes: DataFrame) -> DataFrame:
 BANDS = (("monthly", 20, 45), ("quarterly", 70, 110), ("semiannual", 150, 220), ("annual", 300, 430))
 
 
-def payout_frequency(payouts: DataFrame) -> DataFrame:
-    """listing, events, last_date and frequency by the least and greatest gap between payout dates."""
+def payout_frequency(payouts: DataFrame, listings: DataFrame | None = None) -> DataFrame:
+    """listing, events, last_date and frequency by the least and greatest gap between payout dates.
+
+    With listings, those without a payout have a row, too: they accumulate.
+    """
     w = Window.partitionBy("listing").orderBy("date")
     d = payouts.filter("value > 0").select("listing", "date").distinct().withColumn("gap", F.datediff("date", F.lag("date").over(w)))
     d = d.groupBy("listing").agg(F.count("*").alias("events"), F.max("date").alias("last_date"), F.min("gap").alias("lo"), F.max("gap").alias("hi"))
     kind = F.when(F.col("events") < 2, "unknown")
     for name, lo, hi in BANDS:
         kind = kind.when((F.col("lo") >= lo) & (F.col("hi") <= hi), name)
-    return d.select("listing", "events", "last_date", kind.otherwise("irregular").alias("frequency"))
+    d = d.select("listing", "events", "last_date", kind.otherwise("irregular").alias("frequency"))
+    if listings is None:
+        return d
+    every = listings.select("listing").distinct().join(d, "listing", "left")
+    return every.select("listing", F.coalesce("events", F.lit(0)).alias("events"), "last_date", F.coalesce("frequency", F.lit("accumulating")).alias("frequency"))
+
 
+def trailing_payout(payouts: DataFrame, quotes: DataFrame) -> DataFrame:
+    """listing, annual_amount, payouts and annual_yield of every quoted listing.
 
-def trailing_payout(payouts: DataFrame) -> DataFrame:
-    """listing and the payouts within (last - 365 days, last]: a range join on the listing."""
-    last = payouts.groupBy(F.col("listing").alias("l")).agg(F.max("date").alias("last"))
-    d = payouts.filter("value > 0").join(last, (F.col("listing") == F.col("l")) & (F.col("date") > F.date_sub("last", 365)) & (F.col("date") <= F.col("last")))
-    return d.groupBy("listing").agg(F.sum("value").alias("annual_amount"), F.count("*").alias("payouts"))
+    The year ends with the last quote, whose price the yield is measured by; a listing that
+    stopped paying has 0.
+    """
+    last = quotes.groupBy("listing").agg(F.max("date").alias("last"), F.max_by("px", "date").alias("close"))
+    paid = payouts.filter("value > 0").select("listing", F.col("date").alias("paid"), "value")
+    within = (F.col("paid") > F.date_sub("last", 365)) & (F.col("paid") <= F.col("last"))
+    d = last.join(paid, "listing", "left").groupBy("listing").agg(zero(F.sum(F.when(within, F.col("value")))).alias("annual_amount"), F.count_if(within).alias("payouts"), F.first("close").alias("close"))
+    return d.select("listing", "annual_amount", "payouts", F.when(F.col("close") > 0, ratio0(F.col("annual_amount"), F.col("close"))).otherwise(0.0).alias("annual_yield"))
 
 
 def quality_gate(quotes: DataFrame) -> DataFrame:
@@ -160,10 +176,11 @@ def payout_rate(payouts: DataFrame) -> DataFrame:
     return d.select("listing", "events", F.when(F.col("events") == 1, 1.0).otherwise((F.col("events") - 1) / F.greatest("days", F.lit(1)) * 365.25).alias("events_per_year"))
 
 
-def gap_plan(quotes: DataFrame, as_of: str) -> DataFrame:
+def gap_plan(quotes: DataFrame, as_of: str, exchange: str = "") -> DataFrame:
     """listing, start_date, end_date, window_reason: what to fetch again; complete listings have no row."""
     last = quotes.groupBy("listing").agg(F.max("date").alias("b"))
-    following = F.date_add("b", F.when(F.weekday("b") == 4, 3).when(F.weekday("b") == 5, 2).otherwise(1))
-    old = missing_ranges(quotes).filter(F.col("gap_start") <= F.lit(as_of).cast("date")).groupBy("listing").agg(F.min("gap_start").alias("s"))
+    # No exchange is closed for ten days in a row.
+    following = F.element_at(F.filter(F.sequence(F.date_add("b", 1), F.date_add("b", 10)), lambda x: trading_day(x, F.lit(exchange))), 1)
+    old = missing_ranges(quotes, exchange).filter(F.col("gap_start") <= F.lit(as_of).cast("date")).groupBy("listing").agg(F.min("gap_start").alias("s"))
     d = last.select("listing", following.alias("t")).join(old, "listing", "left").filter(F.col("s").isNotNull() | (F.col("t") <= F.lit(as_of).cast("date")))
     return d.select("listing", F.coalesce("s", "t").alias("start_date"), F.lit(as_of).cast("date").alias("end_date"), F.when(F.col("s").isNull(), "tail").otherwise("gap_backfill").alias("window_reason"))

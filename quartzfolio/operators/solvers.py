@@ -118,13 +118,13 @@ def hierarchical(s: np.ndarray) -> np.ndarray:
     return w / w.sum()
 
 
-def ensemble(s: np.ndarray) -> np.ndarray:
-    """The median weight of hierarchical, equal-risk and least-variance portfolios, projected."""
-    w = np.median([hierarchical(s), equal_risk(s), min_variance(s)], axis=0)
+def ensemble(s: np.ndarray, shrunk: np.ndarray) -> np.ndarray:
+    """The median weight of hierarchical, equal-risk and (on the shrunk covariance) least-variance portfolios, projected."""
+    w = np.median([hierarchical(s), equal_risk(s), min_variance(shrunk)], axis=0)
     return project(w / w.sum(), 0.0, 1.0)
 
 
-SOLVERS = {"min_variance": min_variance, "equal_risk": equal_risk, "hierarchical": hierarchical, "ensemble": ensemble}
+SOLVERS = {"min_variance": min_variance, "equal_risk": equal_risk, "hierarchical": hierarchical}
 
 
 def _dense(cov: pd.DataFrame) -> tuple[list[str], np.ndarray]:
@@ -134,6 +134,13 @@ def _dense(cov: pd.DataFrame) -> tuple[list[str], np.ndarray]:
     return names, cov.pivot(index="left", columns="right", values="covariance").loc[names, names].to_numpy()
 
 
+def _wide(m: pd.DataFrame) -> pd.DataFrame:
+    """Dates by listings."""
+    if (n := m["listing"].nunique()) > MAX_LISTINGS:
+        raise ValueError(f"{n} listings exceed {MAX_LISTINGS}")
+    return m.pivot(index="date", columns="listing", values="simple").sort_index()
+
+
 def solved(cov: DataFrame, method: str) -> DataFrame:
     """portfolio, listing, weight; cov has portfolio, left, right, covariance."""
 
@@ -144,6 +151,18 @@ def solved(cov: DataFrame, method: str) -> DataFrame:
     return cov.groupBy("portfolio").applyInPandas(run, WEIGHTS)
 
 
+def balanced(cov: DataFrame, shrunk: DataFrame) -> DataFrame:
+    """portfolio, listing, weight of the ensemble; both frames have portfolio, left, right, covariance."""
+    both = cov.join(shrunk.select("portfolio", "left", "right", F.col("covariance").alias("shrunk")), ["portfolio", "left", "right"])
+
+    def run(both: pd.DataFrame) -> pd.DataFrame:
+        names, s = _dense(both)
+        other = _dense(both.assign(covariance=both["shrunk"]))[1]
+        return pd.DataFrame({"portfolio": both["portfolio"].iloc[0], "listing": names, "weight": ensemble(s, other)})
+
+    return both.groupBy("portfolio").applyInPandas(run, WEIGHTS)
+
+
 def linked(cov: DataFrame) -> DataFrame:
     """portfolio, step, left, right, distance of the single linkage."""
 
@@ -158,7 +177,7 @@ def solved_cvar(m: DataFrame, confidence: float = 0.95) -> DataFrame:
     """portfolio, listing, weight from an aligned matrix (portfolio, date, listing, simple)."""
 
     def run(m: pd.DataFrame) -> pd.DataFrame:
-        r = m.pivot(index="date", columns="listing", values="simple")
+        r = _wide(m)
         return pd.DataFrame({"portfolio": m["portfolio"].iloc[0], "listing": r.columns, "weight": min_cvar(r.to_numpy(), confidence)})
 
     return m.groupBy("portfolio").applyInPandas(run, WEIGHTS)
@@ -182,7 +201,7 @@ def rebalance_threshold(m: DataFrame, threshold: float, cost: float = 0.0) -> Da
     """
 
     def run(m: pd.DataFrame) -> pd.DataFrame:
-        r = m.pivot(index="date", columns="listing", values="simple").sort_index()
+        r = _wide(m)
         target = np.full(r.shape[1], 1 / r.shape[1])
         w, value, month, out = target.copy(), 1.0, None, []
         for date, x in zip(r.index, r.to_numpy(), strict=True):
@@ -203,19 +222,25 @@ def rebalance_threshold(m: DataFrame, threshold: float, cost: float = 0.0) -> Da
 
 
 def bootstrap(r: DataFrame, block: int, scenarios: int, seed: int) -> DataFrame:
-    """scenario, total_return: dates drawn in blocks by Python's seeded generator, joined by position."""
+    """scenario, total_return: dates drawn in blocks by Python's seeded generator, joined by position.
+
+    The draws of a scenario are made where its rows are; the driver only counts the dates.
+    """
     from random import Random
 
-    spark, n = r.sparkSession, r.count()
-    drawn = []
-    for k in range(scenarios if n else 0):
-        rng, at = Random(seed * 1_000_003 + k), 0
-        while at < n:
-            start = rng.randrange(max(1, n - block + 1))
-            drawn += [(k, at + j, start + j) for j in range(min(block, n - at))]
-            at += block
     from pyspark.sql import Window
 
+    from ..functions.exprs import product
+
+    spark, n = r.sparkSession, r.count()
+
+    def drawn(frames):
+        for frame in frames:
+            for k in frame["id"].tolist():
+                rng = Random(seed * 1_000_003 + k)
+                starts = [(rng.randrange(max(1, n - block + 1)), min(block, n - at)) for at in range(0, n, block)]
+                yield pd.DataFrame({"scenario": k, "i": [s + j for s, size in starts for j in range(size)]})
+
     placed = r.withColumn("i", F.row_number().over(Window.partitionBy().orderBy("date")) - 1)
-    table = spark.createDataFrame(drawn, "scenario int, position int, i int")
-    return table.join(placed, "i").groupBy("scenario").agg((F.exp(F.sum(F.ln(1 + F.col("r")))) - 1).alias("total_return"))
+    table = spark.range(scenarios if n else 0).mapInPandas(drawn, "scenario int, i int")
+    return table.join(placed, "i").groupBy("scenario").agg((product(1 + F.col("r")) - 1).alias("total_return"))

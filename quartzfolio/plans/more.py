@@ -38,10 +38,10 @@ def distribution_rate(spark, d):
     return series.payout_rate(adapters.dividends(spark, d))
 
 
-@query(f"""{q._DAYS}, h AS (SELECT listing, min(gap_start) AS s FROM g WHERE gap_start <= DATE '{AS_OF}' GROUP BY listing), n2 AS (SELECT listing, CAST(b + CASE isodow(b) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END AS DATE) AS t FROM e)
+@query(f"""{q._DAYS}, h AS (SELECT listing, min(gap_start) AS s FROM g WHERE gap_start <= DATE '{AS_OF}' GROUP BY listing), n2 AS (SELECT listing, min(CAST(b + k AS DATE)) AS t FROM e, (SELECT CAST(unnest(range(1, 11)) AS INT) AS k) WHERE isodow(CAST(b + k AS DATE)) < 6 AND CAST(b + k AS DATE) NOT IN (SELECT day FROM closed) GROUP BY listing)
   SELECT listing, CAST(coalesce(s, t) AS DATE) AS start_date, DATE '{AS_OF}' AS end_date, CASE WHEN s IS NULL THEN 'tail' ELSE 'gap_backfill' END AS window_reason FROM n2 LEFT JOIN h USING (listing) WHERE s IS NOT NULL OR t <= DATE '{AS_OF}'""")
 def gap_refetch_plan(spark, d):
-    return series.gap_plan(q._quoted("nation", spark, d), AS_OF)
+    return series.gap_plan(q._quoted("nation", spark, d), AS_OF, "XETRA")
 
 
 @query(f"""WITH {q._quotes('supplier')}, {q._R}, s AS (SELECT listing, count(*) AS n, coalesce(stddev_samp(ret), 0) AS daily_std FROM r GROUP BY listing)
@@ -102,13 +102,12 @@ def sensitivity_summary(spark, d):
 _BINS = "CAST(least(7, floor({0} / greatest(1, (SELECT max(annual) FROM y)) * 8)) AS INT)"
 
 
-@query(f"""WITH p AS (SELECT o_custkey AS listing, CAST(o_orderdate AS DATE) AS date, o_totalprice AS value FROM orders), l AS (SELECT listing, max(date) AS last FROM p GROUP BY listing),
-  y AS (SELECT listing, round(sum(value), 4) AS annual FROM p JOIN l USING (listing) WHERE value > 0 AND date > last - 365 GROUP BY listing), g AS (SELECT listing, date - lag(date) OVER (PARTITION BY listing ORDER BY date) AS gap FROM (SELECT DISTINCT listing, date FROM p WHERE value > 0)),
+@query(f"""WITH {q._PAID}, y AS (SELECT listing, round(CASE WHEN px > 0 THEN amount / px ELSE 0 END, 6) AS annual FROM ttm), g AS (SELECT listing, date - lag(date) OVER (PARTITION BY listing ORDER BY date) AS gap FROM (SELECT DISTINCT listing, date FROM p WHERE value > 0)),
   f AS (SELECT listing, CASE WHEN count(*) < 2 THEN 'unknown' {q._BANDS.replace('lo >=', 'min(gap) >=').replace('hi <=', 'max(gap) <=')} ELSE 'irregular' END AS frequency FROM g GROUP BY listing)
   SELECT {_BINS.format('annual')} AS bin, frequency, count(*) AS n FROM y JOIN f USING (listing) GROUP BY 1, 2""")
 def payout_histogram(spark, d):
     p = adapters.dividends(spark, d)
-    y = series.trailing_payout(p).select("listing", F.round("annual_amount", 4).alias("annual"))
+    y = series.trailing_payout(p, adapters.customer_quotes(spark, d)).select("listing", F.round("annual_yield", 6).alias("annual"))
     top = y.agg(F.greatest(F.lit(1.0), F.max("annual")).alias("top"))  # one row
     at = F.least(F.lit(7), F.floor(F.col("annual") / F.col("top") * 8)).cast("int")
     return y.join(F.broadcast(top)).join(series.payout_frequency(p).select("listing", "frequency"), "listing").groupBy(at.alias("bin"), "frequency").agg(F.count("*").alias("n"))

@@ -162,21 +162,25 @@ def calendar_gaps(spark, d):
     return series.calendar_gaps(_quoted("supplier", spark, d))
 
 
-_DAYS = f"""WITH {_quotes('nation')}, e AS (SELECT listing, min(date) AS a, max(date) AS b, count(*) AS days FROM q GROUP BY listing),
-  t AS (SELECT listing, CAST(u AS DATE) AS date FROM (SELECT listing, unnest(generate_series(a, b, INTERVAL 1 DAY)) AS u FROM e) WHERE isodow(CAST(u AS DATE)) < 6),
+#: Easter Sundays of the years of the tables, from a calendar; closed on the Friday before, the Monday after and Whit Monday.
+_EASTERS = "1992-04-19 1993-04-11 1994-04-03 1995-04-16 1996-04-07 1997-03-30 1998-04-12 1999-04-04 2000-04-23 2001-04-15 2002-03-31".split()
+_CLOSED = f"""closed AS (SELECT CAST(e AS DATE) + k AS day FROM (SELECT unnest([{', '.join(f"DATE '{x}'" for x in _EASTERS)}]) AS e), (SELECT unnest([-2, 1, 50]) AS k)
+  UNION ALL SELECT make_date(y, md // 100, md % 100) FROM (SELECT unnest(range(1992, 2003)) AS y), (SELECT unnest([101, 501, 1003, 1224, 1225, 1226, 1231]) AS md))"""
+_DAYS = f"""WITH {_quotes('nation')}, {_CLOSED}, e AS (SELECT listing, min(date) AS a, max(date) AS b, count(*) AS days FROM q GROUP BY listing),
+  t AS (SELECT listing, CAST(u AS DATE) AS date FROM (SELECT listing, unnest(generate_series(a, b, INTERVAL 1 DAY)) AS u FROM e) WHERE isodow(CAST(u AS DATE)) < 6 AND CAST(u AS DATE) NOT IN (SELECT day FROM closed)),
   n AS (SELECT *, row_number() OVER (PARTITION BY listing ORDER BY date) AS no FROM t), miss AS (SELECT n.* FROM n ANTI JOIN q ON n.listing = q.listing AND n.date = q.date),
   g AS (SELECT listing, min(date) AS gap_start, max(date) AS gap_end, count(*) AS missing FROM (SELECT *, no - row_number() OVER (PARTITION BY listing ORDER BY date) AS i FROM miss) GROUP BY listing, i)"""
 
 
 @query(_DAYS + " SELECT listing, gap_start, gap_end, missing FROM g")
 def quote_gaps(spark, d):
-    return series.missing_ranges(_quoted("nation", spark, d))
+    return series.missing_ranges(_quoted("nation", spark, d), "XETRA")
 
 
 @query(_DAYS + """ SELECT e.listing, e.days, t.expected, CAST(coalesce(g.missing, 0) AS BIGINT) AS missing, CAST(e.b - INTERVAL 5 DAY AS DATE) AS next_start FROM e
   JOIN (SELECT listing, count(*) AS expected FROM t GROUP BY listing) t USING (listing) LEFT JOIN (SELECT listing, sum(missing) AS missing FROM g GROUP BY listing) g USING (listing)""")
 def coverage(spark, d):
-    return series.coverage(_quoted("nation", spark, d))
+    return series.coverage(_quoted("nation", spark, d), "XETRA")
 
 
 # ---------------------------------------------------------------- one listing
@@ -241,10 +245,23 @@ def distribution_frequency(spark, d):
     return series.payout_frequency(adapters.dividends(spark, d))
 
 
-@query(f"""WITH p AS (SELECT o_custkey AS listing, CAST(o_orderdate AS DATE) AS date, o_totalprice AS value FROM orders), l AS (SELECT listing, max(date) AS last FROM p GROUP BY listing)
-  SELECT listing, {_z('sum(value)', 4)} AS annual_amount, count(*) AS payouts FROM p JOIN l USING (listing) WHERE value > 0 AND date > last - 365 AND date <= last GROUP BY listing""", 4)
+_PAID = """p AS (SELECT o_custkey AS listing, CAST(o_orderdate AS DATE) AS date, o_totalprice AS value FROM orders),
+  cq AS (SELECT o_custkey AS listing, CAST(l_shipdate AS DATE) AS date, round(sum(l_extendedprice) / sum(l_quantity), 6) AS px FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+  lq AS (SELECT listing, max(date) AS last, arg_max(px, date) AS px FROM cq GROUP BY listing),
+  ttm AS (SELECT lq.listing, lq.px, coalesce((SELECT sum(value) FROM p WHERE p.listing = lq.listing AND value > 0 AND date BETWEEN last - 364 AND last), 0) AS amount,
+    (SELECT count(*) FROM p WHERE p.listing = lq.listing AND value > 0 AND date BETWEEN last - 364 AND last) AS payouts FROM lq)"""
+
+
+@query(f"WITH {_PAID} SELECT listing, {_z('amount', 4)} AS annual_amount, payouts, {_z('CASE WHEN px > 0 THEN amount / px ELSE 0 END', 4)} AS annual_yield FROM ttm", 4)
 def trailing_dividend_yield(spark, d):
-    return series.trailing_payout(adapters.dividends(spark, d))
+    return series.trailing_payout(adapters.dividends(spark, d), adapters.customer_quotes(spark, d))
+
+
+@query("""WITH c AS (SELECT c_custkey AS listing FROM customer), p AS (SELECT o_custkey AS listing, count(*) AS events FROM (SELECT DISTINCT o_custkey, CAST(o_orderdate AS DATE) FROM orders WHERE o_totalprice > 0) GROUP BY 1)
+  SELECT listing, coalesce(events, 0) AS events, events IS NULL AS accumulating FROM c LEFT JOIN p USING (listing)""")
+def accumulating_listings(spark, d):
+    every = adapters.read(spark, d, "customer").select(F.col("c_custkey").alias("listing"))
+    return series.payout_frequency(adapters.dividends(spark, d), every).select("listing", "events", (F.col("frequency") == "accumulating").alias("accumulating"))
 
 
 # ---------------------------------------------------------------- pairs
@@ -323,7 +340,26 @@ def corr_matrix_long(spark, d):
     return pairs.mirrored(pairs.moments(_pairs(spark, d)).select("left", "right", "pearson"))
 
 
-@query()
+_STATS = f"""{_PAIRS}, {_MOM}, sc AS (SELECT l, r, {_CORR.format('x', 'y')} AS spearman FROM (SELECT l, r, {_score('x')} AS x, {_score('y')} AS y FROM pr) GROUP BY l, r),
+  dn AS (SELECT l, r, count(*) AS k, {_CORR.format('x', 'y')} AS c FROM pr WHERE x < 0 AND y < 0 GROUP BY l, r),
+  cut AS (SELECT l, r, list_sort(list(x))[1 + round_even((count(*) - 1) * 0.05::DOUBLE, 0)::BIGINT] AS cx, list_sort(list(y))[1 + round_even((count(*) - 1) * 0.05::DOUBLE, 0)::BIGINT] AS cy FROM pr GROUP BY l, r),
+  tl AS (SELECT l, r, count(*) FILTER (x <= cx) AS a, count(*) FILTER (y <= cy) AS b, count(*) FILTER (x <= cx AND y <= cy) AS j FROM pr JOIN cut USING (l, r) GROUP BY l, r)"""
+
+
+@query(f"""{_STATS} SELECT l AS "left", r AS "right", n, {_z('mo.c')} AS pearson, {_z('spearman')} AS spearman, {_z('cov')} AS covariance, {_z(_div('cov', 'vy'))} AS beta_left, {_z(_div('cov', 'vx'))} AS beta_right,
+  coalesce(k, 0) AS n_downside, {_z('coalesce(dn.c, 0)')} AS downside_correlation, a AS left_tail, b AS right_tail, j AS joint_tail, {_z('j / least(a, b)::DOUBLE')} AS tail_dependence, {_z('j / n::DOUBLE')} AS co_exceedance
+  FROM mo JOIN sc USING (l, r) JOIN tl USING (l, r) LEFT JOIN dn USING (l, r)""")
+def pair_statistics(spark, d):
+    return pairs.statistics(_pairs(spark, d)).drop("stability", "overlap")
+
+
+@query(f"{_PAIRS}, {_MOM} SELECT count(*) AS n, {_z('avg(c)')} AS mean, {_z('median(c)')} AS median, {_z('min(c)')} AS least, {_z('max(c)')} AS greatest FROM mo")
+def pair_metric_card(spark, d):
+    return pairs.metric_card(pairs.moments(_pairs(spark, d)), "pearson")
+
+
+@query(f"""{_PAIRS}, {_MOM}, RECURSIVE_EDGES""".replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_EDGES", """ed AS (SELECT l, r FROM mo WHERE c >= 0.04 UNION SELECT r, l FROM mo WHERE c >= 0.04),
+  reach AS (SELECT l AS listing, l AS other FROM mo UNION SELECT r, r FROM mo UNION SELECT reach.listing, ed.r FROM reach JOIN ed ON ed.l = reach.other) SELECT listing, min(other) AS cluster FROM reach GROUP BY listing"""))
 def corr_clusters(spark, d):
     from ..sources.tables import checkpointed
 
@@ -347,7 +383,7 @@ def portfolio_returns(spark, d):
     return _portfolio(spark, d)
 
 
-_DD = """, wl AS (SELECT date, r, exp(sum(ln(1 + r)) OVER (ORDER BY date)) AS wealth FROM p), pk AS (SELECT *, greatest(1, max(wealth) OVER (ORDER BY date)) AS peak FROM wl),
+_DD = """, wl AS (SELECT date, r, product(1 + r) OVER (ORDER BY date) AS wealth FROM p), pk AS (SELECT *, greatest(1, max(wealth) OVER (ORDER BY date)) AS peak FROM wl),
   isl AS (SELECT *, sum(ap) OVER (ORDER BY date) AS isl FROM (SELECT *, CASE WHEN wealth >= greatest(1, coalesce(lag(peak) OVER (ORDER BY date), 1)) THEN 1 ELSE 0 END AS ap FROM pk)),
   du AS (SELECT *, CASE WHEN ap = 1 THEN 0 ELSE sum(1 - ap) OVER (PARTITION BY isl ORDER BY date) END AS du FROM isl)"""
 
@@ -435,6 +471,25 @@ def grid_max_sharpe(spark, d):
     return portfolio.best(_scores(spark, d), "max_sharpe")
 
 
+_PARTS = """, hw AS (SELECT cand, j.k, sum(cand[i.k] / 10.0::DOUBLE * (cand[j.k] / 10.0::DOUBLE) * c) AS p FROM g, cv JOIN nm i ON l = i.listing JOIN nm j ON r = j.listing GROUP BY cand, j.k),
+  sq AS (SELECT cand, sum(p * p) AS sq FROM hw GROUP BY cand), ow AS (SELECT cand, sum(cand[k] / 10.0::DOUBLE * sqrt(c)) AS own FROM g, nm JOIN cv ON l = listing AND r = listing GROUP BY cand), ob AS (SELECT * FROM gs JOIN sq USING (cand) JOIN ow USING (cand))"""
+
+
+@query(f"{_GRID}{_PARTS} SELECT array_to_string(cand, ',') AS weights, {_z('v', 9)} AS variance, {_z('e', 9)} AS expected FROM ob ORDER BY -round(coalesce(own / nullif(sqrt(v), 0), 0), 12), cand LIMIT 1", 9)
+def grid_max_diversification(spark, d):
+    return portfolio.best(_scores(spark, d), "max_diversification")
+
+
+@query(f"{_GRID}{_PARTS} SELECT array_to_string(cand, ',') AS weights, {_z('v', 9)} AS variance, {_z('e', 9)} AS expected FROM ob ORDER BY round(sq / (v * v) - 0.2::DOUBLE, 9), cand LIMIT 1", 9)
+def grid_risk_parity(spark, d):
+    return portfolio.best(_scores(spark, d), "risk_parity")
+
+
+@query(f"{_GRID} SELECT array_to_string(cand, ',') AS weights, {_z('v', 9)} AS variance, {_z('e', 9)} AS expected FROM gs ORDER BY -round(e, 12), cand LIMIT 1", 9)
+def grid_max_return(spark, d):
+    return portfolio.best(_scores(spark, d), "max_return")
+
+
 @query(f"""{_GRID}, t AS (SELECT unnest([0.0, 0.001, 0.01, 9.0])::DOUBLE AS target), b AS (SELECT target, min(struct_pack(v := round(v, 12), cand := cand)) AS b FROM t JOIN gs ON round(e, 12) >= target GROUP BY target)
   SELECT target, {_z('coalesce(b.v, 0)', 9)} AS variance, coalesce(array_to_string(b.cand, ','), '') AS weights FROM t LEFT JOIN b USING (target)""", 9)
 def efficient_frontier(spark, d):
@@ -443,16 +498,16 @@ def efficient_frontier(spark, d):
 
 @query(f"""{_PORT}, dt AS (SELECT date, coalesce(date_trunc('month', date) <> lag(date_trunc('month', date)) OVER (ORDER BY date), true) AS reb FROM (SELECT DISTINCT date FROM m)),
   sg AS (SELECT *, coalesce(sum(CASE WHEN reb THEN 1 ELSE 0 END) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM dt),
-  x AS (SELECT date, seg, reb, weight, weight * exp(sum(ln(1 + simple)) OVER (PARTITION BY m.listing, seg ORDER BY date)) AS g FROM m JOIN sg USING (date) JOIN w ON w.listing = m.listing),
+  x AS (SELECT date, seg, reb, weight, weight * product(1 + simple) OVER (PARTITION BY m.listing, seg ORDER BY date) AS g FROM m JOIN sg USING (date) JOIN w ON w.listing = m.listing),
   f AS (SELECT date, seg, reb, sum(g) AS f FROM x GROUP BY ALL), y AS (SELECT f.*, dr FROM f JOIN (SELECT x.date, sum(abs(g / f - weight)) / 2 AS dr FROM x JOIN f USING (date) GROUP BY x.date) USING (date)),
-  v AS (SELECT *, exp(coalesce(sum(CASE WHEN reb THEN ln(f * (1 - 0.001::DOUBLE * dr)) ELSE 0 END) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS b FROM y)
+  v AS (SELECT *, coalesce(product(CASE WHEN reb THEN f * (1 - 0.001::DOUBLE * dr) ELSE 1 END) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS b FROM y)
   SELECT date, reb AS rebalanced, {_z('b * f * CASE WHEN reb THEN 1 - 0.001::DOUBLE * dr ELSE 1 END', 3)} AS "value", {_z('CASE WHEN reb THEN dr ELSE 0 END', 3)} AS turnover FROM v""", 3)
 def rebalance_monthly(spark, d):
     m = _matrix(spark, d)
     return portfolio.rebalance(m, portfolio.equal_weights(m), "month", 0.001)
 
 
-@query(f"""{_PORT}, x AS (SELECT date, round(exp(sum(ln(1 + r)) OVER w) - 1, 9) AS c, count(*) OVER w AS k FROM p WINDOW w AS (ORDER BY date ROWS BETWEEN CURRENT ROW AND 20 FOLLOWING))
+@query(f"""{_PORT}, x AS (SELECT date, round(product(1 + r) OVER w - 1, 9) AS c, count(*) OVER w AS k FROM p WINDOW w AS (ORDER BY date ROWS BETWEEN CURRENT ROW AND 20 FOLLOWING))
   SELECT date AS start, {_z('c')} AS compounded FROM x WHERE k = 21 ORDER BY c, date LIMIT 1""")
 def worst_window(spark, d):
     return portfolio.worst_window(_portfolio(spark, d), 21)
@@ -470,7 +525,7 @@ def correlation_convergence(spark, d):
 
 
 @query(f"""{_PORT}, dt AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM m)), s AS (SELECT unnest(range(0, (max(n) - 273) // 21 + 1)) AS split FROM dt),
-  j AS (SELECT split, date FROM s JOIN dt ON i >= split * 21 + 252 AND i < split * 21 + 273) SELECT split::INT AS split, min(date) AS start, count(*) AS n, {_z('exp(sum(ln(1 + r))) - 1')} AS total_return, {_z('coalesce(stddev_samp(r), 0)')} AS volatility FROM j JOIN p USING (date) GROUP BY split""")
+  j AS (SELECT split, date FROM s JOIN dt ON i >= split * 21 + 252 AND i < split * 21 + 273) SELECT split::INT AS split, min(date) AS start, count(*) AS n, {_z('product(1 + r) - 1')} AS total_return, {_z('coalesce(stddev_samp(r), 0)')} AS volatility FROM j JOIN p USING (date) GROUP BY split""")
 def walk_forward_equal_weight(spark, d):
     return portfolio.walk_forward_equal(_matrix(spark, d), 252, 21)
 
@@ -517,7 +572,8 @@ def hrp_linkage(spark, d):
 
 @query()
 def balanced_ensemble(spark, d):
-    return solvers.solved(_named(spark, d), "ensemble")
+    shrunk = portfolio.covariance_ledoit_wolf(_matrix(spark, d)).withColumn("portfolio", F.lit("all"))
+    return solvers.balanced(_named(spark, d), shrunk)
 
 
 @query()

@@ -25,6 +25,13 @@ def quotes(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
     return daily.join(named, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("listing", "date").agg(F.round(F.sum("p") / F.sum("n"), 6).alias("px"))
 
 
+def customer_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """listing (a customer, as in `dividends`), date, px: the average price of what was shipped to them on a day."""
+    daily = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_shipdate").cast("date").alias("date")).agg(F.sum("l_extendedprice").alias("p"), F.sum("l_quantity").alias("n"))
+    of = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("listing"))
+    return daily.join(of, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("listing", "date").agg(F.round(F.sum("p") / F.sum("n"), 6).alias("px"))
+
+
 def event_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     return e.groupBy(F.col("event_type").alias("listing"), F.col("ts").cast("date").alias("date")).agg(F.round(F.avg("value"), 6).alias("px"))

@@ -87,8 +87,10 @@ def pending(inputs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def checkpointed(spark: SparkSession, build):
-    """build() with a checkpoint folder: the session's own, or a temporary one where it names none."""
+    """build() with a checkpoint folder: the session's own, or on a local master a temporary one where it names none."""
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="quartzfolio-")

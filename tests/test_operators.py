@@ -74,7 +74,7 @@ def test_two_asset_solution(spark):
     s = np.array([[0.04, 0.01], [0.01, 0.09]])
     assert solvers.min_variance(s) == pytest.approx([0.72727, 0.27273], abs=1e-3)
     cov = spark.createDataFrame([("p", "a", "a", 0.04), ("p", "a", "b", 0.01), ("p", "b", "a", 0.01), ("p", "b", "b", 0.09)], "portfolio string, left string, right string, covariance double")
-    assert sum(r.weight for r in solvers.solved(cov, "ensemble").collect()) == pytest.approx(1)
+    assert sum(r.weight for r in solvers.balanced(cov, cov).collect()) == pytest.approx(1)
     with pytest.raises(ValueError, match="missing"):
         portfolio.complete(cov.filter("left <> 'b' OR right <> 'a'"))
 
@@ -114,7 +114,9 @@ def test_predicates(spark):
     assert selection.matching(d, ["n != 5"]).count() == 1
     with pytest.raises(ValueError, match="unknown"):
         selection.condition("nope = 1", d.columns)
-    assert selection.selection_id("My Name", ["b", "a"]) == selection.selection_id("my name", ["a", "b"])
+    some = selection.selection_id("My Name", ["b = 1", "a ~ x"])
+    assert some.startswith("my_name-") and len({some, selection.selection_id("my name", ["b = 1", "a ~ x"]), selection.selection_id("My Name", ["a ~ x", "b = 1"]), selection.selection_id("My Name", ["b = 1", "a ~ x"], "univariate")}) == 4
+    assert selection.selection_id(None, []).startswith("all-") and selection.selection_id("--", []).startswith("selection-")
 
 
 def test_tables(spark, tmp_path):
@@ -148,3 +150,52 @@ def test_order_sizes(spark):
     t = spark.createDataFrame([("a", 0.5, 30.0), ("b", 0.5, 1e9)], "listing string, weight double, px double")
     got = {r.listing: (r.quantity, r.side) for r in portfolio.order_sizes(t, 1000, 0.1).collect()}
     assert got == {"a": (math.floor(450 / 30), "BUY"), "b": (0, "SKIP")}
+
+
+def test_compounding_through_a_total_loss(spark):
+    import datetime
+
+    r = spark.createDataFrame([(datetime.date(2020, 1, k + 1), x) for k, x in enumerate([0.1, -1.0, 0.1])], "date date, r double")
+    assert [round(x.wealth, 9) for x in portfolio.drawdowns(r).orderBy("date").collect()] == [1.1, 0.0, 0.0]
+    below = spark.createDataFrame([(datetime.date(2020, 1, k + 1), x) for k, x in enumerate([0.5, -3.0, -3.0])], "date date, r double")
+    assert [round(x.wealth, 9) for x in portfolio.drawdowns(below).orderBy("date").collect()] == [1.5, -3.0, 6.0]
+    assert portfolio.worst_window(r, 2).first().compounded == -1.0
+
+
+def test_holidays(spark):
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    from quartzfolio.functions import exprs
+
+    def computus(y):  # by the paschal full moon of the Gregorian lunar tables
+        golden, century = y % 19 + 1, y // 100 + 1
+        full = 44 - (11 * golden + 20 + (8 * century + 5) // 25 - 5 - (3 * century // 4 - 12)) % 30
+        epact = (11 * golden + 20 + (8 * century + 5) // 25 - 5 - (3 * century // 4 - 12)) % 30
+        epact += epact == 24 or (epact == 25 and golden > 11)
+        full = 44 - epact + 30 * (44 - epact < 21)
+        sunday = full + 7 - (5 * y // 4 - (3 * century // 4 - 12) - 10 + full) % 7
+        return datetime.date(y, 3, 1) + datetime.timedelta(days=sunday - 1)
+
+    got = {r.y: r.d for r in spark.range(1900, 2100).select(F.col("id").alias("y"), exprs.easter(F.col("id").cast("int")).alias("d")).collect()}
+    assert got == {y: computus(y) for y in range(1900, 2100)}
+    days = [("2024-03-29", False), ("2024-04-01", False), ("2024-05-20", False), ("2024-10-03", False), ("2024-12-31", False), ("2024-04-02", True), ("2024-04-06", False)]
+    d = spark.createDataFrame(days, "day string, open boolean").select(F.col("day").cast("date").alias("day"), "open")
+    assert all(r.x == r.open for r in d.select("open", exprs.trading_day(F.col("day"), F.lit("xetra")).alias("x")).collect())
+    assert d.filter(exprs.trading_day(F.col("day"), F.lit("LSE"))).count() == 6
+
+
+def test_trailing_yield_of_a_listing_that_stopped_paying(spark):
+    quotes = spark.createDataFrame([("a", "2020-01-01", 10.0), ("a", "2022-01-01", 20.0), ("b", "2022-01-01", 50.0), ("c", "2022-01-01", 0.0)], "listing string, date string, px double").selectExpr("listing", "CAST(date AS DATE) AS date", "px")
+    paid = spark.createDataFrame([("a", "2020-01-01", 5.0), ("b", "2021-01-01", 1.0), ("b", "2021-01-02", 2.0), ("b", "2022-01-01", 3.0), ("b", "2022-01-02", 9.0), ("c", "2022-01-01", 1.0)], "listing string, date string, value double").selectExpr("listing", "CAST(date AS DATE) AS date", "value")
+    got = {r.listing: (r.annual_amount, r.payouts, r.annual_yield) for r in series.trailing_payout(paid, quotes).collect()}
+    assert got == {"a": (0.0, 0, 0.0), "b": (5.0, 2, 0.1), "c": (1.0, 1, 0.0)}
+
+
+def test_pairs_of_one_isin_and_too_many(spark):
+    rows = [(x, f"2020-01-0{k}", 0.1 * k, i) for x, i in (("a", "I"), ("b", "I"), ("c", "J")) for k in range(1, 4)]
+    r = spark.createDataFrame(rows, "listing string, date string, ret double, isin string")
+    assert {(p.left, p.right) for p in pairs.aligned(r).select("left", "right").distinct().collect()} == {("a", "c"), ("b", "c")}
+    with pytest.raises(ValueError):
+        pairs.aligned(r, most=2)
