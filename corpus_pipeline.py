@@ -31,7 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the line chunks that occur elsewhere before; n_chars follows the text. What is emptied goes."""
-    cut = line_dedup.rows(docs)
+    # Written, as a filter that is pushed below the steps of line dedup would hold a copy of each for every place that names it.
+    cut = written(line_dedup.rows(docs), "cut_lines")
     changed = F.col("n_removed_chunks") > 0
     row = F.col("row").withField("n_chars", F.length("row.text").cast("long")) if "n_chars" in docs.columns else F.col("row")
     left = cut.filter(~changed | F.col("row.text").rlike(r"[^\x20\x09-\x0D]"))
