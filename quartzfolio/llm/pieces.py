@@ -117,7 +117,7 @@ class Memo:
     def pieces(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The joined texts, starts, ends and hashes of their pieces, and the pieces in each text."""
         joined = "\0".join([*texts, ""])
-        codes = _codes(joined)
+        self.current = codes = _codes(joined)
         stops = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
         codes[stops - 1] = _END
         if self.table is not None:
@@ -139,7 +139,7 @@ class Memo:
     def __call__(self, texts: list[str]) -> list[list[np.ndarray]]:
         """For each kind of value, an array for each text: its pieces' values one after the other."""
         joined, first, last, h, count = self.pieces(texts)
-        codes, length = _codes(joined), last - first
+        codes, length = self.current, last - first
         while True:
             which, distinct = pd.factorize(h)
             sample = np.zeros(len(distinct), np.int64)
