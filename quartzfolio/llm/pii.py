@@ -110,7 +110,6 @@ def _features(c: str = "c") -> dict[str, str]:
         "vowels": share("aeiouAEIOU"),
         "joints": share("_-"),
         "blanks": share("\\x20"),
-        "wordy": f"CAST(length({v}) - length(regexp_replace({v}, '[A-Z]?[a-z]{{3,}}|[A-Z]{{4,}}', '')) AS DOUBLE) / greatest(length({v}), 1)",
         "varied": flag(f"size(array_distinct(split({v}, '')))"),
         "hex": flag(f"{v} RLIKE '^(?:[0-9a-f]+|[0-9A-F]+)$'"),
         "uuid": flag(f"{v} RLIKE '^[0-9A-Fa-f]{{8}}-[0-9A-Fa-f]{{4}}-'"),
@@ -201,8 +200,6 @@ FAMILIES = [
     Family("secret", f"repeat({_pick('-|_|a|x', 25)}, 20 + CAST(pmod(id, 40) AS INT))", "plain", False),
     Family("secret", "array_join(words, '-')", "path", False),
     Family("secret", "array_join(words, '_')", "cue", False),
-    Family("secret", f"concat(array_join(words, '_'), '_', {_digits(3)})", "plain", False),
-    Family("secret", f"concat({_digits(4)}, '-', array_join(words, '-'))", "path", False),
     Family("secret", "upper(array_join(words, '_'))", "plain", False),
     Family("secret", "replace(initcap(array_join(words, ' ')), ' ', '')", "cue", False),
     Family("secret", "array_join(words, '-')", "cue", False, True),
