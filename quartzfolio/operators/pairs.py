@@ -207,3 +207,19 @@ def downside_diagnostics(pairs: DataFrame) -> DataFrame:
     """One row: how correlations on joint losses differ from plain ones, on how many days."""
     d = downside(pairs).join(moments(pairs).select(*PAIR, "pearson"), PAIR).withColumn("gap", F.col("downside_correlation") - F.col("pearson"))
     return d.agg(F.count("*").alias("n"), F.avg("gap").alias("average_gap"), F.count_if(F.abs("gap") >= 0.15).alias("large_gaps"), F.max("downside_correlation").alias("worst"), F.median("n_downside").alias("median_days"), F.min("n_downside").alias("min_days"))
+
+
+def missing(rets: DataFrame, least: int = 2) -> DataFrame:
+    """One row: how many pairs of listings have fewer than `least` dates in common."""
+    n = rets.agg(F.countDistinct("listing").alias("n"))
+    found = aligned(rets).groupBy(*PAIR).agg(F.count("*").alias("k")).filter(F.col("k") >= least).agg(F.count("*").alias("found"))
+    return n.join(F.broadcast(found)).select((F.col("n") * (F.col("n") - 1) / 2 - F.col("found")).cast("long").alias("missing_pairs"))  # one row each
+
+
+def spearman_diagnostics(pairs: DataFrame) -> DataFrame:
+    """One row: the distribution of rank correlations, their gap to plain ones and the listings at both ends."""
+    d = spearman_online(pairs).join(moments(pairs).select(*PAIR, "pearson"), PAIR).withColumn("gap", F.col("spearman") - F.col("pearson"))
+    ranked = d.select(*PAIR, F.col("spearman").alias("pearson"))
+    gaps = d.agg(F.avg("gap").alias("average_gap"), F.count_if(F.abs("gap") >= 0.15).alias("large_gaps"))
+    # One row each.
+    return diagnostics(ranked).join(F.broadcast(gaps)).join(F.broadcast(extremes(ranked).select("most_correlated", "best_diversifier")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -112,6 +110,40 @@ def covariance_ewma(m: DataFrame, decay: float = 0.94, column: str = "simple") -
     return c.groupBy("left", "right").agg(F.sum(F.col("w") * F.col("x") * F.col("y")).alias("covariance"))
 
 
+def model_window(m: DataFrame, policy: str, size: int | None = None, as_of: str | None = None) -> DataFrame:
+    """The rows of a risk model's dates: all (full), those up to as_of (expanding) or its last `size` (rolling).
+
+    as_of is a date of the matrix; without it windows end with the last date.
+    """
+    if policy not in ("full", "rolling", "expanding"):
+        raise ValueError(f"unknown window policy: {policy}")
+    if policy == "full":
+        if as_of is not None:
+            raise ValueError("a full window takes no as_of")
+        return m
+    if policy == "rolling" and (size is None or size < 1):
+        raise ValueError("a rolling window needs a positive size")
+    dates = m.select("date").distinct()
+    if as_of is not None:
+        if dates.filter(F.col("date") == F.lit(as_of).cast("date")).isEmpty():
+            raise ValueError(f"no common date {as_of}")
+        dates = dates.filter(F.col("date") <= F.lit(as_of).cast("date"))
+    if policy == "rolling":
+        dates = dates.orderBy(F.col("date").desc()).limit(size)
+    return m.join(dates, "date", "left_semi")
+
+
+def model_reasons(missing_pairs: int, not_finite: int, semidefinite: bool, stability: str) -> list[str]:
+    """Why a risk model can't be used in production; none where it can."""
+    checks = {
+        "missing_pairs": missing_pairs > 0,
+        "non_finite_values": not_finite > 0,
+        "not_positive_semidefinite": not semidefinite,
+        "unstable_condition_number": stability in ("ill_conditioned", "singular"),
+    }
+    return [reason for reason, holds in checks.items() if holds]
+
+
 def complete(cov: DataFrame) -> DataFrame:
     """cov; raises where an ordered pair is missing or not finite."""
     n, rows, bad = cov.agg(F.countDistinct("left"), F.countDistinct("left", "right"), F.count_if(F.isnan("covariance") | F.col("covariance").isNull() | (F.abs("covariance") == float("inf")))).first()
@@ -151,9 +183,11 @@ def inverse_volatility(cov: DataFrame) -> DataFrame:
 
 
 def grid(spark: SparkSession, listings: list[str], step: int, most: int = 20_000) -> DataFrame:
-    """candidate (array of integer weights that sum to `step`), one row each; at most `most`."""
+    """candidate (array of integer weights that sum to `step`), one row each; at most `most`, none without listings."""
     from math import comb
 
+    if not listings:
+        return spark.createDataFrame([], "candidate array<bigint>")
     if comb(step + len(listings) - 1, len(listings) - 1) > most:
         raise ValueError("more grid candidates than allowed")
     d = spark.range(1).select(F.array().cast("array<bigint>").alias("c"), F.lit(step).cast("long").alias("left"))
@@ -162,25 +196,28 @@ def grid(spark: SparkSession, listings: list[str], step: int, most: int = 20_000
     return d.select(F.array_append("c", F.col("left")).alias("candidate"))
 
 
-def grid_scores(cov: DataFrame, means: DataFrame, step: int = 10) -> DataFrame:
-    """candidate, variance, expected, own (weighted volatility) and spread (of risk shares) of every weight vector of the grid."""
-    names = [r.listing for r in means.select("listing").orderBy("listing").collect()]  # guarded by `grid`
+def grid_scores(cov: DataFrame, means: DataFrame, step: int = 10, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, candidate, variance, expected, own (weighted volatility) and spread (of risk shares) of every weight vector of the grid.
+
+    With keys, cov and means hold one model for each of their values; `grid` bounds the listings of a model.
+    """
+    names = [r.listing for r in means.select("listing").distinct().orderBy("listing").collect()]  # guarded by `grid`
     cells = grid(cov.sparkSession, names, step).select("candidate", F.posexplode("candidate").alias("k", "w"))
-    at = reduce(lambda c, kn: c.when(F.col("k") == kn[0], F.lit(kn[1])), enumerate(names), F)
+    at = F.try_element_at(F.array(*map(F.lit, names)).cast("array<string>"), F.col("k") + 1)
     cells = cells.select("candidate", at.alias("listing"), (F.col("w") / F.lit(float(step))).alias("w"))
     a, b = cells.select("candidate", F.col("listing").alias("left"), F.col("w").alias("wl")), cells.select("candidate", F.col("listing").alias("right"), F.col("w").alias("wr"))
     # The partial sums over one side come first: rows grow with candidates x listings, not with their square.
-    half = a.join(F.broadcast(cov), "left").groupBy("candidate", "right").agg(F.sum(F.col("wl") * F.col("covariance")).alias("h"))
+    half = a.join(F.broadcast(cov), "left").groupBy(*keys, "candidate", "right").agg(F.sum(F.col("wl") * F.col("covariance")).alias("h"))
     part = F.col("h") * F.col("wr")
-    var = half.join(b, ["candidate", "right"]).groupBy("candidate").agg(F.sum(part).alias("variance"), F.sum(part * part).alias("squares"))
-    var = var.select("candidate", "variance", (ratio0(F.col("squares"), F.col("variance") * F.col("variance")) - 1 / len(names)).alias("spread"))
-    own = means.join(cov.filter("left = right").select(F.col("left").alias("listing"), F.sqrt("covariance").alias("sd")), "listing")
-    mu = cells.join(F.broadcast(own), "listing").groupBy("candidate").agg(F.sum(F.col("w") * F.col("mean")).alias("expected"), F.sum(F.col("w") * F.col("sd")).alias("own"))
-    return var.join(mu, "candidate")
+    var = half.join(b, ["candidate", "right"]).groupBy(*keys, "candidate").agg(F.sum(part).alias("variance"), F.sum(part * part).alias("squares"))
+    var = var.select(*keys, "candidate", "variance", (ratio0(F.col("squares"), F.col("variance") * F.col("variance")) - 1 / max(1, len(names))).alias("spread"))
+    own = means.join(cov.filter("left = right").select(*keys, F.col("left").alias("listing"), F.sqrt("covariance").alias("sd")), [*keys, "listing"])
+    mu = cells.join(F.broadcast(own), "listing").groupBy(*keys, "candidate").agg(F.sum(F.col("w") * F.col("mean")).alias("expected"), F.sum(F.col("w") * F.col("sd")).alias("own"))
+    return var.join(mu, [*keys, "candidate"])
 
 
-def best(scores: DataFrame, objective: str, risk_free: float = 0.0) -> DataFrame:
-    """The best candidate by one of `OBJECTIVES`; ties by the weights."""
+def best(scores: DataFrame, objective: str, risk_free: float = 0.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The best candidate of each key by one of the objectives below; ties by the weights."""
     sd = F.sqrt("variance")
     value = {
         "min_variance": F.col("variance"),
@@ -190,7 +227,7 @@ def best(scores: DataFrame, objective: str, risk_free: float = 0.0) -> DataFrame
         "max_return": -F.col("expected"),
     }[objective]
     value = F.round(value, 9 if objective == "risk_parity" else 12)
-    return scores.withColumn("value", value).agg(F.min(F.struct("value", "candidate", "variance", "expected")).alias("b")).select(F.array_join("b.candidate", ",").alias("weights"), "b.variance", "b.expected")
+    return scores.withColumn("value", value).groupBy(*keys).agg(F.min(F.struct("value", "candidate", "variance", "expected")).alias("b")).select(*keys, F.array_join("b.candidate", ",").alias("weights"), "b.variance", "b.expected")
 
 
 def frontier(scores: DataFrame, targets: list[float]) -> DataFrame:
@@ -262,13 +299,14 @@ def rebalance(m: DataFrame, weights: DataFrame, unit: str = "month", cost: float
     return d.withColumn("value", before * F.col("f") * F.when(F.col("reb"), 1 - F.lit(cost) * F.col("drift")).otherwise(1.0)).select("date", F.col("reb").alias("rebalanced"), "value", "turnover")
 
 
-def walk_forward_splits(m: DataFrame, train: int, test: int) -> DataFrame:
-    """split, date, role: rolling windows over the dates; a date may serve several splits."""
+def walk_forward_splits(m: DataFrame, train: int, test: int, mode: str = "rolling") -> DataFrame:
+    """split, date, role: rolling or expanding windows over the dates; a date may serve several splits."""
     w = Window.partitionBy().orderBy("date")
     d = m.select("date").distinct().withColumn("i", F.row_number().over(w) - 1)
     n = d.agg(F.count("*").alias("n"))
     splits = n.select(F.explode(F.expr(f"CASE WHEN n >= {train + test} THEN sequence(0, CAST((n - {train + test}) div {test} AS INT)) ELSE array() END")).alias("split"))
-    j = splits.join(d, (F.col("i") >= F.col("split") * test) & (F.col("i") < F.col("split") * test + train + test))
+    first = F.col("split") * test if mode == "rolling" else F.lit(0)
+    j = splits.join(d, (F.col("i") >= first) & (F.col("i") < F.col("split") * test + train + test))
     return j.select("split", "date", F.when(F.col("i") < F.col("split") * test + train, "train").otherwise("test").alias("role"))
 
 

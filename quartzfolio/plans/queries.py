@@ -591,4 +591,4 @@ def block_bootstrap(spark, d):
     return solvers.bootstrap(_portfolio(spark, d), 21, 20, 7)
 
 
-from . import more  # noqa: E402, F401  registers the queries of the second part
+from . import more, third  # noqa: E402, F401  registers the queries of the other parts
