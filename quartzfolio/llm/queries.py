@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ over the driver's tables, and SQL where it can express them."""
+"""The queries op1_ to op13_ over the driver's tables, and SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, line_dedup, minhash_forest, pii, quality_classifier, quality_rules, token_files, url_filter
+from . import bpe, chat_format, chat_repair, decontaminate, line_dedup, merkle, minhash_forest, pii, quality_classifier, quality_rules, repeated_bytes, token_files, url_filter
 from .common import table
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -54,7 +54,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_decontaminate, op4_quality_rules, op5_quality_classifier, op6_minhash, op7_bpe, op8_chat_format, op9_token_files, op10_url_filter)}
+def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.digests(chat_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes.deduplicated(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_decontaminate, op4_quality_rules, op5_quality_classifier, op6_minhash, op7_bpe, op8_chat_format, op9_token_files, op10_url_filter, op11_chat_repair, op12_repeated_bytes, op13_merkle)}
 
 _OP4 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
