@@ -100,7 +100,7 @@ def _anchors(grams: np.ndarray) -> np.ndarray:
     return (least & _LOW24).astype(np.int64)
 
 
-def _named(data: np.ndarray, low: np.ndarray, level: int, row: int, base: int, whole: int) -> pd.DataFrame:
+def _named(data: np.ndarray, low: np.ndarray, level: int, row: int, base: int, whole: int) -> tuple[np.ndarray, ...]:
     """The nodes of 2^level windows from each low on (places in the text); data begins at base in a text of `whole` bytes."""
     high = low + (1 << level) - 1
     inside = (low >= 0) & (high <= whole - LENGTH)
@@ -115,7 +115,11 @@ def _named(data: np.ndarray, low: np.ndarray, level: int, row: int, base: int, w
         u = _mixed(np.uint64(row) * np.uint64(0x9E3779B97F4A7C15) + low.astype(np.uint64) + np.uint64(lane + 1))
         u[inside] = _paired(names[low[inside] - base], names[high[inside] - base])
         lanes.append(u.view(np.int64))
-    return pd.DataFrame({"row": row, "low": low.astype(np.int32), "middle": middle.view(np.int64), "u1": lanes[0], "u2": lanes[1]})
+    return np.full(len(low), row), low.astype(np.int32), middle.view(np.int64), *lanes
+
+
+def _frame(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip(("row", "low", "middle", "u1", "u2"), map(np.concatenate, zip(*parts, strict=True)), strict=False)))
 
 
 def _first_nodes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,13 +138,13 @@ def _first_nodes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if start:  # the window before the piece only tells whether its anchor is new
                     new[0] = False
                 at = at[new]
-                out.append(pd.DataFrame({"row": row, "low": (at + base - (1 << TOP) + 1).astype(np.int32), "middle": grams[at].view(np.int64)}))
+                out.append((np.full(len(at), row), (at + base - (1 << TOP) + 1).astype(np.int32), grams[at].view(np.int64)))
                 size += len(at)
                 if size > 50_000:
-                    yield pd.concat(out, ignore_index=True)
+                    yield _frame(out)
                     out, size = [], 0
         if out:
-            yield pd.concat(out, ignore_index=True)
+            yield _frame(out)
 
 
 def _split_nodes(frames: Iterator[pd.DataFrame], above: int, level: int) -> Iterator[pd.DataFrame]:
@@ -169,7 +173,7 @@ def _split_nodes(frames: Iterator[pd.DataFrame], above: int, level: int) -> Iter
                     out.append(_named(piece, low, level, row, base, len(data)))
                     done = low
         if out:
-            yield pd.concat(out, ignore_index=True)
+            yield _frame(out)
 
 
 def _met(nodes: DataFrame, scratch: Scratch) -> DataFrame:
