@@ -212,7 +212,9 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, forest: For
     likely = scratch.written(pairs.mapInPandas(lambda frames: _open_pairs(frames, forest), "a long, b long, cls_a binary, cls_b binary"), "likely_pairs")
     ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = scratch.written(texts.mapInPandas(_sets, "cls binary, shingles binary"), "shingle_sets")
+    # One row for a class, however many rows repeat its text.
+    sets = texts.mapInPandas(_sets, "cls binary, shingles binary").groupBy("cls").agg(F.first("shingles").alias("shingles"))
+    sets = scratch.written(sets, "shingle_sets")
     for side in "ab":
         likely = likely.join(sets.withColumnsRenamed({"cls": f"cls_{side}", "shingles": f"set_{side}"}), f"cls_{side}")
     return likely.mapInPandas(lambda frames: _confirmed(frames, forest), "a long, b long").distinct()

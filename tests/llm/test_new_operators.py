@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from quartzfolio.llm import chat_repair, merkle, repeated_bytes
+from quartzfolio.llm import chat_repair, merkle, minhash_forest, repeated_bytes
 
 SF = "/root/testdata/sf0.001"
 
@@ -271,3 +271,12 @@ def test_merkle_of_nothing_and_one(spark):
     assert proved(spark, []) == []
     one = [(2, "a", "en", 1, "x")]
     assert proved(spark, one) == brute_merkle(one)[0]
+
+
+# ---------------------------------------------------------------- near-duplicates of many repeated rows
+def test_near_duplicates_of_rows_that_repeat(spark):
+    words = [f"w{k}" for k in range(200)]
+    a, b, other = " ".join(words), " ".join([*words[:199], "end"]), " ".join(reversed(words))
+    rows = [(1, a)] * 700 + [(2, b)] * 700 + [(3, other)] * 5 + [(4, other + " more")]
+    got = {tuple(r) for r in minhash_forest.groups(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id", "kept").collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 3, True), (4, 3, False)}
