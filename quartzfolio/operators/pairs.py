@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,14 +49,16 @@ def _correlation(x: np.ndarray, y: np.ndarray) -> float:
 
 def _scores(x: np.ndarray) -> np.ndarray:
     """Each value against the mean and deviation of those before; 0 for the first two."""
-    before = pd.Series(x).expanding()
-    mean, sd = before.mean().shift().to_numpy(), before.std().shift().to_numpy()
-    return np.where(np.nan_to_num(sd) > 0, (x - np.nan_to_num(mean)) / np.where(np.nan_to_num(sd) > 0, sd, 1), 0.0)
+    c, n = x - x[:1], np.arange(len(x), dtype=float)
+    s, q = np.cumsum(c) - c, np.cumsum(c * c) - c * c
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean, var = s / n, (q - s * s / n) / (n - 1)
+        return np.where((n > 1) & (var > 0), (c - mean) / np.sqrt(var), 0.0)
 
 
-def _statistics(pair: pd.DataFrame, share: float, window: int, depth: float) -> dict:
-    d = pair.sort_values("date")
-    x, y, n = d["x"].to_numpy(), d["y"].to_numpy(), len(d)
+def pair_figures(x: np.ndarray, y: np.ndarray, share: float, window: int, depth: float) -> dict:
+    """All statistics of a pair from its returns on common dates, in their order."""
+    n = len(x)
     covariance, vx, vy = (float(np.cov(x, y)[i, j]) if n > 1 else 0.0 for i, j in ((0, 1), (0, 0), (1, 1)))
     both = (x < 0) & (y < 0)
     at = round((n - 1) * share)
@@ -79,20 +80,22 @@ def _statistics(pair: pd.DataFrame, share: float, window: int, depth: float) ->
     }
 
 
-def statistics(pairs: DataFrame, share: float = 0.05, window: int = WINDOW, depth: float = -0.05) -> DataFrame:
-    """One row with all statistics of a pair, from one shuffle: a pair's rows are one group of numpy arrays."""
-
-    def run(key: tuple, pair: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"left": key[0], "right": key[1], **_statistics(pair, share, window, depth)}])
-
-    return pairs.groupBy(*PAIR).applyInPandas(run, STATISTICS)
-
-
 def metric_card(stats: DataFrame, metric: str) -> DataFrame:
     """n, mean, median, least and greatest of a statistic over all pairs."""
     return stats.agg(F.count(metric).alias("n"), F.avg(metric).alias("mean"), F.median(metric).alias("median"), F.min(metric).alias("least"), F.max(metric).alias("greatest"))
 
 
+def summary(stats: DataFrame, metrics: list[str], bins: int = 8) -> DataFrame:
+    """metric, n, mean, median, least, greatest and bins (counts of equal bins, comma-joined): cards and histograms of all metrics in one aggregate."""
+    ends = stats.agg(*(f(m).alias(f"{n}_{m}") for m in metrics for n, f in (("lo", F.min), ("hi", F.max))))  # one row
+    each = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), F.col(f"lo_{m}").alias("lo"), F.col(f"hi_{m}").alias("hi")) for m in metrics))
+    d = stats.join(F.broadcast(ends)).select(F.explode(each).alias("x")).select("x.*").filter("value IS NOT NULL")
+    at = F.least(F.lit(bins - 1), F.floor(ratio0(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")) * bins))
+    v = "value"
+    d = d.withColumn("bin", at).groupBy("metric").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("least"), F.max(v).alias("greatest"), *(F.count_if(F.col("bin") == k).alias(f"b{k}") for k in range(bins)))
+    return d.select("metric", "n", "mean", "median", "least", "greatest", F.concat_ws(",", *(F.col(f"b{k}").cast("string") for k in range(bins))).alias("bins"))
+
+
 def moments(pairs: DataFrame) -> DataFrame:
     x, y = F.col("x"), F.col("y")
     d = pairs.groupBy(*PAIR).agg(F.count("*").alias("n"), pearson(x, y).alias("pearson"), zero(F.covar_samp(x, y)).alias("covariance"), zero(F.var_samp(x)).alias("left_variance"), zero(F.var_samp(y)).alias("right_variance"))

@@ -9,6 +9,8 @@ from ..functions.exprs import TRADING_DAYS, product, ratio0, running, zero
 from .pairs import aligned
 
 ROOT = TRADING_DAYS**0.5
+#: Listings of a model that a grid may have.
+MOST_LISTINGS = 200
 
 
 def matrix(rets: DataFrame) -> DataFrame:
@@ -182,37 +184,52 @@ def inverse_volatility(cov: DataFrame) -> DataFrame:
     return d.select("listing", (F.col("i") / F.sum("i").over(Window.partitionBy())).alias("weight"))
 
 
-def grid(spark: SparkSession, listings: list[str], step: int, most: int = 20_000) -> DataFrame:
-    """candidate (array of integer weights that sum to `step`), one row each; at most `most`, none without listings."""
-    from math import comb
+def grid_size(n: int, step: int, low: int, high: int) -> int:
+    """How many vectors of n whole numbers from low to high sum to step."""
+    ways = [1] + [0] * step
+    for _ in range(n):
+        ways = [sum(ways[s - x] for x in range(low, min(high, s) + 1)) for s in range(step + 1)]
+    return ways[step]
 
+
+def grid(spark: SparkSession, listings: list[str], step: int, most: int = 20_000, low: int = 0, high: int | None = None) -> DataFrame:
+    """candidate (array of integer weights from low to high that sum to `step`), one row each; at most `most`, none without listings.
+
+    A vector only grows by weights that the others can still complete, so that none is made and thrown away.
+    """
+    high = step if high is None else high
     if not listings:
         return spark.createDataFrame([], "candidate array<bigint>")
-    if comb(step + len(listings) - 1, len(listings) - 1) > most:
+    if len(listings) * max(low, 1) > most or grid_size(len(listings), step, low, high) > most:
         raise ValueError("more grid candidates than allowed")
     d = spark.range(1).select(F.array().cast("array<bigint>").alias("c"), F.lit(step).cast("long").alias("left"))
-    for _ in listings[1:]:
-        d = d.select("c", "left", F.explode(F.sequence(F.lit(0).cast("long"), "left")).alias("x")).select(F.array_append("c", F.col("x")).alias("c"), (F.col("left") - F.col("x")).alias("left"))
-    return d.select(F.array_append("c", F.col("left")).alias("candidate"))
+    for rest in range(len(listings) - 1, -1, -1):
+        least, greatest = F.greatest(F.lit(low), F.col("left") - high * rest).cast("long"), F.least(F.lit(high), F.col("left") - low * rest).cast("long")
+        d = d.withColumns({"least": least, "greatest": greatest}).filter("least <= greatest")
+        d = d.select("c", "left", F.explode(F.sequence("least", "greatest")).alias("x")).select(F.array_append("c", F.col("x")).alias("c"), (F.col("left") - F.col("x")).alias("left"))
+    return d.select(F.col("c").alias("candidate"))
 
 
-def grid_scores(cov: DataFrame, means: DataFrame, step: int = 10, keys: tuple[str, ...] = ()) -> DataFrame:
+def grid_scores(cov: DataFrame, means: DataFrame, step: int = 10, keys: tuple[str, ...] = (), low: int = 0, high: int | None = None) -> DataFrame:
     """keys, candidate, variance, expected, own (weighted volatility) and spread (of risk shares) of every weight vector of the grid.
 
     With keys, cov and means hold one model for each of their values; `grid` bounds the listings of a model.
     """
-    names = [r.listing for r in means.select("listing").distinct().orderBy("listing").collect()]  # guarded by `grid`
-    cells = grid(cov.sparkSession, names, step).select("candidate", F.posexplode("candidate").alias("k", "w"))
+    # More listings than this have more than the grid's candidates at any step; they aren't collected.
+    names = sorted(r.listing for r in means.select("listing").distinct().limit(MOST_LISTINGS + 1).collect())
+    if len(names) > MOST_LISTINGS:
+        raise ValueError(f"more than {MOST_LISTINGS} listings for a grid")
+    cells = grid(cov.sparkSession, names, step, low=low, high=high).select("candidate", F.posexplode("candidate").alias("k", "w"))
     at = F.try_element_at(F.array(*map(F.lit, names)).cast("array<string>"), F.col("k") + 1)
     cells = cells.select("candidate", at.alias("listing"), (F.col("w") / F.lit(float(step))).alias("w"))
     a, b = cells.select("candidate", F.col("listing").alias("left"), F.col("w").alias("wl")), cells.select("candidate", F.col("listing").alias("right"), F.col("w").alias("wr"))
     # The partial sums over one side come first: rows grow with candidates x listings, not with their square.
-    half = a.join(F.broadcast(cov), "left").groupBy(*keys, "candidate", "right").agg(F.sum(F.col("wl") * F.col("covariance")).alias("h"))
+    half = a.join(cov, "left").groupBy(*keys, "candidate", "right").agg(F.sum(F.col("wl") * F.col("covariance")).alias("h"))
     part = F.col("h") * F.col("wr")
     var = half.join(b, ["candidate", "right"]).groupBy(*keys, "candidate").agg(F.sum(part).alias("variance"), F.sum(part * part).alias("squares"))
     var = var.select(*keys, "candidate", "variance", (ratio0(F.col("squares"), F.col("variance") * F.col("variance")) - 1 / max(1, len(names))).alias("spread"))
     own = means.join(cov.filter("left = right").select(*keys, F.col("left").alias("listing"), F.sqrt("covariance").alias("sd")), [*keys, "listing"])
-    mu = cells.join(F.broadcast(own), "listing").groupBy(*keys, "candidate").agg(F.sum(F.col("w") * F.col("mean")).alias("expected"), F.sum(F.col("w") * F.col("sd")).alias("own"))
+    mu = cells.join(own, "listing").groupBy(*keys, "candidate").agg(F.sum(F.col("w") * F.col("mean")).alias("expected"), F.sum(F.col("w") * F.col("sd")).alias("own"))
     return var.join(mu, [*keys, "candidate"])
 
 
@@ -299,6 +316,43 @@ def rebalance(m: DataFrame, weights: DataFrame, unit: str = "month", cost: float
     return d.withColumn("value", before * F.col("f") * F.when(F.col("reb"), 1 - F.lit(cost) * F.col("drift")).otherwise(1.0)).select("date", F.col("reb").alias("rebalanced"), "value", "turnover")
 
 
+def rebalance_events(m: DataFrame, weights: DataFrame, unit: str = "month", cost: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Of each portfolio (portfolio, listing, weight) the row of each date, and those of its listings.
+
+    Events: portfolio, date, pre_trade_value, turnover, transaction_cost, portfolio_value, post_cost_return, cash_remainder,
+    rebalanced. Listings: portfolio, listing, date, pre_trade_value, pre_trade_weight, target_value, trade_value, rebalanced. A
+    listing without a return on a date keeps its value. unit is month, quarter or year; weights are restored on
+    the first date of each. As in `rebalance`, a segment's growth and the product of the segments before give every value.
+    """
+    if unit not in ("month", "quarter", "year"):
+        raise ValueError(f"unknown rebalance schedule: {unit}")
+    w = Window.partitionBy("portfolio").orderBy("date")
+    dates = m.agg(F.array_sort(F.collect_set("date")).alias("dates"))  # one row with the dates of one market
+    grid = weights.join(F.broadcast(dates)).select("portfolio", "listing", "weight", F.posexplode("dates").alias("i", "date"), "dates")
+    period = lambda d: F.date_trunc(unit, d)
+    changed = (F.col("i") == 0) | (period(F.col("date")) != period(F.try_element_at("dates", F.greatest("i", F.lit(1)))))
+    grid = grid.withColumn("reb", changed).drop("dates", "i")
+    d = grid.join(m.select("listing", "date", "simple"), ["listing", "date"], "left")
+    own = Window.partitionBy("portfolio", "listing").orderBy("date")
+    d = d.withColumn("seg", F.coalesce(F.sum(F.col("reb").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    d = d.withColumn("g", F.col("weight") * product(1 + F.coalesce("simple", F.lit(0.0)), running("portfolio", "listing", "seg")))
+    day = Window.partitionBy("portfolio", "date")
+    d = d.withColumn("f", F.sum("g").over(day)).withColumn("share", ratio0(F.col("g"), F.col("f")))
+    f = d.groupBy("portfolio", "date", "reb").agg(F.first("f").alias("f"), (F.sum(F.abs(F.col("share") - F.col("weight"))) / 2).alias("drift"), F.sum("weight").alias("whole"))
+    kept = F.when(F.col("reb"), 1 - F.lit(cost) * F.col("drift")).otherwise(1.0)
+    before = product(F.when(F.col("reb"), F.col("f") * kept).otherwise(1.0), w.rowsBetween(Window.unboundedPreceding, -1))
+    f = f.withColumns({"before": before, "kept": kept}).withColumns({"pre": F.col("before") * F.col("f")}).withColumn("value", F.col("pre") * F.col("kept"))
+    events = f.select(
+        "portfolio", "date", F.col("pre").alias("pre_trade_value"), F.when(F.col("reb"), F.col("drift")).otherwise(0.0).alias("turnover"), (F.col("pre") - F.col("value")).alias("transaction_cost"), F.col("value").alias("portfolio_value"),
+        (ratio0(F.col("value"), F.coalesce(F.lag("value").over(w), F.col("whole"))) - 1).alias("post_cost_return"), F.when(F.col("reb"), F.col("value") * (1 - F.col("whole"))).otherwise(0.0).alias("cash_remainder"), F.col("reb").alias("rebalanced"),
+    )
+    rows = d.join(f.select("portfolio", "date", "before", "pre"), ["portfolio", "date"])
+    held = F.col("before") * F.col("g")
+    target = F.when(F.col("reb"), F.col("weight") * F.col("pre")).otherwise(held)
+    rows = rows.select("portfolio", "listing", "date", held.alias("pre_trade_value"), F.col("share").alias("pre_trade_weight"), target.alias("target_value"), (target - held).alias("trade_value"), F.col("reb").alias("rebalanced"))
+    return events, rows
+
+
 def walk_forward_splits(m: DataFrame, train: int, test: int, mode: str = "rolling") -> DataFrame:
     """split, date, role: rolling or expanding windows over the dates; a date may serve several splits."""
     w = Window.partitionBy().orderBy("date")

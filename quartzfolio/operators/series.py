@@ -39,30 +39,43 @@ def calendar_gaps(quotes: DataFrame, days: int = GAP_DAYS) -> DataFrame:
     return d.withColumn("days", F.datediff("gap_end", "gap_start").cast("long")).filter(F.col("days") > days)
 
 
-def trading_days(quotes: DataFrame, exchange: str = "") -> DataFrame:
-    """listing, date: the days between the first and last quote on which the exchange is open.
+def calendar(quotes: DataFrame, exchange: str = "") -> DataFrame:
+    """date, open and no, the number of open days up to it: one row for each day of the quotes' years.
 
-    Weekdays; an exchange with a calendar (XETRA) is closed on its holidays, too.
+    Weekdays are open; an exchange with a calendar (XETRA) is closed on its holidays, too. No more rows than there
+    are days between the first and the last quote, whatever the number of listings.
     """
-    ends = quotes.groupBy("listing").agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    return ends.select("listing", F.explode(F.sequence("a", "b")).alias("date")).filter(trading_day(F.col("date"), F.lit(exchange)))
+    days = quotes.agg(F.min("date").alias("a"), F.max("date").alias("b")).filter("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("date"))
+    days = days.withColumn("open", trading_day(F.col("date"), F.lit(exchange)))
+    return days.withColumn("no", F.sum(F.col("open").cast("int")).over(Window.partitionBy().orderBy("date")).cast("int"))
 
 
-def missing_ranges(quotes: DataFrame, exchange: str = "") -> DataFrame:
-    """listing, gap_start, gap_end, missing: neighbouring trading days without a quote, merged."""
+def _absent(quotes: DataFrame, days: DataFrame) -> DataFrame:
+    """Each quote with its day's number and how many open days are missing before it, or at the end of a listing behind the last open one."""
+    d = quotes.select("listing", "date").join(F.broadcast(days), "date")
     w = Window.partitionBy("listing").orderBy("date")
-    days = trading_days(quotes, exchange).withColumn("no", F.row_number().over(w))
-    absent = days.join(quotes.select("listing", "date"), ["listing", "date"], "left_anti")
-    island = absent.withColumn("i", F.col("no") - F.row_number().over(w))
-    return island.groupBy("listing", "i").agg(F.min("date").alias("gap_start"), F.max("date").alias("gap_end"), F.count("*").alias("missing")).drop("i")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("low", F.col("no") - F.col("open").cast("int"))
+    d = d.withColumn("seen", F.coalesce(F.max(F.when(F.col("open"), F.col("no"))).over(before), F.first("low").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    last = F.lead("date").over(w).isNull()
+    return d.withColumn("missing", F.greatest(F.lit(0), F.when(F.col("open"), F.col("no") - 1 - F.col("seen")).when(last, F.col("no") - F.col("seen")).otherwise(0)).cast("long"))
+
+
+def missing_ranges(quotes: DataFrame, exchange: str = "") -> DataFrame:
+    """listing, gap_start, gap_end, missing: neighbouring trading days without a quote, merged.
+
+    Day numbers of neighbouring quotes are subtracted, so that no listing's days are spelt out.
+    """
+    days = calendar(quotes, exchange)
+    gaps = _absent(quotes, days).filter("missing > 0").select("listing", "missing", (F.col("seen") + 1).alias("from"), (F.col("seen") + F.col("missing")).cast("int").alias("to"))
+    at = lambda no, name: F.broadcast(days.filter("open").select(F.col("no").alias(no), F.col("date").alias(name)))
+    return gaps.join(at("from", "gap_start"), "from").join(at("to", "gap_end"), "to").select("listing", "gap_start", "gap_end", "missing")
 
 
 def coverage(quotes: DataFrame, exchange: str = "") -> DataFrame:
     """listing, days, expected, missing and next_start, five days before the last quote."""
-    got = quotes.groupBy("listing").agg(F.countDistinct("date").alias("days"), F.date_sub(F.max("date"), 5).alias("next_start"))
-    want = trading_days(quotes, exchange).groupBy("listing").agg(F.count("*").alias("expected"))
-    absent = missing_ranges(quotes, exchange).groupBy("listing").agg(F.sum("missing").alias("missing"))
-    return got.join(want, "listing", "left").join(absent, "listing", "left").select("listing", "days", F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("missing", F.lit(0)).alias("missing"), "next_start")
+    d = _absent(quotes, calendar(quotes, exchange)).groupBy("listing")
+    return d.agg(F.countDistinct("date").alias("days"), (F.max("no") - F.min("low")).cast("long").alias("expected"), F.sum("missing").alias("missing"), F.date_sub(F.max("date"), 5).alias("next_start"))
 
 
 def returns(quotes: DataFrame) -> DataFrame:

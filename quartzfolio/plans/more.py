@@ -63,7 +63,7 @@ def pair_rolling_downside(spark, d):
 @query(f"""{q._PAIRS}, {q._MOM}, a AS (SELECT x, avg(c) AS a FROM (SELECT l AS x, c FROM mo UNION ALL SELECT r, c FROM mo) GROUP BY x)
   SELECT max_by(x, a) AS most_correlated, {_z('max(a)')} AS most_correlated_average, min_by(x, a) AS best_diversifier, {_z('min(a)')} AS best_diversifier_average FROM a""")
 def correlation_extremes(spark, d):
-    return pairs.extremes(pairs.moments(q._pairs(spark, d)))
+    return pairs.extremes(q._moments(spark, d))
 
 
 @query(f"""{q._PAIRS}, c AS (SELECT l, r, count(*) FILTER (x < 0 AND y < 0) AS n, {q._CORR.format(*_BOTH)} AS c, {q._CORR.format('x', 'y')} AS p FROM pr GROUP BY l, r)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import normalized_name, rounded, stable_id
-from ..operators import pairs, portfolio, selection, series, solvers
+from ..operators import blocks, pairs, portfolio, selection, series, solvers
 from ..sources import adapters, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,14 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.aligned(_rets("nation", spark, d))
 
 
+def _moments(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.moments(_rets("nation", spark, d), listings=_nations(spark, d))
+
+
+def _nations(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.read(spark, d, "nation").select(F.col("n_name").alias("listing"))
+
+
 def _portfolio(spark: SparkSession, d: str) -> DataFrame:
     m = _matrix(spark, d)
     return portfolio.portfolio_returns(m, portfolio.equal_weights(m))
@@ -270,12 +278,12 @@ _MOM = f"""mo AS (SELECT l, r, count(*) AS n, {_CORR.format('x', 'y')} AS c, coa
 
 @query(f"{_PAIRS}, {_MOM} SELECT l AS \"left\", r AS \"right\", n, {_z('c')} AS pearson, {_z('cov')} AS covariance FROM mo")
 def pair_pearson_cov(spark, d):
-    return pairs.moments(_pairs(spark, d)).select("left", "right", "n", "pearson", "covariance")
+    return _moments(spark, d).select("left", "right", "n", "pearson", "covariance")
 
 
 @query(f"{_PAIRS}, {_MOM} SELECT l AS \"left\", r AS \"right\", {_z(_div('cov', 'vy'))} AS beta_left, {_z(_div('cov', 'vx'))} AS beta_right, {_z('vx')} AS left_variance, {_z('vy')} AS right_variance FROM mo")
 def pair_beta(spark, d):
-    return pairs.moments(_pairs(spark, d)).select("left", "right", "beta_left", "beta_right", "left_variance", "right_variance")
+    return _moments(spark, d).select("left", "right", "beta_left", "beta_right", "left_variance", "right_variance")
 
 
 def _score(c: str) -> str:
@@ -317,45 +325,58 @@ def pair_drawdown_overlap(spark, d):
 
 @query(f"{_PAIRS}, {_MOM} SELECT l AS \"left\", r AS \"right\", {_z('c')} AS pearson, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY abs(c) DESC, r) AS k FROM mo) WHERE k <= 3")
 def corr_edges_topk(spark, d):
-    return pairs.edges(pairs.moments(_pairs(spark, d)), top=3)
+    return pairs.edges(_moments(spark, d), top=3)
 
 
 @query(f"{_PAIRS}, {_MOM} SELECT l AS \"left\", r AS \"right\", {_z('c')} AS pearson FROM mo WHERE abs(c) >= 0.04")
 def corr_edges_threshold(spark, d):
-    return pairs.edges(pairs.moments(_pairs(spark, d)), least=0.04)
+    return pairs.edges(_moments(spark, d), least=0.04)
 
 
 @query(f"{_PAIRS}, {_MOM}, e AS (SELECT min(c) AS lo, max(c) AS hi FROM mo) SELECT CAST(least(7, floor(coalesce((c - lo) / nullif(hi - lo, 0), 0) * 8)) AS INT) AS bin, count(*) AS n FROM mo, e GROUP BY 1")
 def pair_metric_histogram(spark, d):
-    return pairs.histogram(pairs.moments(_pairs(spark, d)), "pearson")
+    return pairs.histogram(_moments(spark, d), "pearson")
 
 
 @query(f"{_PAIRS}, {_MOM} SELECT count(*) AS n, count(*) FILTER (c >= 0.7) AS high, count(*) FILTER (c >= 0.9) AS very_high, count(*) FILTER (c <= 0.3) AS low, count(*) FILTER (c < 0) AS negative, {_z('quantile_cont(c, 0.1)')} AS p10, {_z('quantile_cont(c, 0.5)')} AS p50, {_z('quantile_cont(c, 0.9)')} AS p90 FROM mo")
 def pearson_diagnostics(spark, d):
-    return pairs.diagnostics(pairs.moments(_pairs(spark, d)))
+    return pairs.diagnostics(_moments(spark, d))
 
 
 @query(f"{_PAIRS}, {_MOM} SELECT l AS \"left\", r AS \"right\", {_z('c')} AS pearson FROM mo UNION ALL SELECT r, l, {_z('c')} FROM mo")
 def corr_matrix_long(spark, d):
-    return pairs.mirrored(pairs.moments(_pairs(spark, d)).select("left", "right", "pearson"))
+    return pairs.mirrored(_moments(spark, d).select("left", "right", "pearson"))
 
 
 _STATS = f"""{_PAIRS}, {_MOM}, sc AS (SELECT l, r, {_CORR.format('x', 'y')} AS spearman FROM (SELECT l, r, {_score('x')} AS x, {_score('y')} AS y FROM pr) GROUP BY l, r),
   dn AS (SELECT l, r, count(*) AS k, {_CORR.format('x', 'y')} AS c FROM pr WHERE x < 0 AND y < 0 GROUP BY l, r),
   cut AS (SELECT l, r, list_sort(list(x))[1 + round_even((count(*) - 1) * 0.05::DOUBLE, 0)::BIGINT] AS cx, list_sort(list(y))[1 + round_even((count(*) - 1) * 0.05::DOUBLE, 0)::BIGINT] AS cy FROM pr GROUP BY l, r),
-  tl AS (SELECT l, r, count(*) FILTER (x <= cx) AS a, count(*) FILTER (y <= cy) AS b, count(*) FILTER (x <= cx AND y <= cy) AS j FROM pr JOIN cut USING (l, r) GROUP BY l, r)"""
-
-
-@query(f"""{_STATS} SELECT l AS "left", r AS "right", n, {_z('mo.c')} AS pearson, {_z('spearman')} AS spearman, {_z('cov')} AS covariance, {_z(_div('cov', 'vy'))} AS beta_left, {_z(_div('cov', 'vx'))} AS beta_right,
-  coalesce(k, 0) AS n_downside, {_z('coalesce(dn.c, 0)')} AS downside_correlation, a AS left_tail, b AS right_tail, j AS joint_tail, {_z('j / least(a, b)::DOUBLE')} AS tail_dependence, {_z('j / n::DOUBLE')} AS co_exceedance
-  FROM mo JOIN sc USING (l, r) JOIN tl USING (l, r) LEFT JOIN dn USING (l, r)""")
+  tl AS (SELECT l, r, count(*) FILTER (x <= cx) AS a, count(*) FILTER (y <= cy) AS b, count(*) FILTER (x <= cx AND y <= cy) AS j FROM pr JOIN cut USING (l, r) GROUP BY l, r),
+  sk AS (SELECT *, row_number() OVER (PARTITION BY l, r ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY l, r) AS n FROM pr),
+  sg AS (SELECT DISTINCT l, r, n, least(60, n) AS size, greatest(1, least(60, n) // 3) AS step FROM sk WHERE n >= 20),
+  ss AS (SELECT DISTINCT l, r, size, unnest(list_append(range(0, n - size + 1, step), n - size)) AS s FROM sg),
+  st AS (SELECT l, r, coalesce(stddev_samp(c), 0) AS stability FROM (SELECT l, r, s, {_CORR.format('x', 'y')} AS c FROM sk JOIN ss USING (l, r) WHERE i >= s AND i < s + size GROUP BY l, r, s) GROUP BY l, r),
+  oc AS (SELECT l, r, date, sum(x) OVER w AS cx, sum(y) OVER w AS cy FROM pr WINDOW w AS (PARTITION BY l, r ORDER BY date)),
+  od AS (SELECT l, r, exp(cx - greatest(0, max(cx) OVER w)) - 1 AS dx, exp(cy - greatest(0, max(cy) OVER w)) - 1 AS dy FROM oc WINDOW w AS (PARTITION BY l, r ORDER BY date)),
+  ov AS (SELECT l, r, avg(CASE WHEN dx <= -0.05 AND dy <= -0.05 THEN 1.0::DOUBLE ELSE 0 END) AS overlap FROM od GROUP BY l, r)"""
+#: Every statistic of a pair by name, in SQL over the tables of _STATS.
+_FIGURES = {
+    "n": "mo.n", "pearson": "mo.c", "spearman": "spearman", "covariance": "cov", "beta_left": _div("cov", "vy"), "beta_right": _div("cov", "vx"),
+    "n_downside": "coalesce(dn.k, 0)", "downside_correlation": "coalesce(dn.c, 0)", "left_tail": "a", "right_tail": "b", "joint_tail": "j",
+    "tail_dependence": "j / least(a, b)::DOUBLE", "co_exceedance": "j / mo.n::DOUBLE", "stability": "coalesce(stability, 0)", "overlap": "overlap",
+}
+_WHOLE = {"n", "n_downside", "left_tail", "right_tail", "joint_tail"}
+
+
+@query(f"""{_STATS} SELECT l AS "left", r AS "right", {', '.join(f'{x if name in _WHOLE else _z(x)} AS {name}' for name, x in _FIGURES.items())}
+  FROM mo JOIN sc USING (l, r) JOIN tl USING (l, r) LEFT JOIN dn USING (l, r) LEFT JOIN st USING (l, r) JOIN ov USING (l, r)""")
 def pair_statistics(spark, d):
-    return pairs.statistics(_pairs(spark, d)).drop("stability", "overlap")
+    return blocks.statistics(_rets("nation", spark, d), listings=_nations(spark, d))
 
 
 @query(f"{_PAIRS}, {_MOM} SELECT count(*) AS n, {_z('avg(c)')} AS mean, {_z('median(c)')} AS median, {_z('min(c)')} AS least, {_z('max(c)')} AS greatest FROM mo")
 def pair_metric_card(spark, d):
-    return pairs.metric_card(pairs.moments(_pairs(spark, d)), "pearson")
+    return pairs.metric_card(_moments(spark, d), "pearson")
 
 
 @query(f"""{_PAIRS}, {_MOM}, RECURSIVE_EDGES""".replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_EDGES", """ed AS (SELECT l, r FROM mo WHERE c >= 0.04 UNION SELECT r, l FROM mo WHERE c >= 0.04),
@@ -363,7 +384,7 @@ def pair_metric_card(spark, d):
 def corr_clusters(spark, d):
     from ..sources.tables import checkpointed
 
-    return checkpointed(spark, lambda: pairs.clusters(pairs.moments(_pairs(spark, d)), 0.04))
+    return checkpointed(spark, lambda: pairs.clusters(_moments(spark, d), 0.04))
 
 
 # ---------------------------------------------------------------- matrix and portfolio
@@ -591,4 +612,4 @@ def block_bootstrap(spark, d):
     return solvers.bootstrap(_portfolio(spark, d), 21, 20, 7)
 
 
-from . import more, third  # noqa: E402, F401  registers the queries of the other parts
+from . import incremental, more, third  # noqa: E402, F401  registers the queries of the other parts

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,14 +11,66 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _place(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's path and its file system."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, fs = _place(spark, path)
+    return fs.exists(where)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    where, fs = _place(spark, path)
+    fs.delete(where, True)
+
+
+def moved(spark: SparkSession, path: str, to: str) -> bool:
+    """Renames; false where `to` is there already."""
+    (a, fs), (b, _) = _place(spark, path), _place(spark, to)
+    fs.mkdirs(b.getParent())
+    return not fs.exists(b) and fs.rename(a, b)
+
+
+def folders_of(spark: SparkSession, path: str) -> list[str]:
+    where, fs = _place(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(where) if f.isDirectory()] if fs.exists(where) else []
+
+
+def files_of(spark: SparkSession, path: str) -> set[str]:
+    """The Parquet files below path, named from there; hidden folders left out."""
+    where, fs = _place(spark, path)
+    found = set()
+    if fs.exists(where):
+        base, each = len(fs.makeQualified(where).toString()) + 1, fs.listFiles(where, True)
+        while each.hasNext():
+            name = each.next().getPath().toString()[base:]
+            if name.endswith(".parquet") and not any(x.startswith(("_", ".")) for x in name.split("/")):
+                found.add(name)
+    return found
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    where, fs = _place(spark, path)
+    out = fs.create(where, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    where, fs = _place(spark, path)
+    source = fs.open(where)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
 
 
 def read_rows(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Parquet, or JSON lines by suffix; a missing path is an empty table."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     reader = spark.read.schema(schema)
     return reader.json(path) if path.endswith((".json", ".jsonl")) else reader.parquet(path)
@@ -86,8 +139,8 @@ def pending(inputs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return inputs.join(done, keys, "left_anti")
 
 
-def checkpointed(spark: SparkSession, build):
-    """build() with a checkpoint folder: the session's own, or on a local master a temporary one where it names none."""
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; on a local master a temporary folder where it names none."""
     if not spark.conf.get("spark.checkpoint.dir", None):
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
@@ -96,4 +149,15 @@ def checkpointed(spark: SparkSession, build):
         folder = tempfile.mkdtemp(prefix="quartzfolio-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
+    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other call returns."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(spark: SparkSession, build):
+    """build() with a checkpoint folder."""
+    shared_dir(spark)
     return build()
