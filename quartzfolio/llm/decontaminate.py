@@ -8,8 +8,11 @@ ids in the array; each hit is confirmed on 64-bit hashes of its words. Equal win
 benchmark are one class that is searched once and knows its items, so that a window repeated in
 the benchmark and in a shard makes no pairs of places.
 
-The longest match of a document is its longest stretch of words of which all windows occur;
-matches of fewer than `WINDOW` words are reported only where a whole item is that short.
+The longest match of a document is the longest stretch of its words that one item holds verbatim. The
+benchmark's own suffixes stand in a second array in full order; from each place with a hit, the
+longest common prefix with its two neighbours there is the longest match that begins at the place, and the
+suffixes beside them that share it tell the items. Of equal lengths the first place counts, and there the lowest item.
+Matches of fewer than `WINDOW` words are reported only where a whole item is that short.
 
 The benchmark is the query side. Its bytes are counted first; up to `BLOCK_BYTES` it is broadcast
 at once, beyond that in as many blocks, each a pass that adds its hits to the rows of the pass
@@ -138,6 +141,23 @@ def suffix_array(ids: np.ndarray) -> np.ndarray:
     return order
 
 
+def full_order(h: np.ndarray, longest: int) -> np.ndarray:
+    """The places of h ordered by the up to `longest` words from each on, by doubling."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    rank = np.unique(h, return_inverse=True)[1].astype(np.int64)
+    depth = 1
+    while True:
+        then = np.append(rank[depth:], np.full(min(depth, len(h)), -1))[: len(h)]
+        order = np.lexsort((then, rank))
+        new = np.concatenate(([False], (rank[order][1:] != rank[order][:-1]) | (then[order][1:] != then[order][:-1])))
+        rank = np.empty(len(h), np.int64)
+        rank[order] = np.cumsum(new)
+        depth *= 2
+        if depth >= longest or rank[order[-1]] == len(h) - 1:
+            return order
+
+
 class Queries:
     """The distinct windows at the heads of the suffixes of the benchmark's items.
 
@@ -146,7 +166,7 @@ class Queries:
     """
 
     def __init__(self, items: list[tuple[str, str]], words: Words) -> None:
-        names, windows, item = [], [np.zeros((0, WINDOW), np.uint64)], [np.zeros(0, np.int64)]
+        names, texts, windows, item = [], [], [np.zeros((0, WINDOW), np.uint64)], [np.zeros(0, np.int64)]
         for name, text in items:
             h, _ = words((text or "").encode("utf-8", "surrogatepass"))
             if not len(h):
@@ -159,6 +179,7 @@ class Queries:
             windows.append(own)
             item.append(np.full(len(own), len(names)))
             names.append("" if name is None else str(name))
+            texts.append(h)
         every, item = np.ascontiguousarray(np.concatenate(windows)), np.concatenate(item)
         _, first, inverse = np.unique(every.view(f"V{8 * WINDOW}").ravel(), return_index=True, return_inverse=True)
         self.names = np.array(names, object)
@@ -168,6 +189,11 @@ class Queries:
         pairs = np.unique(inverse.ravel().astype(np.int64) * max(len(names), 1) + item)
         self.of = pairs % max(len(names), 1)
         self.begin = np.searchsorted(pairs // max(len(names), 1), np.arange(len(first) + 1))
+        # All items one after another, each with a 1 behind it, which no text has.
+        ends = np.cumsum([len(x) + 1 for x in texts]) if texts else np.zeros(0, np.int64)
+        self.flat = np.concatenate([np.append(x, np.uint64(1)) for x in texts]) if texts else np.zeros(0, np.uint64)
+        self.order = full_order(self.flat, max((len(x) for x in texts), default=0) + 1)
+        self.owner = np.searchsorted(ends, self.order, "right")
 
     def items_of(self, which: np.ndarray) -> list[str]:
         """The names of the items with any of these windows, ascending."""
@@ -217,19 +243,64 @@ def matches(h: np.ndarray, q: Queries) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(windows)
 
 
-def _longest(doc: np.ndarray, place: np.ndarray, which: np.ndarray, q: Queries) -> Iterator[tuple[int, int, str, int]]:
-    """Per document the words of its longest stretch, the lowest item of its first window, and its place."""
-    by = np.lexsort((which, place, q.size[which]))
-    p, w, size = place[by], which[by], q.size[which][by]
-    whole = size == WINDOW  # whole windows at neighbouring places chain up
-    new = np.concatenate(([True], ~(whole[1:] & whole[:-1] & (p[1:] == p[:-1] + 1) & (doc[by][1:] == doc[by][:-1]))))
-    first = np.flatnonzero(new)
-    length = np.diff(np.append(first, len(p))) - 1 + size[first]
-    owner = doc[by][first]
-    best = np.lexsort((p[first], -length, owner))
-    best = best[np.concatenate(([True], owner[best][1:] != owner[best][:-1]))]
+def _shared(h: np.ndarray, place: np.ndarray, q: Queries, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many words the suffixes of h at place and of the items at q.order[at] share, and whether the former is greater."""
+    length, greater = np.zeros(len(place), np.int64), np.zeros(len(place), bool)
+    step, open_ = np.arange(32), np.arange(len(place))
+    other = q.order[at]
+    while len(open_):
+        x, y = place[open_] + length[open_], other[open_] + length[open_]
+        a = h[np.minimum(x[:, None] + step, len(h) - 1)]
+        b = q.flat[np.minimum(y[:, None] + step, len(q.flat) - 1)]
+        differs = (a != b) | (x[:, None] + step >= len(h)) | (y[:, None] + step >= len(q.flat))
+        first = differs.argmax(1)
+        done = differs[np.arange(len(open_)), first]
+        length[open_] += np.where(done, first, len(step))
+        greater[open_[done]] = (a > b)[done, first[done]]
+        open_ = open_[~done]
+    return length, greater
+
+
+def _reach(h: np.ndarray, place: np.ndarray, q: Queries) -> tuple[np.ndarray, np.ndarray]:
+    """Of each place the most words that an item shares from there on, and a slot of q.order with them."""
+    low, high = np.zeros(len(place), np.int64), np.full(len(place), len(q.order), np.int64)
+    while (some := np.flatnonzero(low < high)).size:
+        mid = (low[some] + high[some]) // 2
+        greater = _shared(h, place[some], q, mid)[1]
+        low[some], high[some] = np.where(greater, mid + 1, low[some]), np.where(greater, high[some], mid)
+    before, after = np.maximum(low - 1, 0), np.minimum(low, len(q.order) - 1)
+    x, y = _shared(h, place, q, before)[0], _shared(h, place, q, after)[0]
+    return np.maximum(x, y), np.where(x >= y, before, after)
+
+
+def _items_at(q: Queries, slot: int, length: int) -> str:
+    """The lowest item with a suffix that begins with the same `length` words as that of the slot."""
+    own = q.flat[q.order[slot] : q.order[slot] + length]
+    same = lambda k: 0 <= k < len(q.order) and np.array_equal(q.flat[q.order[k] : q.order[k] + length], own)
+    ends = []
+    for way in (-1, 1):  # the equal ones are neighbours: by doubled steps, then halved ones
+        step, k = 1, slot
+        while same(k + way * step):
+            k, step = k + way * step, 2 * step
+        while step := step // 2:
+            k += way * step if same(k + way * step) else 0
+        ends.append(k)
+    return min(q.names[np.unique(q.owner[ends[0] : ends[1] + 1])])
+
+
+def _longest(h: np.ndarray, doc: np.ndarray, place: np.ndarray, which: np.ndarray, q: Queries) -> Iterator[tuple[int, int, str, int]]:
+    """Per document the words of its longest match with one item, the lowest such item, and its place."""
+    whole = q.size[which] == WINDOW
+    length, slot = q.size[which].astype(np.int64), np.full(len(which), -1)
+    at, of = np.unique(place[whole], return_inverse=True)
+    if len(at):
+        reach, found = _reach(h, at, q)
+        length[whole], slot[whole] = reach[of], found[of]
+    best = np.lexsort((place, -length, doc))
+    best = best[np.concatenate(([True], doc[best][1:] != doc[best][:-1]))]
     for k in best:
-        yield int(owner[k]), int(length[k]), q.items_of(w[first[k] : first[k] + 1])[0], int(p[first[k]])
+        item = _items_at(q, int(slot[k]), int(length[k])) if slot[k] >= 0 else q.items_of(which[k : k + 1])[0]
+        yield int(doc[k]), int(length[k]), item, int(place[k])
 
 
 def _shard(texts: list[str], q: Queries, words: Words) -> pd.DataFrame:
@@ -249,7 +320,7 @@ def _shard(texts: list[str], q: Queries, words: Words) -> pd.DataFrame:
     length, longest, where = [0] * n, [None] * n, [None] * n
     if len(place):
         doc = np.searchsorted(begin, place, "right") - 1
-        for i, size, item, p in _longest(doc, place, which, q):
+        for i, size, item, p in _longest(held, doc, place, which, q):
             length[i], longest[i], where[i] = size, item, int(p - begin[i])
         edge = np.zeros(len(held) + 1, np.int64)
         np.add.at(edge, place, 1)

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from quartzfolio.llm import chat_repair, merkle, minhash_forest, repeated_bytes
+from quartzfolio.llm import chat_repair, decontaminate, merkle, minhash_forest, repeated_bytes
 
 SF = "/root/testdata/sf0.001"
 
@@ -280,3 +280,41 @@ def test_near_duplicates_of_rows_that_repeat(spark):
     rows = [(1, a)] * 700 + [(2, b)] * 700 + [(3, other)] * 5 + [(4, other + " more")]
     got = {tuple(r) for r in minhash_forest.groups(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id", "kept").collect()}
     assert got == {(1, 1, True), (2, 1, False), (3, 3, True), (4, 3, False)}
+
+
+# ---------------------------------------------------------------- longest matches of the benchmark
+def brute_longest(text, items):
+    """(length, item, place): the longest match of WINDOW words or of a whole shorter item, the first place, the lowest item."""
+    words = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    w, best = words(text), (0, None, None)
+    for name, item in items:
+        v = words(item)
+        for p in range(len(w)):
+            for s in range(len(v)):
+                n = 0
+                while p + n < len(w) and s + n < len(v) and w[p + n] == v[s + n]:
+                    n += 1
+                if n >= 10 or (n == len(v) and s == 0):
+                    best = min(best, (-n, p, name), key=lambda x: (x[0], x[1] if x[1] is not None else 1 << 60, x[2] or "")) if best[0] else (-n, p, name)
+    return (-best[0], best[2], best[1]) if best[0] else (0, None, None)
+
+
+def longest(spark, docs, items, **how):
+    d = decontaminate.searched(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), **how)
+    return {r.doc_id: (r.longest_match, r.longest_item, r.longest_at) for r in d.collect()}
+
+
+def test_longest_match_is_one_items(spark):
+    w = [f"w{k}" for k in range(25)]
+    items = [("1", " ".join(w[:12])), ("2", " ".join(w[4:21])), ("3", " ".join(w[11:]))]
+    assert longest(spark, [(1, " ".join(["a", *w, "b"]))], items) == {1: (17, "2", 5)}
+
+
+@pytest.mark.parametrize("how", [{}, {"block_bytes": 200, "shard_chars": 300}])
+def test_longest_matches_of_random_overlaps(spark, how):
+    r = random.Random(8)
+    stream = [f"w{r.randrange(12)}" for _ in range(80)]
+    cut = lambda n: (lambda a: " ".join(stream[a : a + n]))(r.randrange(70))
+    items = [(f"i{k}", cut(r.choice((3, 6, 11, 14, 30)))) for k in range(12)] + [("i0", cut(20)), ("same", " ".join(stream[:15])), ("also", " ".join(stream[:15]))]
+    docs = [(k, " x ".join(cut(r.randrange(1, 40)) for _ in range(3))) for k in range(40)] + [(40, " ".join(stream)), (41, "")]
+    assert longest(spark, docs, items, **how) == {k: brute_longest(t, items) for k, t in docs}
