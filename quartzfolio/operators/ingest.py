@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import normalized_name
+from ..sources.tables import pruned, read_rows, removed, shared_path, upsert, write_rows
 
 #: Fixed: field of a candidate and the payload's key for it, in any case.
 CANDIDATE = {"code": "code", "exchange": "exchange", "instrument_type": "type", "country": "country", "currency": "currency", "isin": "isin", "name": "name"}
@@ -26,12 +27,54 @@ def candidates(raw: DataFrame, run: str, query: str, endpoint: str) -> DataFrame
 
 
 def normalized_quotes(raw: DataFrame, order: str) -> DataFrame:
-    """One row per listing and date, the last by `order`: missing prices are the close, missing volume is 0."""
+    """One row per listing and date, the last by `order`: missing prices are the close, missing volume is 0.
+
+    Of rows with equal `order` the greatest counts, field by field.
+    """
     close = F.coalesce(F.col("close"), F.lit(0.0))
     prices = [F.coalesce(c, close).alias(c) for c in ("open", "high", "low")]
     row = F.struct(*prices, close.alias("close"), F.coalesce("adjusted_close", close).alias("adjusted_close"), F.coalesce("volume", F.lit(0)).cast("long").alias("volume"), F.coalesce("currency", F.lit("")).alias("currency"))
     # The last row is kept in the partial aggregate, so that duplicates don't reach the shuffle.
-    return raw.groupBy(*QUOTE_KEY).agg(F.max_by(row, order).alias("q")).select(*QUOTE_KEY, "q.*")
+    return raw.groupBy(*QUOTE_KEY).agg(F.max_by(row, F.struct(F.col(order), row)).alias("q")).select(*QUOTE_KEY, "q.*")
+
+
+PAYLOAD_KEY = ["run_id", "isin", "exchange", "code"]
+
+
+def parsed_payloads(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows and errors of raw answers (run_id, isin, exchange, code, endpoint, payload: a JSON list of objects with date and value).
+
+    Rows: the key, date, value and year. Errors: the key, endpoint, error_type and message; an answer that isn't a list, or
+    holds a row without a valid date, has an error and no rows, and the others aren't touched by it.
+    """
+    shape = "array<struct<date:string,value:double>>"
+    p = payloads.withColumn("found", F.from_json("payload", shape))
+    day = lambda x: F.try_to_date(x.date, "yyyy-MM-dd")
+    bad = F.exists("found", lambda x: F.coalesce(day(x).isNull(), F.lit(True)))
+    # from_json answers a list with a broken end by its sound beginning; only a list that ends as one is whole.
+    whole = F.coalesce(F.col("payload").rlike(r"(?s)^\s*\[.*\]\s*\z") & F.col("found").isNotNull(), F.lit(False))
+    kind = F.when(~whole, "malformed_payload").when(bad, "invalid_date")
+    p = p.withColumn("error_type", kind)
+    message = F.when(F.col("error_type") == "malformed_payload", "not a JSON list").otherwise(F.concat(F.lit("no date: "), F.coalesce(F.element_at(F.filter("found", lambda x: F.coalesce(day(x).isNull(), F.lit(True))), 1).date, F.lit("null"))))
+    errors = p.filter("error_type IS NOT NULL").select(*PAYLOAD_KEY, "endpoint", "error_type", message.alias("message"))
+    rows = p.filter("error_type IS NULL").select(*PAYLOAD_KEY, F.explode("found").alias("x")).select(*PAYLOAD_KEY, day(F.col("x")).alias("date"), "x.value")
+    return rows.withColumn("year", F.year("date")), errors
+
+
+def merge_years(rows: DataFrame, path: str) -> None:
+    """Upserts rows of `parsed_payloads` into path, by exchange and year: a row of the same listing and date is replaced.
+
+    Only the years that rows have are read and written; of equal keys in rows the greatest run counts.
+    """
+    spark = rows.sparkSession
+    key = ["isin", "exchange", "code", "date"]
+    at = ("exchange", "year")
+    aside = shared_path(spark, "payloads")
+    old = read_rows(spark, path, "run_id string, isin string, code string, date date, value double, exchange string, year int")
+    merged = upsert(pruned(old, rows, list(at)), rows.select(old.columns), key, F.struct("run_id", "value"))
+    merged.write.parquet(aside)
+    write_rows(spark.read.schema(merged.schema).parquet(aside).repartition(*at), path, at)
+    removed(spark, aside)
 
 
 def request_plan(listings: DataFrame, run: str, start: str = "", end: str = "", isin: str | None = None) -> DataFrame:

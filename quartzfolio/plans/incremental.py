@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import rounded
-from ..operators import blocks, constraints, identity, pairs, portfolio, series
+from ..operators import blocks, constraints, identity, ingest, pairs, portfolio, series
 from ..sources import adapters, pair_store, resume, segments
 from ..sources.tables import shared_path
 from . import queries as q
@@ -148,6 +148,40 @@ def segment_publish(spark, d):
     return back.agg(F.count("*").alias("rows"), F.lit(second["segment_hash"]).alias("segment_hash"), F.lit(first["written"]).alias("first_written"), F.lit(second["written"]).alias("second_written"), F.sum("micro").alias("total"))
 
 
+# ---------------------------------------------------------------- raw answers by listing and year
+def _answers(spark, d, run: str, factor: float, where: str) -> DataFrame:
+    """A customer's orders as one JSON answer; every eleventh is cut off, every thirteenth has a date that is none."""
+    o = adapters.read(spark, d, "orders").filter(where).select(F.col("o_custkey").alias("c"), F.col("o_orderdate").cast("date").alias("date"), (F.round(F.col("o_totalprice") * factor, 2)).alias("value"))
+    # One value for a day, as a listing has.
+    day = o.groupBy("c", "date").agg(F.max("value").alias("value"))
+    row = F.struct(F.when((F.col("c") % 13 == 0) & (F.dayofmonth("date") == 13), "n/a").otherwise(F.col("date").cast("string")).alias("date"), "value")
+    text = F.to_json(F.collect_list(row))
+    a = day.groupBy("c").agg(text.alias("text"))
+    isin = F.concat(F.lit("ISIN"), F.col("c"))
+    return a.select(F.lit(run).alias("run_id"), isin.alias("isin"), F.when(F.col("c") % 2 == 0, "XETRA").otherwise("LSE").alias("exchange"), isin.alias("code"), F.lit("orders").alias("endpoint"), F.when(F.col("c") % 11 == 0, F.expr("left(text, length(text) - 3)")).otherwise(F.col("text")).alias("payload"))
+
+
+_ANSWERED = """WITH x AS (SELECT o_custkey AS c, CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS value FROM orders GROUP BY 1, 2),
+  b AS (SELECT c, bool_or(c % 13 = 0 AND day(date) = 13) AS undated FROM x GROUP BY c), b2 AS (SELECT c, bool_or(c % 13 = 0 AND day(date) = 13) AS undated FROM x WHERE date >= DATE '1997-01-01' GROUP BY c)"""
+
+
+@query(f"""{_ANSWERED}, l AS (SELECT c, date, round(value, 2) AS value, 0 AS run FROM x JOIN b USING (c) WHERE c % 11 <> 0 AND NOT undated UNION ALL SELECT c, date, round(value * 2, 2), 1 FROM x JOIN b2 USING (c) WHERE date >= DATE '1997-01-01' AND c % 11 <> 0 AND NOT undated)
+  SELECT CASE WHEN c % 2 = 0 THEN 'XETRA' ELSE 'LSE' END AS exchange, CAST(year(date) AS INT) AS year, count(*) AS n, count(*) FILTER (run = 1) AS renewed, {_z('sum(value)', 2)} AS total FROM (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY c, date ORDER BY run DESC) = 1) GROUP BY 1, 2""", 2)
+def payload_rows(spark, d):
+    """All answers, then those from 1997 on with other values: what the store holds by exchange and year."""
+    path = shared_path(spark, "answers")
+    for run, factor, where in (("r0", 1.0, "true"), ("r1", 2.0, "o_orderdate >= '1997-01-01'")):
+        ingest.merge_years(ingest.parsed_payloads(_answers(spark, d, run, factor, where))[0], path)
+    rows = pair_store.read_rows(spark, path, "run_id string, isin string, code string, date date, value double, exchange string, year int")
+    return rows.groupBy("exchange", "year").agg(F.count("*").alias("n"), F.count_if(F.col("run_id") == "r1").alias("renewed"), F.sum("value").alias("total"))
+
+
+@query(f"""{_ANSWERED} SELECT 'r0' AS run_id, 'ISIN' || c AS isin, CASE WHEN c % 2 = 0 THEN 'XETRA' ELSE 'LSE' END AS exchange, 'ISIN' || c AS code, 'orders' AS endpoint,
+  CASE WHEN c % 11 = 0 THEN 'malformed_payload' ELSE 'invalid_date' END AS error_type, CASE WHEN c % 11 = 0 THEN 'not a JSON list' ELSE 'no date: n/a' END AS message FROM b WHERE c % 11 = 0 OR undated""")
+def payload_errors(spark, d):
+    return ingest.parsed_payloads(_answers(spark, d, "r0", 1.0, "true"))[1]
+
+
 # ---------------------------------------------------------------- rebalancing with holes
 #: Returns are scaled down once more, so that a decade of them stays near 1.
 COST, SMALL = 0.001, adapters.SCALE / 10

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import read_rows, upsert
+from ..sources.tables import pruned, read_rows, removed, upsert, write_rows
 
 QUOTE_KEY = ["listing", "date"]
 SCHEMA = "listing string, date date, px double, seq long"
@@ -18,15 +18,25 @@ def daily_bars(events: DataFrame, late: str = "2 days") -> DataFrame:
     return bars.select("listing", F.col("window.start").cast("date").alias("date"), "open", "high", "low", "close", "n")
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """What `merge_into` has merged so far."""
+    return read_rows(spark, f"{path}/rows", f"{SCHEMA}, month string").drop("month")
+
+
 def merge_into(spark: SparkSession, path: str):
     """For foreachBatch: the batch's last row of a key wins over the stored one.
 
-    Batches write versions side by side (path/v=<batch>), so that a batch that is run again repeats its result.
+    The store has a partition for each month. A batch reads and replaces those it has rows of, so that its cost doesn't
+    grow with the store and no versions pile up. They are merged aside first; a batch that is run again has the same result.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        old = read_rows(spark, f"{path}/v={number - 1}", SCHEMA)
-        last = upsert(batch.limit(0), batch, QUOTE_KEY, F.col("seq"))
-        upsert(old, last, QUOTE_KEY).write.mode("overwrite").parquet(f"{path}/v={number}")
+        aside = f"{path}/_aside/{number}"
+        new = upsert(batch.limit(0), batch, QUOTE_KEY, F.col("seq")).withColumn("month", F.date_format("date", "yyyy-MM"))
+        old = read_rows(spark, f"{path}/rows", f"{SCHEMA}, month string")
+        merged = upsert(pruned(old, new, ["month"]), new, QUOTE_KEY)
+        merged.write.mode("overwrite").parquet(aside)
+        write_rows(spark.read.schema(merged.schema).parquet(aside).repartition("month"), f"{path}/rows", ("month",))
+        removed(spark, aside)
 
     return run

@@ -261,3 +261,30 @@ def test_selected_partitions_are_pruned(spark, tmp_path):
     assert "dynamicpruning" in plan
     scan = plan[plan.index("PartitionFilters") :].split("]")[0]
     assert "listing" in scan
+
+
+def test_answers_that_fail_leave_others_alone(spark, tmp_path):
+    from quartzfolio.operators import ingest
+
+    texts = ['[{"date": "2020-01-02", "value": 1.5}, {"date": "2021-01-02", "value": 2}]', '[{"date": "2020-13-02", "value": 1}]', '[{"value": 1}]', '{"error": "no"}', '[{"date": "2020-01-02"', None, "[]", '[{"date": "2020-01-03", "value": null}]']
+    schema = "run_id string, isin string, exchange string, code string, endpoint string, payload string"
+    payloads = lambda run, some: spark.createDataFrame([(run, f"I{k}", "X", "C", "e", t) for k, t in some], schema)
+    rows, errors = ingest.parsed_payloads(payloads("1", enumerate(texts)))
+    assert {(r.isin, str(r.date), r.value, r.year) for r in rows.collect()} == {("I0", "2020-01-02", 1.5, 2020), ("I0", "2021-01-02", 2.0, 2021), ("I7", "2020-01-03", None, 2020)}
+    assert {(r.isin, r.error_type) for r in errors.collect()} == {("I1", "invalid_date"), ("I2", "invalid_date"), ("I3", "malformed_payload"), ("I4", "malformed_payload"), ("I5", "malformed_payload")}
+    path = str(tmp_path / "answers")
+    ingest.merge_years(rows, path)
+    before = files_of(spark, path)
+    ingest.merge_years(ingest.parsed_payloads(payloads("2", [(0, '[{"date": "2020-01-02", "value": 9}]')]))[0], path)
+    got = read_rows(spark, path, "run_id string, isin string, code string, date date, value double, exchange string, year int")
+    assert {(r.isin, str(r.date), r.value) for r in got.collect()} == {("I0", "2020-01-02", 9.0), ("I0", "2021-01-02", 2.0), ("I7", "2020-01-03", None)}
+    assert {f for f in files_of(spark, path) if "year=2021" in f} == {f for f in before if "year=2021" in f}
+
+
+def test_equal_orders_are_decided_by_the_row(spark):
+    from quartzfolio.operators import ingest
+
+    rows = [("I", "X", "C", DAY, 1.0, 1.0, 1.0, c, c, 5, "EUR", 1) for c in (2.0, 3.0)]
+    schema = "isin string, exchange string, code string, date date, open double, high double, low double, close double, adjusted_close double, volume long, currency string, seq long"
+    for order in (rows, rows[::-1]):
+        assert [r.close for r in ingest.normalized_quotes(spark.createDataFrame(order, schema), "seq").collect()] == [3.0]

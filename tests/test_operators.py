@@ -143,7 +143,12 @@ def test_stream(spark, tmp_path):
     merge = stream.merge_into(spark, str(tmp_path / "store"))
     merge(spark.createDataFrame([("A", DAY(2026, 1, 1), 1.0, 0), ("A", DAY(2026, 1, 1), 2.0, 1)], stream.SCHEMA), 0)
     merge(spark.createDataFrame([("A", DAY(2026, 1, 1), 5.0, 0)], stream.SCHEMA), 1)
-    assert [r.px for r in spark.read.parquet(str(tmp_path / "store/v=1")).collect()] == [5.0]
+    assert [r.px for r in stream.stored(spark, str(tmp_path / "store")).collect()] == [5.0]
+    january = {p.name for p in (tmp_path / "store" / "rows").glob("month=2026-01/*.parquet")}
+    for _ in range(2):  # a batch that is run again changes nothing
+        merge(spark.createDataFrame([("B", DAY(2026, 2, 1), 7.0, 0)], stream.SCHEMA), 2)
+    assert {(r.listing, r.px) for r in stream.stored(spark, str(tmp_path / "store")).collect()} == {("A", 5.0), ("B", 7.0)}
+    assert {p.name for p in (tmp_path / "store" / "rows").glob("month=2026-01/*.parquet")} == january and not list((tmp_path / "store" / "_aside").glob("*"))
 
 
 def test_order_sizes(spark):
