@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .pieces import Memo, batches
 
-BATCH_CHARS, PIECES, CACHE, STEPS, SHORT = 1_500_000, 50_000, 1_500_000, 64, 256
+BATCH_CHARS, PIECES, CACHE, STEPS, SHORT = 600_000, 12_500, 1_500_000, 64, 256
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 ENCODE = f"""
