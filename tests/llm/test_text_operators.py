@@ -72,7 +72,7 @@ def test_line_dedup_keeps_what_occurs_once(docs, texts):
     got = {r.doc_id: r.text for r in line_dedup.deduplicated(docs).collect()}
     before, after = (collections.Counter(x for t in d.values() for x in t.split("\n")) for d in (texts, got))
     assert set(before) - {""} == set(after) - {""}
-    assert not [x for x, n in after.items() if n > 1 and len(x.split()) >= line_dedup.LONG_LINE]
+    assert not [x for x, n in after.items() if n > 1 and len(x.split()) >= line_dedup.CHUNK]
 
 
 def passages(rng):
@@ -98,6 +98,58 @@ def test_line_dedup_cuts_planted_passages(spark):
     assert all(got[i]._n_removed_chunks == (i % 10 > 0) and got[i]._n_lines - got[i]._n_removed_lines == t.count("\n") + 1 for i, t in want.items())
 
 
+def runs(rows):
+    """Lines as (gap, line) by position in order of doc_id, and the runs that stand earlier, too: (doc, start, end, words)."""
+    lines = {i: [(p, x) for p, x in enumerate(t.split("\n")) if x] for i, t in sorted(rows.items())}
+    place, found = collections.defaultdict(list), []
+    same = lambda a, p, b, q: p >= 0 and q >= 0 and p < len(lines[a]) and q < len(lines[b]) and lines[a][p][1] == lines[b][q][1]
+    gap = lambda a, p: lines[a][p + 1][0] - lines[a][p][0]
+    for i, own in lines.items():
+        for p, (_, x) in enumerate(own):
+            for j, q in place[x]:
+                if same(i, p - 1, j, q - 1) and gap(i, p - 1) == gap(j, q - 1):
+                    continue
+                e = 0
+                while same(i, p + e + 1, j, q + e + 1) and gap(i, p + e) == gap(j, q + e):
+                    e += 1
+                found.append((i, p, p + e, sum(len(y.split()) for _, y in own[p : p + e + 1])))
+            place[x].append((i, p))
+    return lines, found
+
+
+def test_line_dedup_equals_runs_found_by_brute_force(spark):
+    """What goes stands earlier in one piece of a chunk's words; of a passage that stands earlier something goes."""
+    rng = random.Random(3)
+    pool = [[" ".join(f"a{k}x{j}x{i}" for i in range(rng.randint(2, 16))) for j in range(rng.randint(4, 12))] for k in range(12)]
+    rows = {}
+    for i in range(80):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            part = rng.choice(pool)
+            a, b = sorted(rng.sample(range(len(part) + 1), 2))
+            parts += [*part[a:b], *([""] * rng.randint(0, 1)), f"own {i} {rng.random()}"]
+        rows[i] = "\n".join(parts)
+    # Three documents hold two lines of a passage each, the last one all four of them: no chunk stands earlier in one piece.
+    four = [" ".join(f"f{j}x{i}" for i in range(14)) for j in range(4)]
+    rows |= {100 + k: "\n".join([f"head {k}", *four[k : k + 2], f"tail {k}"]) for k in range(3)} | {103: "\n".join(["head 3", *four, "tail 3"])}
+    got = {r.doc_id: r.text for r in line_dedup.deduplicated(spark.createDataFrame(list(rows.items()), SCHEMA)).collect()}
+    assert got[103] == rows[103]
+    lines, found = runs(rows)
+    may, cut = collections.defaultdict(set), {}
+    for i, s, e, n in found:
+        if n >= line_dedup.CHUNK:
+            may[i] |= set(range(s, e + 1))
+    for i, own in lines.items():
+        left = collections.Counter(x for x in got[i].split("\n") if x)
+        cut[i] = [x for _, x in own if not left[x]]
+        assert not collections.Counter(cut[i]) - collections.Counter(own[p][1] for p in may[i])
+    passages = [r for r in found if r[3] >= line_dedup.PASSAGE]
+    assert len(passages) > 50 and all(got[i] != rows[i] for i, _, _, _ in passages)
+    once = [r for r in passages if len({x for _, x in lines[r[0]]}) == len(lines[r[0]])]
+    assert len(once) > 20 and all(set(cut[i]) & {x for _, x in lines[i][s : e + 1]} for i, s, e, _ in once)
+    assert set().union(*(set(t.split("\n")) for t in rows.values())) - {""} == set().union(*(set(t.split("\n")) for t in got.values())) - {""}
+
+
 def test_line_dedup_hashes_that_collide(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "HASH", "IF({seed} = 0, xxhash64({x}) & 3L, xxhash64({x}, {seed}))")
     rows = [(k, "\n".join(" ".join(f"w{k if line != 1 else 0}_{line}_{i}" for i in range(40)) for line in range(3))) for k in range(4)]
