@@ -225,6 +225,15 @@ def test_quality_rules(spark):
     assert quality_rules.judged(d.limit(0)).count() == 0 and quality_rules.passing(d.limit(0)).count() == 0
 
 
+def test_quality_order_is_stable(spark, docs):
+    """Five runs, dealt over other partitions, give one order of the seven rules, that of rejection per work."""
+    orders = [[r.name for r in quality_rules.cascade(docs.repartition(k))] for k in (1, 2, 3, 5, 8)]
+    assert len(orders[0]) == 7 and orders == [orders[0]] * 5
+    assert orders[0].index("exclamations") < orders[0].index("word_length")
+    reject = [quality_rules.Rule(n, "length(text) >= 0", u) for n, u in (("c", ()), ("b", ("n_symbols",)), ("a", ("n_repeat_words",)))]
+    assert [r.name for r in quality_rules.cascade(docs, tuple(reject[::-1]))] == ["c", "b", "a"]
+
+
 def test_quality_cascade(spark, docs):
     """Verdicts don't depend on the order, a rejected text costs no later rule, and a dear rule comes late."""
     want = sorted(r.doc_id for r in quality_rules.judged(docs).filter("kept").collect())
