@@ -98,14 +98,17 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(sum(size) AS BIGINT) AS formatted_chars
 FROM n GROUP BY conv_id
 """
+_METHOD = " OR ".join(f"regexp_matches(subject, '{pattern}')" for _, pattern, _ in url_filter.method_rules())
 _OP10 = rf"""
 WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-                  regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path, row_number() OVER () AS k FROM pages),
+                  regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
+                  regexp_extract(substr(coalesce(url, ''), strpos(coalesce(url, ''), '://') + 3), '^[^?#]*\?([^#]*)', 1, 's') AS query,
+                  CASE WHEN contains(url, '://') THEN host || path || CASE WHEN query <> '' THEN '?' ELSE '' END || query ELSE '' END AS subject, row_number() OVER () AS k FROM pages),
      rules(verdict, host, path) AS (VALUES {', '.join(str(r) for r in url_filter.RULES)}),
      fits AS (SELECT k, max_by(struct_pack(verdict := r.verdict, rule := r.host || r.path), length(r.host || r.path)) AS best FROM p JOIN rules r
               ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY k)
 SELECT page_id, host, path, best.rule AS rule,
-       CASE WHEN best IS NOT NULL THEN best.verdict WHEN regexp_matches(host, '(^|[^a-z0-9])({'|'.join(url_filter.HOST_WORDS)})([^a-z0-9]|$)') OR regexp_matches(host || path, '/({'|'.join(w.replace('.', chr(92) + '.') for w in url_filter.FOLDERS)})(/|$)') THEN 'block' ELSE 'allow' END AS verdict
+       CASE WHEN best IS NOT NULL THEN best.verdict WHEN {_METHOD} THEN 'block' ELSE 'allow' END AS verdict
 FROM p LEFT JOIN fits USING (k)
 """
 ORACLES = {"op4_quality_rules": _OP4, "op8_chat_format": _OP8, "op10_url_filter": _OP10}

@@ -1,6 +1,6 @@
 """URL filters: pattern rules found by their rarest literal token (DataFrame functions only).
 
-A rule is a regular expression over host and path with its literal text. `rule_index` splits
+A rule is a regular expression over host, path and query with its literal text. `rule_index` splits
 that text into tokens, counts in how many URLs each of them occurs, and files the rule under the
 rarest. Only tokens that the literal bounds on both sides count: the literal `shop/pro` has the
 token `shop` after a bound, but `pro` may go on in a URL (`products`). A rule without such a
@@ -30,18 +30,37 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: The method's own rules where none of the contract's fits: a token of the host, or a folder of the path.
+#: The method's own rules where none of the contract's fits: a token of the host, a folder of the path, or a
+#: pattern of several tokens with texts that all its matches hold.
 HOST_WORDS = (
     "casino", "poker", "betting", "jackpot", "escort", "porn", "porno", "xxx", "adult", "camgirls", "pills", "viagra", "cialis",
     "pharmacy", "spam", "warez", "torrent", "torrents", "keygen", "doubleclick", "adserver", "clickbait", "replica", "payday",
 )
 FOLDERS = ("cgi-bin", "wp-admin", "wp-login.php", "adserver", "ads", "doorway", "redirect", "xmlrpc.php")
+PATTERNS = {
+    "numbered mirror": (r"^(?:[^/?]*[.-])?mirror-[0-9]+\.", " mirror-"),
+    "calendar day": (r"/calendar/[0-9]{4}/[0-9]{1,2}(?:[/?]|$)", "/calendar/"),
+    "month of events": (r"/events/[0-9]{4}-[0-9]{2}", "/events/"),
+    "calendar by query": (r"\?(?:.*&)?(?:year=[0-9]+&month=|month=[0-9]+&year=)", "&month=&year="),
+    "session in path": (r"(?i);jsessionid=[0-9a-f]{16}", ";jsessionid="),
+    "session in query": (r"(?i)[?&]phpsessid=[0-9a-z]{8}", "?phpsessid="),
+    "campaign": (r"[?&]utm_source=[^&]*&(?:.*&)?utm_(?:medium|campaign)=", "?utm_source="),
+    "page by referrer": (r"[?&]page=[0-9]+&(?:.*&)?ref=", "?page=&ref="),
+    "deep page": (r"[?&]page=[0-9]{3}", "?page="),
+    "page of a tag": (r"/tag/[^/?]+/page/[0-9]+(?:[/?]|$)", "/tag/ /page/"),
+    "sorted listing": (r"[?&]sort=[a-z_]+&(?:.*&)?order=(?:asc|desc)", "?sort=&order="),
+    "print view": (r"[?&]print=(?:1|true|yes)(?:&|$)", "?print="),
+    "affiliate": (r"[?&]affid=[0-9a-z]+", "?affid="),
+    "click through": (r"(?i)[?&]url=https?(?::|%3a)", "?url="),
+    "plugin file": (r"/wp-content/plugins/[^/?]+/", "/wp-content/plugins/"),
+    "reply form": (r"[?&]replytocom=[0-9]+", "?replytocom="),
+}
 BROADCAST_BYTES = 8_000_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TOKEN, _BOUND = "[^a-z0-9]+", "[^a-z0-9]"
-#: Patterns over host + path; `{}` is a quoted word.
-HOST_PATTERN = r"^(?:[^/]*[^a-z0-9/])?{}(?:[^a-z0-9/][^/]*)?(?:/|$)"
-FOLDER_PATTERN = r"^[^/]*(?:/[^/]*)*?/{}(?:/|$)"
+#: Patterns over host, path and, where there is a query, ? and query; `{}` is a quoted word.
+HOST_PATTERN = r"^(?:[^/?]*[^a-z0-9/?])?{}(?:[^a-z0-9/?][^/?]*)?(?:[/?]|$)"
+FOLDER_PATTERN = r"^[^?]*/{}(?:[/?]|$)"
 
 
 def host_of(url: Column) -> Column:
@@ -52,18 +71,24 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def query_of(url: Column) -> Column:
+    after = F.substring_index(url, "://", 1)
+    return F.regexp_extract(F.substr(url, F.length(after) + 4), r"(?s)^[^?#]*\?([^#]*)", 1)
+
+
 def method_rules() -> list[tuple[str, str, str]]:
     """(rule, pattern, literal) of the method's own rules, all of which block."""
     quoted = lambda w: w.replace(".", r"\.")
-    return [(f"*{w}*", HOST_PATTERN.format(quoted(w)), f" {w} ") for w in HOST_WORDS] + [(f"*/{w}/", FOLDER_PATTERN.format(quoted(w)), f"/{w}/") for w in FOLDERS]
+    words = [(f"*{w}*", HOST_PATTERN.format(quoted(w)), f" {w} ") for w in HOST_WORDS] + [(f"*/{w}/", FOLDER_PATTERN.format(quoted(w)), f"/{w}/") for w in FOLDERS]
+    return words + [(name, pattern, literal) for name, (pattern, literal) in PATTERNS.items()]
 
 
 def contract_rules(spark: SparkSession) -> DataFrame:
-    """The contract's rules and the method's as patterns over host and path, with their literal text.
+    """The contract's rules and the method's as patterns over host, path and query, with their literal text.
 
     The blank before a host and after it stands for the bounds of its labels.
     """
-    rows = [(v, f"{h}{p}", rf"^(?:[^/]*\.)?\Q{h}{p}\E", len(h) + len(p), f" {h} {p}", True) for v, h, p in RULES]
+    rows = [(v, f"{h}{p}", rf"^(?:[^/?]*\.)?\Q{h}{p}\E", len(h) + len(p), f" {h} {p}", True) for v, h, p in RULES]
     rows += [("block", rule, pattern, 0, literal, False) for rule, pattern, literal in method_rules()]
     names = ("verdict", "rule", "pattern", "size", "literal", "listed")
     return spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(names, r, strict=True))) for r in rows))))
@@ -101,7 +126,7 @@ def judged(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     rules = contract_rules(pages.sparkSession) if rules is None else rules
     d = pages.select("page_id", F.col("url").alias("_url"))
     urls = d.select("_url").filter(F.col("_url").contains("://")).distinct()
-    urls = urls.select("_url", F.concat(host_of(F.col("_url")), path_of(F.col("_url"))).alias("subject"))
+    urls = urls.select("_url", F.concat(host_of(F.col("_url")), path_of(F.col("_url")), F.regexp_replace(query_of(F.col("_url")), "(?s)^(?=.)", "?")).alias("subject"))
     urls = urls.withColumn("tokens", _tokens(F.col("subject")))
     index = rule_index(rules, urls)
     every = F.array_append("tokens", F.lit("")) if not index.filter("token = ''").isEmpty() else F.col("tokens")

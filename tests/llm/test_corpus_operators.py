@@ -189,6 +189,32 @@ def test_urls(spark):
     assert sum(r.page_id == 1 for r in url_filter.judged(spark.createDataFrame([(1, "http://a.org/ads/"), (1, "http://a.org/ads/"), (2, None)], "page_id long, url string")).filter("verdict = 'block'").collect()) == 2
 
 
+def test_url_patterns(spark):
+    """Every pattern of the table blocks its example and leaves its neighbour."""
+    cases = {
+        "numbered mirror": ("http://mirror-12.a.org/x", "http://mirror.a.org/x"),
+        "calendar day": ("http://a.org/calendar/2024/5/", "http://a.org/calendar/help"),
+        "month of events": ("http://a.org/events/2024-05", "http://a.org/events/fair"),
+        "calendar by query": ("http://a.org/c?year=2024&month=5", "http://a.org/c?year=2024"),
+        "session in path": ("http://a.org/x;jsessionid=0123456789ABCDEF", "http://a.org/jsessionid"),
+        "session in query": ("http://a.org/x?a=1&PHPSESSID=abcdef12", "http://a.org/x?sessions=abcdef12"),
+        "campaign": ("http://a.org/x?utm_source=f&utm_medium=m#z", "http://a.org/x?utm_source=feed"),
+        "page by referrer": ("http://a.org/x?page=2&ref=x", "http://a.org/x?page=2#?page=2&ref=x"),
+        "deep page": ("http://a.org/x?page=100", "http://a.org/x?page=99"),
+        "page of a tag": ("http://a.org/tag/b/page/3", "http://a.org/tag/b"),
+        "sorted listing": ("http://a.org/x?sort=price&order=asc", "http://a.org/x?sort=price"),
+        "print view": ("http://a.org/x?print=1", "http://a.org/x?print=house"),
+        "affiliate": ("http://a.org/x?affid=9", "http://a.org/x?id=9"),
+        "click through": ("http://a.org/x?url=http%3A%2F%2Fb", "http://a.org/x?url=b"),
+        "plugin file": ("http://a.org/wp-content/plugins/p/x.css", "http://a.org/wp-content/x.css"),
+        "reply form": ("http://a.org/x?replytocom=7", "http://a.org/x?comment=7"),
+    }
+    assert set(cases) == set(url_filter.PATTERNS)
+    urls = [u for pair in cases.values() for u in pair] + ["http://a.org?x", "x://?utm_source=a&utm_medium=b"]
+    got = {r.page_id: r.verdict for r in url_filter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert [got[i] for i in range(len(urls))] == ["block", "allow"] * len(cases) + ["allow", "block"]
+
+
 def test_url_rules_need_no_whole_token(spark):
     """Any rule equals its own pattern run over every URL."""
     rules = [("x.com/pro", r"^x\.com/pro", "x.com/pro"), ("é", "é", "/é/"), ("shop", r"/shop/[a-z]+s$", "/shop/"), ("a.b", r"^a\.b", "a.b"), ("end", r"end$", "end"), ("(x|y)-z", r"[xy]-z-", "-z-")]
