@@ -179,6 +179,30 @@ def diversification(cov: DataFrame, weights: DataFrame) -> DataFrame:
     return one.select(ratio0(F.col("own"), F.col("sd")).alias("diversification_ratio"), ratio0(F.lit(1.0), F.col("hhi")).alias("effective_positions"))
 
 
+def covariance_summary(cov: DataFrame, weights: DataFrame) -> DataFrame:
+    """One row on a covariance matrix under weights.
+
+    listing_count, pair_count, average_covariance and average_correlation over pairs (the latter over
+    those of two positive variances), volatility, diversification_ratio, effective_bets (1 over the
+    squared shares of risk) and largest_risk_share; null without pairs or risk.
+    """
+    d = weighted(cov, weights)
+    each = d.groupBy("left", "wl").agg(F.sum(F.col("wr") * F.col("covariance")).alias("m"), F.max(F.when(F.col("left") == F.col("right"), F.col("covariance"))).alias("own"))
+    risk, total = F.col("wl") * F.col("m"), F.expr("IF(total > 0, total, NULL)")
+    one = each.agg(
+        F.count("*").alias("listing_count"), F.sum(risk).alias("total"), F.sum(risk * risk).alias("squares"), F.max(risk).alias("largest"),
+        F.sum(F.col("wl") * F.sqrt(F.greatest(F.lit(0.0), "own"))).alias("weighted"),
+    )
+    own = each.filter("own > 0").select(F.col("left").alias("listing"), "own")
+    both = d.filter(F.col("left") < F.col("right")).join(own.select(F.col("listing").alias("left"), F.col("own").alias("a")), "left", "left")
+    both = both.join(own.select(F.col("listing").alias("right"), F.col("own").alias("b")), "right", "left")
+    pairs = both.agg(F.count("*").alias("pair_count"), F.avg("covariance").alias("average_covariance"), F.avg(F.col("covariance") / F.sqrt(F.col("a") * F.col("b"))).alias("average_correlation"))
+    return one.join(F.broadcast(pairs)).select(  # one row each
+        "listing_count", "pair_count", "average_covariance", "average_correlation", F.sqrt(F.greatest(F.lit(0.0), "total")).alias("volatility"),
+        (F.col("weighted") / F.sqrt(total)).alias("diversification_ratio"), (total * total / F.col("squares")).alias("effective_bets"), (F.col("largest") / total).alias("largest_risk_share"),
+    )
+
+
 def inverse_volatility(cov: DataFrame) -> DataFrame:
     d = cov.filter("left = right").select(F.col("left").alias("listing"), ratio0(F.lit(1.0), F.sqrt("covariance")).alias("i"))
     return d.select("listing", (F.col("i") / F.sum("i").over(Window.partitionBy())).alias("weight"))
@@ -261,6 +285,22 @@ def worst_window(r: DataFrame, length: int) -> DataFrame:
     return d.agg(F.min(F.struct(F.round("c", 9).alias("c"), "date")).alias("b")).filter("b IS NOT NULL").select(F.col("b.date").alias("start"), F.col("b.c").alias("compounded"))
 
 
+def stress_windows(r: DataFrame, length: int, confidence: float = 0.95) -> DataFrame:
+    """The worst `length` dates in a row of every portfolio, replayed by themselves.
+
+    r: portfolio, date, r. Returns portfolio, start, until, compounded, max_drawdown (wealth starts anew
+    at 1), value_at_risk, cvar and tail_count of the window; a portfolio of fewer dates has no row,
+    of equal windows the earliest counts.
+    """
+    span = Window.partitionBy("portfolio").orderBy("date").rowsBetween(0, length - 1)
+    d = r.withColumns({"c": product(1 + F.col("r"), span) - 1, "k": F.count("*").over(span), "until": F.max("date").over(span)}).filter(F.col("k") == length)
+    worst = d.groupBy("portfolio").agg(F.min(F.struct(F.round("c", 9).alias("c"), F.col("date").alias("start"), "until")).alias("b")).select("portfolio", "b.*")
+    inside = r.join(worst, "portfolio").filter("date BETWEEN start AND until").select("portfolio", "date", "r")
+    fall = drawdowns(inside).groupBy("portfolio").agg(F.min("drawdown").alias("max_drawdown"))
+    tail = _tail(inside.select("portfolio", "date", (-F.col("r")).alias("loss")), ["portfolio"], confidence)
+    return worst.withColumnRenamed("c", "compounded").join(fall, "portfolio").join(tail, "portfolio")
+
+
 def distribution_cut(m: DataFrame, listings: list[str], cut: float) -> DataFrame:
     return m.withColumn("simple", F.when(F.col("listing").isin(listings), F.col("simple") * (1 + cut)).otherwise(F.col("simple")))
 

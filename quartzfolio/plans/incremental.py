@@ -282,3 +282,38 @@ _METRICS = [c.split()[0] for c in pairs.STATISTICS.split(", ") if c.endswith("do
 def pair_summary(spark, d):
     stats = rounded(blocks.statistics(q._rets("nation", spark, d), listings=q._nations(spark, d)), 9).checkpoint()
     return pairs.summary(stats, _METRICS)
+
+
+# ---------------------------------------------------------------- stress windows, matrix diagnostics
+#: Two portfolios: equal weights, and weights that rise with the listing's place.
+_TWO = f"""{q._MATRIX}, nm AS (SELECT listing, row_number() OVER (ORDER BY listing) AS k FROM (SELECT DISTINCT listing FROM m)),
+  w AS (SELECT 'equal' AS portfolio, listing, 1.0::DOUBLE / count(*) OVER () AS weight FROM nm UNION ALL SELECT 'rising', listing, k::DOUBLE / sum(k) OVER () FROM nm),
+  p AS (SELECT portfolio, date, sum(weight * simple) AS r FROM m JOIN w USING (listing) GROUP BY ALL)"""
+
+
+@query(f"""{_TWO},
+  x AS (SELECT portfolio, date, round(product(1 + r) OVER s - 1, 9) AS c, count(*) OVER s AS k, max(date) OVER s AS til FROM p WINDOW s AS (PARTITION BY portfolio ORDER BY date ROWS BETWEEN CURRENT ROW AND 20 FOLLOWING)),
+  b AS (SELECT * FROM x WHERE k = 21 QUALIFY row_number() OVER (PARTITION BY portfolio ORDER BY c, date) = 1),
+  i AS (SELECT p.*, product(1 + r) OVER (PARTITION BY p.portfolio ORDER BY p.date) AS wealth, row_number() OVER (PARTITION BY p.portfolio ORDER BY -r, p.date) - 1 AS pos
+        FROM p JOIN b ON p.portfolio = b.portfolio AND p.date BETWEEN b.date AND b.til),
+  f AS (SELECT *, wealth / greatest(1, max(wealth) OVER (PARTITION BY portfolio ORDER BY date)) - 1 AS dd, max(CASE WHEN pos = 19 THEN -r END) OVER (PARTITION BY portfolio) AS vr FROM i),
+  t AS (SELECT portfolio, min(dd) AS dd, max(vr) AS vr, avg(-r) FILTER (-r >= vr) AS cv, count(*) FILTER (-r >= vr) AS n FROM f GROUP BY portfolio)
+  SELECT portfolio, b.date AS start, til AS until, {_z('c')} AS compounded, {_z('dd')} AS max_drawdown, {_z('vr')} AS value_at_risk, {_z('cv')} AS cvar, n AS tail_count FROM b JOIN t USING (portfolio)""")
+def stress_windows(spark, d):
+    """The worst 21 dates of two portfolios; the loss at place floor(21 * 0.95) = 19 is the value at risk."""
+    m = q._matrix(spark, d)
+    names = m.select("listing").distinct().withColumn("k", F.row_number().over(pair_store.Window.partitionBy().orderBy("listing")))  # five regions
+    weights = names.join(F.broadcast(names.agg(F.count("*").alias("n"), F.sum("k").alias("s"))))  # one row
+    weights = weights.select("listing", F.expr("inline(array(struct('equal' AS portfolio, 1D / n AS weight), struct('rising' AS portfolio, k / CAST(s AS DOUBLE) AS weight)))"))
+    r = m.join(weights, "listing").groupBy("portfolio", "date").agg(F.sum(F.col("weight") * F.col("simple")).alias("r"))
+    return portfolio.stress_windows(r, 21)
+
+
+@query(f"""{q._W}, e AS (SELECT l, a.weight AS w, sum(c * b.weight) AS m, max(CASE WHEN l = r THEN c END) AS own FROM cv JOIN w a ON l = a.listing JOIN w b ON r = b.listing GROUP BY l, a.weight),
+  o AS (SELECT count(*) AS n, sum(w * m) AS t, sum(w * m * w * m) AS q, max(w * m) AS g, sum(w * sqrt(greatest(0, own))) AS wv FROM e),
+  k AS (SELECT count(*) AS n, avg(c) AS ac, avg(CASE WHEN x.own > 0 AND y.own > 0 THEN c / sqrt(x.own * y.own) END) AS ar FROM cv JOIN e x ON x.l = cv.l JOIN e y ON y.l = cv.r WHERE cv.l < cv.r)
+  SELECT o.n AS listing_count, k.n AS pair_count, {_z('ac', 9)} AS average_covariance, {_z('ar', 9)} AS average_correlation, {_z('sqrt(t)', 9)} AS volatility, {_z('wv / sqrt(t)', 9)} AS diversification_ratio,
+         {_z('t * t / q', 9)} AS effective_bets, {_z('g / t', 9)} AS largest_risk_share FROM o, k""", 9)
+def covariance_summary(spark, d):
+    m = q._matrix(spark, d)
+    return portfolio.covariance_summary(portfolio.covariance(m), portfolio.equal_weights(m))

@@ -288,3 +288,23 @@ def test_equal_orders_are_decided_by_the_row(spark):
     schema = "isin string, exchange string, code string, date date, open double, high double, low double, close double, adjusted_close double, volume long, currency string, seq long"
     for order in (rows, rows[::-1]):
         assert [r.close for r in ingest.normalized_quotes(spark.createDataFrame(order, schema), "seq").collect()] == [3.0]
+
+
+def test_stress_windows_of_two_portfolios(spark):
+    rows = [(p, datetime.date(2024, 1, 1 + k), x) for p, xs in (("a", (0.1, -0.2, -0.1, 0.05, -0.3)), ("b", (-0.5, 0.0, 0.1, 0.1, 0.1)), ("few", (0.1, -0.9))) for k, x in enumerate(xs)]
+    d = spark.createDataFrame(rows, "portfolio string, date date, r double")
+    got = {r.portfolio: r for r in portfolio.stress_windows(d, 3).collect()}
+    assert set(got) == {"a", "b"} and got["a"].start == datetime.date(2024, 1, 3) and got["a"].until == datetime.date(2024, 1, 5)
+    assert abs(got["a"].compounded - (0.9 * 1.05 * 0.7 - 1)) < 1e-9 and abs(got["a"].max_drawdown - (0.9 * 1.05 * 0.7 - 1)) < 1e-9
+    assert got["b"].start == datetime.date(2024, 1, 1) and abs(got["b"].max_drawdown + 0.5) < 1e-9 and abs(got["b"].value_at_risk - 0.5) < 1e-9 and got["b"].tail_count == 1
+    assert portfolio.stress_windows(d.limit(0), 3).count() == 0
+
+
+def test_covariance_summary(spark):
+    cov = spark.createDataFrame([("x", "x", 0.04), ("x", "y", 0.0), ("y", "x", 0.0), ("y", "y", 0.04)], "left string, right string, covariance double")
+    weights = spark.createDataFrame([("x", 0.5), ("y", 0.5)], "listing string, weight double")
+    r = portfolio.covariance_summary(cov, weights).first()
+    assert (r.listing_count, r.pair_count, r.average_covariance, r.average_correlation) == (2, 1, 0.0, 0.0)
+    assert abs(r.volatility - 0.02**0.5) < 1e-12 and abs(r.diversification_ratio - 2**0.5) < 1e-12 and abs(r.effective_bets - 2) < 1e-12 and abs(r.largest_risk_share - 0.5) < 1e-12
+    none = portfolio.covariance_summary(cov.withColumn("covariance", F.lit(0.0)), weights).first()
+    assert none.volatility == 0 and none.average_correlation is None and none.effective_bets is None
