@@ -132,11 +132,11 @@ def _blocks(ks: str) -> str:
 
 def rows(docs: DataFrame, seed: int = 0) -> DataFrame:
     """row, the columns of docs as a struct with repeated chunks cut from its text, and n_lines, n_removed_lines, n_removed_chunks."""
-    whole = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct("*").alias("_row"))
-    whole = whole.withColumns({"_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_k": F.xxhash64("doc_id", "text")})
+    named = [F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").cast("string").alias("text")]
+    whole = docs.select(F.struct("*").alias("_row")).select("_row", *named).withColumns({"_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_k": F.xxhash64("doc_id", "text")})
     scratch = Scratch(docs.sparkSession)
     hits = _hits(whole.select("doc_id", "text"), seed, scratch)
-    marked = written(whole.join(hits, F.expr("_i = _hid AND _k = _hkey"), "left").select("doc_id", "text", "_row", "hits"), "line_dedup")
+    marked = written(whole.drop("doc_id", "text").join(hits, F.expr("_i = _hid AND _k = _hkey"), "left").select("_row", "hits"), "line_dedup").select(*named, "_row", "hits")
     scratch.drop()
     if _collide(marked, seed):
         return rows(docs, seed + 1)
