@@ -13,7 +13,7 @@ The merge table holds every split of a token into two tokens; its rank is the to
 Vocabulary and pattern are parameters: a path that executors can read, never copied.
 
 Memory is bounded by `BATCH_CHARS` of text, `PIECES` distinct pieces per query and `CACHE` pieces
-that a Python worker remembers. A task that is lost is run again from its input rows.
+that a Python worker remembers; what a lot leaves free goes back to the system. A task that is lost is run again from its input rows.
 
 Edge cases: a null or empty text has no tokens; control and special strings are ordinary text;
 equal rows are encoded each; a null doc_id stays null; an empty table gives no rows; a piece of
@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import Memo, batches
+from .pieces import Memo, batches, give_back
 
 BATCH_CHARS, PIECES, CACHE, STEPS, SHORT = 600_000, 12_500, 1_500_000, 64, 256
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -170,6 +170,7 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for ids, texts in batches(frames, BATCH_CHARS):
             codes, decoded = memo(texts)
             yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_tokens": list(map(len, codes)), "ids_sha256": [hashlib.sha256(c.tobytes()).hexdigest() for c in codes], "decoded_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in decoded]})
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, SCHEMA)
 
@@ -181,5 +182,6 @@ def tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         memo = _memo(path, pattern)
         for ids, texts in batches(frames, BATCH_CHARS):
             yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "ids": [c.astype(np.int32) for c in memo(texts)[0]]})
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, ids array<int>")

@@ -9,6 +9,7 @@ and compared with the piece that is remembered under it; one that differs gets a
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -189,6 +190,16 @@ class Memo:
         return out
 
 
+def give_back() -> None:
+    """Hands memory that a lot has left free in Arrow's pool and in the C library's heap back to the system, where it can."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def batches(frames: Iterator[pd.DataFrame], chars: int) -> Iterator[tuple[list, list[str]]]:
     """doc_ids and texts in lots of about `chars`."""
     ids: list = []
