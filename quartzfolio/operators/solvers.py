@@ -26,8 +26,8 @@ def project(v: np.ndarray, low: float, high: float) -> np.ndarray:
     return np.clip(v - (a + b) / 2, low, high)
 
 
-def descend(value, slope, n: int, low: float, high: float, steps: int = 3000, tolerance: float = 1e-9) -> np.ndarray:
-    """Projected gradient steps whose length is halved until the value falls."""
+def descent(value, slope, n: int, low: float, high: float, steps: int = 3000, tolerance: float = 1e-9) -> tuple[np.ndarray, bool]:
+    """Projected gradient steps whose length is halved until the value falls; and whether they ended before `steps` of them."""
     w = project(np.full(n, 1 / n), low, high)
     rate, now = 1.0, value(w)
     for _ in range(steps):
@@ -39,18 +39,23 @@ def descend(value, slope, n: int, low: float, high: float, steps: int = 3000, to
                 break
             rate /= 2
         if rate <= 1e-14 or np.abs(new - w).max() < tolerance:
-            break
+            return w, True
         w, now = new, value(new)
-    return w
+    return w, False
 
 
-def min_variance(s: np.ndarray, low: float = 0.0, high: float = 1.0) -> np.ndarray:
+def variance_descent(s: np.ndarray, low: float = 0.0, high: float = 1.0, steps: int = 3000) -> tuple[np.ndarray, bool]:
+    """Least variance, and whether the descent settled."""
     k = 1 / max(np.abs(s).max(), 1e-300)
-    return descend(lambda w: k * (w @ s @ w), lambda w: 2 * k * (s @ w), len(s), low, high)
+    return descent(lambda w: k * (w @ s @ w), lambda w: 2 * k * (s @ w), len(s), low, high, steps)
 
 
-def equal_risk(s: np.ndarray, low: float = 1e-6, high: float = 1.0) -> np.ndarray:
-    """Minimizes the spread of risk shares."""
+def min_variance(s: np.ndarray, low: float = 0.0, high: float = 1.0) -> np.ndarray:
+    return variance_descent(s, low, high)[0]
+
+
+def risk_descent(s: np.ndarray, low: float = 1e-6, high: float = 1.0, steps: int = 3000) -> tuple[np.ndarray, bool]:
+    """Minimizes the spread of risk shares, and says whether the descent settled."""
     n = len(s)
 
     def parts(w):
@@ -62,23 +67,36 @@ def equal_risk(s: np.ndarray, low: float = 1e-6, high: float = 1.0) -> np.ndarra
         m, v, e = parts(w)
         return 2 * ((e * m) / v + s @ (e * w) / v - 2 * m * (e @ (w * m)) / v**2)
 
-    return descend(lambda w: (parts(w)[2] ** 2).sum(), slope, n, low, high)
+    return descent(lambda w: (parts(w)[2] ** 2).sum(), slope, n, low, high, steps)
+
 
+def equal_risk(s: np.ndarray, low: float = 1e-6, high: float = 1.0) -> np.ndarray:
+    return risk_descent(s, low, high)[0]
+
+
+def cvar_descent(r: np.ndarray, confidence: float = 0.95, low: float = 0.0, high: float = 1.0, steps: int = 2000, tolerance: float = 1e-4) -> tuple[np.ndarray, bool]:
+    """Projected subgradient on the mean of the worst losses: the best vector seen.
 
-def min_cvar(r: np.ndarray, confidence: float = 0.95, low: float = 0.0, high: float = 1.0, steps: int = 2000) -> np.ndarray:
-    """Projected subgradient on the mean of the worst losses; the best vector seen."""
+    It has settled where the second half of the steps bettered the mean by at most the tolerance.
+    """
     t, n = r.shape
     tail = max(1, t - min(t - 1, int(confidence * t)))
     w = best = project(np.full(n, 1 / n), low, high)
-    least, scale = np.inf, max(np.abs(r).max(), 1e-300)
+    least, half, scale = np.inf, np.inf, max(np.abs(r).max(), 1e-300)
     for k in range(steps):
+        if k == steps // 2:
+            half = least
         loss = -(r @ w)
         worst = np.argpartition(loss, -tail)[-tail:]
         value = loss[worst].mean()
         if value < least - 1e-15:
             least, best = value, w
         w = project(w + 0.5 / np.sqrt(k + 1) * r[worst].mean(0) / scale, low, high)
-    return best
+    return best, bool(half - least <= tolerance)
+
+
+def min_cvar(r: np.ndarray, confidence: float = 0.95, low: float = 0.0, high: float = 1.0) -> np.ndarray:
+    return cvar_descent(r, confidence, low, high)[0]
 
 
 def linkage(s: np.ndarray) -> list[tuple[int, int, float]]:

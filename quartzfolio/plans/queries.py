@@ -612,4 +612,4 @@ def block_bootstrap(spark, d):
     return solvers.bootstrap(_portfolio(spark, d), 21, 20, 7)
 
 
-from . import incremental, more, third  # noqa: E402, F401  registers the queries of the other parts
+from . import advice, incremental, more, third  # noqa: E402, F401  registers the queries of the other parts
