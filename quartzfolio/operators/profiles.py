@@ -139,8 +139,11 @@ def candidates(m: DataFrame, model: DataFrame, profiles: tuple[Profile, ...] = P
         w = np.median(found, axis=0)
         return rows(names, solvers.project(w / w.sum(), 0.0, p.max_weight), None)
 
-    left = m.select("portfolio", _named(profiles), "date", "listing", "simple").groupBy("portfolio", "profile")
-    right = model.select("portfolio", _named(profiles), "left", "right", "covariance", "shrunk").groupBy("portfolio", "profile")
+    # Partitions by number, which adaptive execution leaves alone: few bytes of a group take long.
+    keys, parts = ["portfolio", "profile"], int(m.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = m.select("portfolio", _named(profiles), "date", "listing", "simple").repartition(parts, *keys).groupBy(*keys)
+    # The key under a name of its own, as model may come from the very rows of m.
+    right = model.select(F.col("portfolio").alias("portfolio"), _named(profiles), "left", "right", "covariance", "shrunk").repartition(parts, *keys).groupBy(*keys)
     found = left.cogroup(right).applyInPandas(run, "portfolio string, profile string, listing string, weight double, reason string")
     return found.withColumn("weight", F.nanvl("weight", F.lit(None).cast("double")))
 
@@ -175,13 +178,14 @@ def reports(found: DataFrame, model: DataFrame, size: DataFrame, current: DataFr
         held = current.select("portfolio", _named(profiles), "listing", F.col("weight").alias("held"))
         moved = weights.select(*keys, "listing", "weight").join(held, [*keys, "listing"], "full").fillna(0.0, ["weight", "held"])
         d = d.join(moved.groupBy(*keys).agg((F.sum(F.abs(F.col("weight") - F.col("held"))) / 2).alias("turnover")), keys, "left")
+    d = d.withColumn("turnover", F.when(F.col("total").isNotNull(), F.col("turnover")))
     broken = (F.abs(F.col("total") - 1) > TOLERANCE).cast("int") + (F.col("least") < -TOLERANCE).cast("int") + (F.col("most") > F.col("max_weight") + TOLERANCE).cast("int")
     d = d.withColumn("violations", F.coalesce(broken, F.lit(0)))
     holds = F.col("total").isNotNull() & (F.col("violations") == 0)
     d = d.withColumn("status", F.when(F.col("blocked").isNotNull(), "blocked").when(holds, "feasible").otherwise("infeasible"))
     against = F.array_compact(F.array(F.when(F.col("status") != "feasible", INFEASIBLE), F.when(F.col("violations") > 0, BROKEN), F.when(F.col("needs_income"), NO_INCOME), F.lit(NO_COST)))
     named = F.concat_ws("-", F.concat(F.lit("profile_"), "profile"), F.substring(F.sha2(F.concat_ws("|", F.lit(VERSION), "portfolio", "objectives", "max_weight", "members"), 256), 1, 24))
-    return d.select("portfolio", "profile", named.alias("candidate_id"), "status", F.coalesce("blocked", "reason", F.lit("")).alias("reason"), "violations", "listings", "dates", "variance", "equal_weight_variance", "inverse_volatility_variance", "concentration", F.when(F.col("total").isNotNull(), F.col("turnover")).alias("turnover"), (F.col("turnover") > F.col("max_turnover")).alias("above_turnover_limit"), "max_drawdown", "max_cvar", "max_turnover", F.concat_ws(",", against).alias("disadvantages"))
+    return d.select("portfolio", "profile", named.alias("candidate_id"), "status", F.coalesce("blocked", "reason", F.lit("")).alias("reason"), "violations", "listings", "dates", "variance", "equal_weight_variance", "inverse_volatility_variance", "concentration", "turnover", (F.col("turnover") > F.col("max_turnover")).alias("above_turnover_limit"), "max_drawdown", "max_cvar", "max_turnover", F.concat_ws(",", against).alias("disadvantages"))
 
 
 def ranked(m: DataFrame, found: DataFrame) -> DataFrame:

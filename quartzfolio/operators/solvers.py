@@ -19,6 +19,8 @@ def project(v: np.ndarray, low: float, high: float) -> np.ndarray:
     a, b = v.min() - high, v.max() - low
     for _ in range(200):
         mid = (a + b) / 2
+        if mid in (a, b):  # neighbouring numbers
+            break
         if np.clip(v - mid, low, high).sum() > 1:
             a = mid
         else:

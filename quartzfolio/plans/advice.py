@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import profiles
 from ..sources import adapters
-from ..sources.tables import checkpointed
+from ..sources.tables import shared_dir
 from . import queries as q
 
 query, _z = q.query, q._z
@@ -31,6 +31,12 @@ _MODEL = f"""{_MONTHS}, m AS (SELECT pf.* FROM pf JOIN dd USING (portfolio, date
   k AS (SELECT portfolio, mu, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce((x - (days - 2) * ss) / (days * days) / n / nullif(delta, 0), 0))) AS k FROM o JOIN dl USING (portfolio) JOIN dq USING (portfolio))"""
 
 
+def _kept(df):
+    """df checkpointed in the shared folder, as several steps read it."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def _rets(spark, d):
     month = q._quoted("nation", spark, d).groupBy("listing", F.trunc("date", "month").alias("date")).agg(F.max_by("px", "date").alias("px")).filter("px > 0")
     before = F.lag("px").over(Window.partitionBy("listing").orderBy("date"))
@@ -41,22 +47,22 @@ def _rets(spark, d):
 
 
 def _models(spark, d):
-    """Aligned rows, sizes and models; written, as several steps read them."""
-    rets = checkpointed(_rets(spark, d))
-    m = checkpointed(profiles.matrices(rets))
-    size = checkpointed(profiles.sizes(rets, m))
+    """Aligned rows, sizes and models."""
+    rets = _kept(_rets(spark, d))
+    m = _kept(profiles.matrices(rets))
+    size = _kept(profiles.sizes(rets, m))
     m = profiles.eligible(m, size)
-    return m, size, checkpointed(profiles.models(m))
+    return m, size, _kept(profiles.models(m))
 
 
 def _advice(spark, d):
     m, size, model = _models(spark, d)
-    return m, size, model, checkpointed(profiles.candidates(m, model))
+    return m, size, model, _kept(profiles.candidates(m, model))
 
 
 @query(f"{_MONTHS} SELECT portfolio, n AS listings, dates, CASE WHEN n > 200 THEN 'too_many_listings' WHEN dates < 3 THEN 'insufficient_history' END AS reason FROM sz")
 def profile_sizes(spark, d):
-    rets = checkpointed(_rets(spark, d))
+    rets = _kept(_rets(spark, d))
     return profiles.sizes(rets, profiles.matrices(rets))
 
 

@@ -92,7 +92,7 @@ def test_reports(spark, parts):
     assert row.concentration == pytest.approx(sum(x * x for x in w.values()))
     assert row.turnover == pytest.approx((abs(w["L0"] - 0.5) + sum(w.values()) - w["L0"] + 0.5) / 2) and row.above_turnover_limit
     assert row.disadvantages == profiles.NO_COST and got["A", "income"].disadvantages == f"{profiles.NO_INCOME},{profiles.NO_COST}"
-    assert got["B", "growth"].variance is None and got["B", "growth"].turnover is None and got["B", "growth"].disadvantages == f"{profiles.INFEASIBLE},{profiles.NO_COST}"
+    assert got["B", "growth"].variance is None and got["B", "growth"].turnover is None and got["B", "growth"].above_turnover_limit is None and got["B", "growth"].disadvantages == f"{profiles.INFEASIBLE},{profiles.NO_COST}"
     bad = spark.createDataFrame([("A", "growth", "L0", 0.7, None), ("A", "growth", "L1", 0.2, None)], found.schema)
     row = next(r for r in profiles.reports(bad, model, size).collect() if (r.portfolio, r.profile) == ("A", "growth"))
     assert (row.status, row.violations, row.turnover) == ("infeasible", 2, None)
