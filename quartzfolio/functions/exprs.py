@@ -17,6 +17,17 @@ def zero(x: Column) -> Column:
     return F.coalesce(x.cast("double"), F.lit(0.0))
 
 
+def nearest(x: Column | str, digits: int) -> Column:
+    """x at so many decimals: its product with a power of ten to the nearest whole number, halves away from 0.
+
+    So do DuckDB and C. Spark's own round goes by the shortest decimal text of x, and so turns up products just below
+    a half. Where the product overflows x stays.
+    """
+    x, scale = F.col(x) if isinstance(x, str) else x, F.lit(10.0**digits)
+    y = F.round(x * scale, 0) / scale
+    return F.when(F.abs(y) == float("inf"), x).otherwise(y)
+
+
 def pearson(x: Column, y: Column) -> Column:
     """Correlation from moments; 0 for a constant side or fewer than two rows."""
     return ratio0(F.covar_samp(x, y), F.sqrt(F.var_samp(x) * F.var_samp(y)))
@@ -86,4 +97,4 @@ def hash_bucket(text: Column, n: int) -> Column:
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded for output, -0.0 as 0.0."""
-    return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*((nearest(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))

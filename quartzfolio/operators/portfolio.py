@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import TRADING_DAYS, product, ratio0, running, zero
+from ..functions.exprs import TRADING_DAYS, nearest, product, ratio0, running, zero
 from .pairs import aligned
 
 ROOT = TRADING_DAYS**0.5
@@ -267,14 +267,14 @@ def best(scores: DataFrame, objective: str, risk_free: float = 0.0, keys: tuple[
         "risk_parity": F.col("spread"),
         "max_return": -F.col("expected"),
     }[objective]
-    value = F.round(value, 9 if objective == "risk_parity" else 12)
+    value = nearest(value, 9 if objective == "risk_parity" else 12)
     return scores.withColumn("value", value).groupBy(*keys).agg(F.min(F.struct("value", "candidate", "variance", "expected")).alias("b")).select(*keys, F.array_join("b.candidate", ",").alias("weights"), "b.variance", "b.expected")
 
 
 def frontier(scores: DataFrame, targets: list[float]) -> DataFrame:
     """For each target the least variance that reaches it; a target out of reach has no weights."""
     t = scores.sparkSession.createDataFrame([(float(x),) for x in targets], "target double")
-    found = scores.join(F.broadcast(t), F.round("expected", 12) >= F.col("target")).groupBy("target").agg(F.min(F.struct(F.round("variance", 12).alias("v"), "candidate")).alias("b"))
+    found = scores.join(F.broadcast(t), nearest("expected", 12) >= F.col("target")).groupBy("target").agg(F.min(F.struct(nearest("variance", 12).alias("v"), "candidate")).alias("b"))
     return t.join(found, "target", "left").select("target", F.coalesce("b.v", F.lit(0.0)).alias("variance"), F.coalesce(F.array_join("b.candidate", ","), F.lit("")).alias("weights"))
 
 
@@ -282,7 +282,7 @@ def worst_window(r: DataFrame, length: int) -> DataFrame:
     """start, compounded: the worst `length` dates in a row, the earliest of equals."""
     w = Window.partitionBy().orderBy("date")
     d = r.withColumns({"c": product(1 + F.col("r"), w.rowsBetween(0, length - 1)) - 1, "k": F.count("*").over(w.rowsBetween(0, length - 1))}).filter(F.col("k") == length)
-    return d.agg(F.min(F.struct(F.round("c", 9).alias("c"), "date")).alias("b")).filter("b IS NOT NULL").select(F.col("b.date").alias("start"), F.col("b.c").alias("compounded"))
+    return d.agg(F.min(F.struct(nearest("c", 9).alias("c"), "date")).alias("b")).filter("b IS NOT NULL").select(F.col("b.date").alias("start"), F.col("b.c").alias("compounded"))
 
 
 def stress_windows(r: DataFrame, length: int, confidence: float = 0.95) -> DataFrame:
@@ -294,7 +294,7 @@ def stress_windows(r: DataFrame, length: int, confidence: float = 0.95) -> DataF
     """
     span = Window.partitionBy("portfolio").orderBy("date").rowsBetween(0, length - 1)
     d = r.withColumns({"c": product(1 + F.col("r"), span) - 1, "k": F.count("*").over(span), "until": F.max("date").over(span)}).filter(F.col("k") == length)
-    worst = d.groupBy("portfolio").agg(F.min(F.struct(F.round("c", 9).alias("c"), F.col("date").alias("start"), "until")).alias("b")).select("portfolio", "b.*")
+    worst = d.groupBy("portfolio").agg(F.min(F.struct(nearest("c", 9).alias("c"), F.col("date").alias("start"), "until")).alias("b")).select("portfolio", "b.*")
     inside = r.join(worst, "portfolio").filter("date BETWEEN start AND until").select("portfolio", "date", "r")
     fall = drawdowns(inside).groupBy("portfolio").agg(F.min("drawdown").alias("max_drawdown"))
     tail = _tail(inside.select("portfolio", "date", (-F.col("r")).alias("loss")), ["portfolio"], confidence)

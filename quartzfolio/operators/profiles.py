@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import ratio0
+from ..functions.exprs import nearest, ratio0
 from . import solvers
 
 VERSION = 1
@@ -191,7 +191,7 @@ def reports(found: DataFrame, model: DataFrame, size: DataFrame, current: DataFr
 def ranked(m: DataFrame, found: DataFrame) -> DataFrame:
     """portfolio, profile, rank by the compounded return of a profile's weights over the portfolio's dates; ties share a rank."""
     daily = m.join(found.filter("weight IS NOT NULL"), ["portfolio", "listing"]).groupBy("portfolio", "profile", "date").agg(F.sum(F.col("weight") * F.col("simple")).alias("r"))
-    total = daily.groupBy("portfolio", "profile").agg(F.round(F.sum(F.log1p("r")), 9).alias("total"))
+    total = daily.groupBy("portfolio", "profile").agg(nearest(F.sum(F.log1p("r")), 9).alias("total"))
     return total.select("portfolio", "profile", F.rank().over(Window.partitionBy("portfolio").orderBy(F.desc_nulls_last("total"))).alias("rank"))
 
 

@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import TRADING_DAYS, product, ratio0, zero
+from ..functions.exprs import TRADING_DAYS, nearest, product, ratio0, zero
 from . import portfolio
 
 
@@ -92,7 +92,7 @@ def scorecard(m: DataFrame, candidates: list[Candidate], train: int, test: int,
     stitched = portfolio.drawdowns(runs.select(F.col("name").alias("portfolio"), F.col("split").alias("date"), F.col("post_cost_return").alias("r")))
     stitched = stitched.groupBy(F.col("portfolio").alias("name")).agg(F.min("drawdown").alias("max_drawdown"), F.max("recovery_duration").alias("recovery_splits"))
     scored = figures.join(tail, "name").join(stitched, "name").join(concentration(weights), "name")
-    scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.round("median_sharpe", 9).desc(), "name")))
+    scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(nearest("median_sharpe", 9).desc(), "name")))
     every = m.sparkSession.createDataFrame([(c.name, c.objective) for c in candidates], "name string, objective string")
     done = F.col("completed_splits").isNotNull()
     d = every.join(scored, "name", "left").withColumn("status", F.when(done, "scored").otherwise("blocked"))

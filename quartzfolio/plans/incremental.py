@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import rounded
+from ..functions.exprs import nearest, rounded
 from ..operators import blocks, constraints, identity, ingest, pairs, portfolio, series
 from ..sources import adapters, pair_store, resume, segments
 from ..sources.tables import shared_path
@@ -79,7 +79,7 @@ def pair_store_update(spark, d):
     rets = q._rets("nation", spark, d)
     store.update(rets)
     report = store.update(_changed(rets))
-    total = store.rows().groupBy("bucket").agg(F.sum(F.round(F.coalesce("pearson", F.lit(0.0)), 6)).alias("total"))
+    total = store.rows().groupBy("bucket").agg(F.sum(nearest(F.coalesce("pearson", F.lit(0.0)), 6)).alias("total"))
     return report.join(total, "bucket", "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
 
 
@@ -102,7 +102,7 @@ def edge_store(spark, d):
     for least in (0.02, 0.06):
         pair_store.write_edges(pairs.edges(m, least=least), numbers, path, "1", "pearson", BUCKETS)
     rows = pair_store.read_rows(spark, path, "left string, right string, pearson double, version string, metric string, bucket int")
-    return rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.round("pearson", 6)).alias("total"))
+    return rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(nearest("pearson", 6)).alias("total"))
 
 
 # ---------------------------------------------------------------- resumed work, deltas, segments
@@ -151,7 +151,7 @@ def segment_publish(spark, d):
 # ---------------------------------------------------------------- raw answers by listing and year
 def _answers(spark, d, run: str, factor: float, where: str) -> DataFrame:
     """A customer's orders as one JSON answer; every eleventh is cut off, every thirteenth has a date that is none."""
-    o = adapters.read(spark, d, "orders").filter(where).select(F.col("o_custkey").alias("c"), F.col("o_orderdate").cast("date").alias("date"), (F.round(F.col("o_totalprice") * factor, 2)).alias("value"))
+    o = adapters.read(spark, d, "orders").filter(where).select(F.col("o_custkey").alias("c"), F.col("o_orderdate").cast("date").alias("date"), nearest(F.col("o_totalprice") * factor, 2).alias("value"))
     # One value for a day, as a listing has.
     day = o.groupBy("c", "date").agg(F.max("value").alias("value"))
     row = F.struct(F.when((F.col("c") % 13 == 0) & (F.dayofmonth("date") == 13), "n/a").otherwise(F.col("date").cast("string")).alias("date"), "value")

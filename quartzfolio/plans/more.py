@@ -6,6 +6,7 @@ from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
+from ..functions.exprs import nearest
 from ..operators import pairs, portfolio, selection, series
 from ..sources import adapters
 from . import queries as q
@@ -107,7 +108,7 @@ _BINS = "CAST(least(7, floor({0} / greatest(1, (SELECT max(annual) FROM y)) * 8)
   SELECT {_BINS.format('annual')} AS bin, frequency, count(*) AS n FROM y JOIN f USING (listing) GROUP BY 1, 2""")
 def payout_histogram(spark, d):
     p = adapters.dividends(spark, d)
-    y = series.trailing_payout(p, adapters.customer_quotes(spark, d)).select("listing", F.round("annual_yield", 6).alias("annual"))
+    y = series.trailing_payout(p, adapters.customer_quotes(spark, d)).select("listing", nearest("annual_yield", 6).alias("annual"))
     top = y.agg(F.greatest(F.lit(1.0), F.max("annual")).alias("top"))  # one row
     at = F.least(F.lit(7), F.floor(F.col("annual") / F.col("top") * 8)).cast("int")
     return y.join(F.broadcast(top)).join(series.payout_frequency(p).select("listing", "frequency"), "listing").groupBy(at.alias("bin"), "frequency").agg(F.count("*").alias("n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.exprs import nearest
+
 #: Returns of the aligned matrix are scaled down, so that compounding stays in a sensible range.
 SCALE = 0.01
 EXCHANGES = ("XETRA", "LSE", "PA", "AS", "SW")
@@ -22,19 +24,19 @@ def quotes(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
     daily = lines.groupBy("l_suppkey", "date").agg(F.sum("l_extendedprice").alias("p"), F.sum("l_quantity").alias("n"))
     place = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     named = place.select("s_suppkey", F.expr(LEVELS[level]).alias("listing"))
-    return daily.join(named, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("listing", "date").agg(F.round(F.sum("p") / F.sum("n"), 6).alias("px"))
+    return daily.join(named, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("listing", "date").agg(nearest(F.sum("p") / F.sum("n"), 6).alias("px"))
 
 
 def customer_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """listing (a customer, as in `dividends`), date, px: the average price of what was shipped to them on a day."""
     daily = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_shipdate").cast("date").alias("date")).agg(F.sum("l_extendedprice").alias("p"), F.sum("l_quantity").alias("n"))
     of = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("listing"))
-    return daily.join(of, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("listing", "date").agg(F.round(F.sum("p") / F.sum("n"), 6).alias("px"))
+    return daily.join(of, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("listing", "date").agg(nearest(F.sum("p") / F.sum("n"), 6).alias("px"))
 
 
 def event_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
-    return e.groupBy(F.col("event_type").alias("listing"), F.col("ts").cast("date").alias("date")).agg(F.round(F.avg("value"), 6).alias("px"))
+    return e.groupBy(F.col("event_type").alias("listing"), F.col("ts").cast("date").alias("date")).agg(nearest(F.avg("value"), 6).alias("px"))
 
 
 def dividends(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -204,3 +204,18 @@ def test_pairs_of_one_isin_and_too_many(spark):
     assert {(p.left, p.right) for p in pairs.aligned(r).select("left", "right").distinct().collect()} == {("a", "c"), ("b", "c")}
     with pytest.raises(ValueError):
         pairs.aligned(r, most=2)
+
+
+def test_prices_are_rounded_as_in_sql(spark):
+    """Doubles next to a tie: seven decimals that end with 5, or more decimals than digits."""
+    import duckdb
+
+    from quartzfolio.functions.exprs import nearest, rounded
+
+    values = [(k * 2 + 1) / 320000 * n for n in (1, 3217, 65963) for k in range(3000)] + [2061.3371875, 265.4315625, 1e-9, 0.0, 1e300, float("inf"), None]
+    values += [-v for v in values if v is not None]
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, x double").withColumns({"y": nearest(F.col("x"), 6), "z": nearest(F.col("x"), 12)})
+    con = duckdb.connect()
+    want = con.execute("SELECT round(x, 6), round(x, 12) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [values]).fetchall()
+    assert [(r.y, r.z) for r in d.orderBy("i").collect()] == want
+    assert [r.x for r in rounded(d.select("i", "x")).orderBy("i").collect()] == [v if v is None else v + 0.0 for v, _ in want]
