@@ -24,12 +24,23 @@ def valid(quotes: DataFrame) -> DataFrame:
     return judged(quotes).filter("reason IS NULL").drop("reason")
 
 
+def _with_runs(d: DataFrame, w: Window) -> DataFrame:
+    """place and run: the row's number among those with `ok`, and how many of these with its price it ends.
+
+    ok, px and before (the price of the ok row before) are columns of d. Runs are told by running aggregates of one
+    sort, not grouped, as there are nearly as many runs as rows.
+    """
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("place", F.count_if("ok").over(upto))
+    begins = F.col("ok") & F.coalesce(F.col("px") != F.col("before"), F.lit(True))
+    return d.withColumn("run", F.when(F.col("ok"), F.col("place") + 1 - F.max(F.when(begins, F.col("place"))).over(upto)))
+
+
 def stale_runs(quotes: DataFrame) -> DataFrame:
     """listing, longest_run of equal prices, and whether it is stale."""
     w = Window.partitionBy("listing").orderBy("date")
-    changed = quotes.withColumn("c", F.coalesce((F.col("px") != F.lag("px").over(w)).cast("int"), F.lit(1)))
-    island = changed.withColumn("i", F.sum("c").over(running("listing"))).groupBy("listing", "i").agg(F.count("*").alias("n"))
-    return island.groupBy("listing").agg(F.max("n").alias("longest_run")).withColumn("stale", F.col("longest_run") >= STALE_RUN)
+    d = _with_runs(quotes.withColumns({"ok": F.lit(True), "before": F.lag("px").over(w)}), w)
+    return d.groupBy("listing").agg(F.max("run").alias("longest_run")).withColumn("stale", F.col("longest_run") >= STALE_RUN)
 
 
 def calendar_gaps(quotes: DataFrame, days: int = GAP_DAYS) -> DataFrame:
@@ -159,16 +170,24 @@ def trailing_payout(payouts: DataFrame, quotes: DataFrame) -> DataFrame:
 
 
 def quality_gate(quotes: DataFrame) -> DataFrame:
-    """A row for each listing: counts, the four flags and the first issue in their order, else `ok`."""
-    j = judged(quotes)
-    ok = j.filter("reason IS NULL").select("listing", "date", "px")
-    has = lambda r: F.coalesce(F.bool_or(F.col("reason") == r), F.lit(False))
-    d = j.groupBy("listing").agg(F.count("*").alias("quotes"), F.count("reason").alias("quarantined"), has("non_positive_price").alias("bad"), has("duplicate_date").alias("dup"))
-    w = Window.partitionBy("listing").orderBy("date")
-    steps = ok.withColumn("days", F.datediff("date", F.lag("date").over(w)))
-    g = steps.groupBy("listing").agg((F.count("*") - 1).alias("observations"), F.coalesce(F.bool_or(F.col("days") > GAP_DAYS), F.lit(False)).alias("gap"))
-    d = d.join(stale_runs(ok).select("listing", "stale"), "listing", "left").join(g, "listing", "left")
-    d = d.withColumns({"stale": F.coalesce("stale", F.lit(False)), "gap": F.coalesce("gap", F.lit(False)), "observations": F.coalesce("observations", F.lit(0))})
+    """A row for each listing: counts, the four flags and the first issue in their order, else `ok`.
+
+    One shuffle and one sort by listing, date and seq, which all windows and the aggregate share; reasons are those
+    of `judged`. Rows without a listing are counted, but have no series.
+    """
+    w = Window.partitionBy("listing").orderBy("date", "seq")
+    ahead = w.rowsBetween(Window.unboundedPreceding, -1)
+    again = (F.row_number().over(w) > 1) & F.lag("date").over(w).eqNullSafe(F.col("date"))
+    d = quotes.select("listing", "date", "px", "seq").withColumn("again", again)
+    bad = ~F.col("again") & (F.col("px").isNull() | (F.col("px") <= 0))
+    d = d.withColumn("bad", bad).withColumn("ok", ~F.col("again") & ~F.col("bad") & F.col("listing").isNotNull())
+    last = lambda c: F.last(F.when(F.col("ok"), F.col(c)), ignorenulls=True).over(ahead)
+    d = _with_runs(d.withColumns({"before": last("px"), "day_before": last("date")}), w)
+    far = F.col("ok") & (F.datediff("date", "day_before") > GAP_DAYS)
+    d = d.groupBy("listing").agg(
+        F.count("*").alias("quotes"), F.count_if(F.col("again") | F.col("bad")).alias("quarantined"), F.bool_or("bad").alias("bad"), F.bool_or("again").alias("dup"),
+        F.coalesce(F.max("run") >= STALE_RUN, F.lit(False)).alias("stale"), F.greatest(F.count_if("ok") - 1, F.lit(0)).alias("observations"), F.coalesce(F.bool_or(far), F.lit(False)).alias("gap"),
+    )
     reason = F.when(F.col("bad"), "non_positive_price").when(F.col("dup"), "duplicate_date").when(F.col("stale"), "stale_price").when(F.col("gap"), "unexplained_gap").when(F.col("observations") < HISTORY[0], "insufficient_history").otherwise("ok")
     return d.withColumn("data_quality_reason", reason)
 

@@ -219,3 +219,28 @@ def test_prices_are_rounded_as_in_sql(spark):
     want = con.execute("SELECT round(x, 6), round(x, 12) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [values]).fetchall()
     assert [(r.y, r.z) for r in d.orderBy("i").collect()] == want
     assert [r.x for r in rounded(d.select("i", "x")).orderBy("i").collect()] == [v if v is None else v + 0.0 for v, _ in want]
+
+
+def test_quality_gate_sorts_once(spark):
+    """Against the rules by hand on random quotes; one shuffle and one sort."""
+    import re
+
+    r = random.Random(9)
+    rows = [(f"L{k % 7}" if k % 50 else None, DAY(2026, 1, 1) + datetime.timedelta(days=r.randrange(4 + 60 * (k % 7))) if r.random() > 0.02 else None, r.choice([0.0, None, 1.0, 1.0, 1.0, 2.0]) if k % 7 < 4 else r.choice([3.0, 3.0, 4.0]), k) for k in range(600)]
+    d = spark.createDataFrame(rows, "listing string, date date, px double, seq long")
+    want = {}
+    for name in {x[0] for x in rows}:
+        mine = sorted((x[1] or DAY(1, 1, 1), x[3], x[2], x[1]) for x in rows if x[0] == name)
+        dup = [i > 0 and x[0] == mine[i - 1][0] for i, x in enumerate(mine)]
+        bad = [not a and (x[2] is None or x[2] <= 0) for a, x in zip(dup, mine, strict=True)]
+        ok = [x for a, b, x in zip(dup, bad, mine, strict=True) if not a and not b and name is not None]
+        run = best = 0
+        for i, x in enumerate(ok):
+            run = run + 1 if i and x[2] == ok[i - 1][2] else 1
+            best = max(best, run)
+        gap = any(b[3] and a[3] and (b[3] - a[3]).days > 10 for a, b in zip(ok, ok[1:], strict=False))
+        want[name] = (len(mine), sum(dup) + sum(bad), any(bad), any(dup), best >= 5, max(0, len(ok) - 1), gap)
+    got = series.quality_gate(d)
+    assert {x.listing: (x.quotes, x.quarantined, x.bad, x.dup, x.stale, x.observations, x.gap) for x in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1 and len(re.findall(r"Sort \[", plan)) == 1
