@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import pearson, ratio0, running, zero
+from ..sources.tables import shared_path
 
 MAX_PAIRS, WINDOW, MIN_ROWS = 500_000, 60, 20
 PAIR = ["left", "right"]
@@ -212,11 +216,68 @@ def downside_diagnostics(pairs: DataFrame) -> DataFrame:
     return d.agg(F.count("*").alias("n"), F.avg("gap").alias("average_gap"), F.count_if(F.abs("gap") >= 0.15).alias("large_gaps"), F.max("downside_correlation").alias("worst"), F.median("n_downside").alias("median_days"), F.min("n_downside").alias("min_days"))
 
 
+#: Sets of dates of a block in `missing`, and the rows and dates of one product.
+SETS, ROWS, DATES = 8192, 1024, 256
+
+
+def _short(frames: pd.DataFrame, i: int, j: int, width: int, least: int) -> int:
+    """How many pairs of listings of blocks i and j have fewer than `least` dates in common.
+
+    Common dates are counted by products over some dates at a time, the most frequent ones first, until no pair is short.
+    """
+    sides = []
+    for block in (i, j):
+        rows = frames[frames["block"] == block]
+        bits = np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(len(rows), -(-width // 8))
+        sides.append((np.unpackbits(bits, axis=1, count=width), rows["n"].to_numpy(np.int64)))
+    (x, m), (y, n) = sides
+    order = np.argsort(-x.sum(0, dtype=np.int64) * y.sum(0, dtype=np.int64), kind="stable")
+    total = 0
+    for a in range(0, len(x), ROWS):
+        for b in range(a if i == j else 0, len(y), ROWS):
+            u, v = x[a : a + ROWS], y[b : b + ROWS]
+            common = np.zeros((len(u), len(v)), np.float32)
+            for k in range(0, width, DATES):
+                at = order[k : k + DATES]
+                common += u[:, at].astype(np.float32) @ v[:, at].T.astype(np.float32)
+                if common.min() >= least:
+                    break
+            p, q = np.nonzero(common < least)
+            both = m[a + p] * n[b + q]
+            if i == j and a == b:  # each pair once; listings of one set are pairs, too
+                both = np.where(p < q, both, np.where(p == q, m[a + p] * (m[a + p] - 1) // 2, 0))
+            total += int(both.sum())
+    return total
+
+
 def missing(rets: DataFrame, least: int = 2) -> DataFrame:
-    """One row: how many pairs of listings have fewer than `least` dates in common."""
-    n = rets.agg(F.countDistinct("listing").alias("n"))
-    found = aligned(rets).groupBy(*PAIR).agg(F.count("*").alias("k")).filter(F.col("k") >= least).agg(F.count("*").alias("found"))
-    return n.join(F.broadcast(found)).select((F.col("n") * (F.col("n") - 1) / 2 - F.col("found")).cast("long").alias("missing_pairs"))  # one row each
+    """One row: how many pairs of listings have fewer than `least` dates in common; all pairs, whatever their number.
+
+    Listings with the same dates are one set with a count. Sets are bits by day, dealt to blocks of SETS or less, and each pair of blocks
+    is one group, so that memory is bounded; the work grows with the square of the distinct sets.
+    """
+    spark = rets.sparkSession
+    sets = rets.filter("listing IS NOT NULL").groupBy("listing").agg(F.array_sort(F.collect_set(F.unix_date("date"))).alias("days")).groupBy("days").agg(F.count("*").alias("n"))
+    path = shared_path(spark, "date_sets")
+    sets.write.parquet(path)
+    sets = spark.read.schema(sets.schema).parquet(path)
+    size = sets.agg(F.count("*").alias("sets"), F.coalesce(F.min(F.array_min("days")), F.lit(0)).alias("low"), F.coalesce(F.max(F.array_max("days")), F.lit(0)).alias("high")).first()
+    low, width, blocks = size.low, size.high - size.low + 1, max(8, -(-2 * size.sets // SETS))
+
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for days in f["days"]:
+                seen = np.zeros(width, bool)
+                seen[np.asarray(days, np.int64) - low] = True
+                out.append(np.packbits(seen).tobytes())
+            yield pd.DataFrame({"block": f["block"], "n": f["n"], "bits": out})
+
+    of = sets.select(F.pmod(F.xxhash64("days"), F.lit(blocks)).cast("int").alias("block"), "n", "days").mapInPandas(packed, "block int, n long, bits binary")
+    met = of.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = met.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "bits")
+    short = met.groupBy("i", "j").applyInPandas(lambda key, f: pd.DataFrame({"short": [_short(f, *key, width, least)]}), "short long")
+    return short.agg(F.coalesce(F.sum("short"), F.lit(0)).cast("long").alias("missing_pairs"))
 
 
 def spearman_diagnostics(pairs: DataFrame) -> DataFrame:

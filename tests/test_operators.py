@@ -221,6 +221,23 @@ def test_prices_are_rounded_as_in_sql(spark):
     assert [r.x for r in rounded(d.select("i", "x")).orderBy("i").collect()] == [v if v is None else v + 0.0 for v, _ in want]
 
 
+def test_missing_pairs_beyond_the_guard(spark, monkeypatch):
+    """All pairs are counted, over several blocks and products, with repeated sets of dates and none."""
+    monkeypatch.setattr(pairs, "MAX_PAIRS", 10)
+    for name, size in (("ROWS", 3), ("DATES", 4)):
+        monkeypatch.setattr(pairs, name, size)
+    r = random.Random(5)
+    have = {f"L{k}": {d for d in range(40) if r.random() < 0.12} for k in range(60)}
+    have |= {f"M{k}": have["L7"] for k in range(5)} | {"one": {3}, "same": {3}, "none": {None}}
+    rows = [(k, None if d is None else DAY(2026, 1, 1) + datetime.timedelta(days=d), 0.1) for k, days in have.items() for d in days]
+    d = spark.createDataFrame([*rows, *rows[:9], (None, DAY(2026, 1, 1), 0.1)], "listing string, date date, ret double")
+    names = sorted({k for k, _, _ in rows})
+    for least in (1, 2, 4):
+        want = sum(len((have[a] & have[b]) - {None}) < least for i, a in enumerate(names) for b in names[i + 1 :])
+        assert pairs.missing(d, least).first().missing_pairs == want
+    assert pairs.missing(d.limit(0)).first().missing_pairs == 0
+
+
 def test_quality_gate_sorts_once(spark):
     """Against the rules by hand on random quotes; one shuffle and one sort."""
     import re
