@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_path
-from .pieces import Memo, batches
+from .pieces import Memo, batches, give_back
 
-BATCH_CHARS, SHARD, CACHE = 4_000_000, 1_000_000, 1_500_000
+BATCH_CHARS, SHARD, CACHE = 3_000_000, 1_000_000, 1_500_000
 PAIRS, LEAST, ROOM = 2048, 16, 4096
 END_ID = 2
 BLANK = "\u0120"  # fixed: how a byte-level vocabulary writes the byte 0x20
@@ -173,6 +173,8 @@ class _Learner:
     """
 
     JOINED = 50
+    #: Texts that the library holds encodings of at once.
+    LOT = 5_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -185,16 +187,21 @@ class _Learner:
             self.begins[i] = token.startswith(BLANK)
         self.byte_level = self.of.token_to_id(BLANK) is not None and self.single([" a", " ab"])[0].sum() == len(self.of.encode(" a ab", add_special_tokens=False).ids)
 
+    def encoded(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text; a lot's encodings are let go before the next."""
+        for at in range(0, len(texts), self.LOT):
+            yield from (e.ids for e in self.of.encode_batch_fast(texts[at : at + self.LOT], add_special_tokens=False))
+
     def single(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.of.encode_batch_fast(pieces, add_special_tokens=False)]
+        found = list(self.encoded(pieces))
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return sizes, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
 
     def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lots = [words[at : at + self.JOINED] for at in range(0, len(words), self.JOINED)]
         sizes, ids = [], []
-        for some, found in zip(lots, self.of.encode_batch_fast(["".join(some) for some in lots], add_special_tokens=False), strict=True):
-            code = np.array(found.ids, np.uint32)
+        for some, found in zip(lots, self.encoded(["".join(some) for some in lots]), strict=True):
+            code = np.array(found, np.uint32)
             first = np.flatnonzero(self.begins[code])
             if len(first) == len(some) and first[0] == 0:
                 sizes.append(np.diff(np.append(first, len(code))))
@@ -269,6 +276,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int
                     number, before, held, names, codes = number + 1, before + held, 0, [], []
         if codes:
             yield _shard(part, number, names, codes, before, first_rule)
+        give_back()
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
@@ -287,6 +295,7 @@ def _decoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n = np.add.reduceat(size, s.doc_at)
             ids = np.split(expand_all(sequence, rules, lengths, s.first_rule).astype("<u4"), np.cumsum(n)[:-1])
             yield pd.DataFrame({"part": s.part, "doc_id": pd.array([None if pd.isna(i) else int(i) for i in s.doc_ids], "Int64"), "local_start": s.doc_start, "n_tokens": n, "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids]})
+    give_back()
 
 
 def document(shard, place: int) -> np.ndarray:

@@ -264,3 +264,23 @@ def test_repeated_words_equal_brute_force(spark):
     rule = [r for r in quality_rules.RULES if r.name == "repeated_words"]
     got = {r.doc_id for r in d.filter(quality_rules.kept(rule)).collect()}
     assert got == {i for i, t in rows if 2 * repeated_words(t) <= len(t.split())}
+
+
+def test_token_files_learn_in_lots():
+    """Encodings are only held for LOT texts at once, and ids don't depend on it."""
+    import public_tokenizers
+
+    from quartzfolio.llm.token_files import _Learner
+
+    learner = _Learner(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = [f" w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for k in range(700)] + [str(k) for k in range(40)]
+    whole, seen = learner(pieces), []
+
+    class Held:
+        def encode_batch_fast(self, texts, of=learner.of, **more):
+            seen.append(len(texts))
+            return of.encode_batch_fast(texts, **more)
+
+    learner.of, learner.LOT = Held(), 7
+    assert all((a == b).all() for a, b in zip(learner(pieces), whole, strict=True))
+    assert max(seen) == 7 and sum(seen) == 700 // 50 + 40
