@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from quartzfolio.llm import chat_repair, decontaminate, merkle, minhash_forest, repeated_bytes
+from quartzfolio.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -189,6 +190,34 @@ def test_repeated_bytes_of_the_table(spark, table):
     assert cut_rows(spark, docs) == brute_bytes(docs)
 
 
+def test_repeated_bytes_returns_what_is_left_and_what_was_cut(spark, tmp_path):
+    r = random.Random(6)
+    words = lambda n, letters: " ".join("".join(r.choice("abcdefghijkl") for _ in range(letters)) for _ in range(n))
+    long, short = words(55, 8), words(55, 5)  # 494 and 329 bytes: only the first is as long as a window
+    umlauts = "ä" * 300
+    own = [words(60, 7) for _ in range(7)]
+    docs = [(1, own[0] + long + own[1]), (2, long + own[2]), (3, own[3] + short), (4, short + own[4]), (5, own[5]), (6, None), (7, "é" + umlauts + "é"), (8, "\u00e8" + umlauts[:-1] + own[6])]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {x.doc_id: x for x in repeated_bytes.cut(d).collect()}
+    assert sorted(rows) == list(range(1, 9))
+    for k, text in docs:
+        left, end = b"", 0
+        data = (text or "").encode()
+        for s in rows[k].spans:
+            assert end <= s.start < s.stop <= len(data)
+            left, end = left + data[end : s.start], s.stop
+        assert rows[k].kept == left + data[end:] and rows[k].n_bytes == len(data)
+    assert all(long[50:-50].encode() not in rows[k].kept for k in (1, 2)) and all(short.encode() in rows[k].kept for k in (3, 4))
+    assert [rows[k].spans for k in (3, 4, 5, 6)] == [[]] * 4 and rows[7].spans and rows[8].spans
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {x.doc_id: x for x in QUERIES["op12_repeated_bytes"](spark, str(tmp_path)).collect()}
+    assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in found.values()), key=str) == brute_bytes(docs)
+    assert all(found[k].text == rows[k].kept.decode() for k in range(1, 7)) and found[5].text == own[5] and found[6].text == ""
+    assert hashlib.sha256(rows[8].kept).hexdigest() == found[8].kept_sha256 and found[8].text.endswith(own[6])
+    halves = spark.createDataFrame([(bytearray("ä".encode()[1:] + b"x"),)], "kept binary").select(repeated_bytes.kept_text().alias("t")).first().t
+    assert halves == "\ufffdx"
+
+
 # ---------------------------------------------------------------- Merkle manifest
 def digest(*parts):
     return hashlib.sha256("".join(parts).encode()).hexdigest()
